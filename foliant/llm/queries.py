@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import packing, quality, sentences, tokens, unify
+from foliant.llm import langid, packing, quality, sentences, splitting, tokens, unify
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -64,3 +64,58 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (p3_found, p3_unified, p5_found, p6_ids, p7_containers, p8_found, p8_stats)}
 #: SQL for DuckDB, where it can express the operator over whole tables.
 SQL: dict[str, str] = {}
+
+
+def _model(spark: SparkSession, folder: str) -> langid.Model:
+    """The classifier, trained on the table of labelled sentences (at most langid.MOST_SAMPLES rows are used)."""
+    rows = _read(spark, folder, "lang_samples").where("lang is not null and text is not null").select("lang", "text").orderBy("sample_id").limit(langid.MOST_SAMPLES).collect()
+    return langid.train([tuple(r) for r in rows])
+
+
+def p2_languages(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of each document, each requested document and each one-language stretch of the edits."""
+    model = _model(spark, folder)
+    docs = langid.detect(_read(spark, folder, "documents"), ["doc_id"], "text", model)
+    docs = docs.select(F.lit("document").alias("kind"), F.col("doc_id").alias("item_key"), F.lit(0).alias("stretch"), "lang", "confidence")
+    edits = langid.stretches(_read(spark, folder, "edits"), ["seq"], "source", model).select(F.lit("stretch").alias("kind"), F.col("seq").alias("item_key"), "stretch", "lang", "confidence")
+    asked = _requested(spark, folder, model).select(F.lit("request").alias("kind"), F.col("request_id").alias("item_key"), F.lit(0).alias("stretch"), "lang", "confidence")
+    return docs.unionByName(edits.dropDuplicates(["item_key", "stretch"])).unionByName(asked)
+
+
+def _requested(spark: SparkSession, folder: str, model: langid.Model) -> DataFrame:
+    """(request_id, source_language, lang, confidence): the language of most segments of each requested document."""
+    found = langid.detect(_read(spark, folder, "segments"), ["doc_id", "ordinal"], "source", model).where("lang is not null")
+    once = found.groupBy("doc_id", "ordinal").agg(F.first("lang").alias("lang"))  # repeated rows count once
+    votes = once.groupBy("doc_id", "lang").agg(F.count("*").alias("n"))
+    most = votes.groupBy("doc_id").agg(F.min_by("lang", F.struct(-F.col("n"), "lang")).alias("lang"), (F.max("n") / F.sum("n")).alias("confidence"))
+    requests = _read(spark, folder, "translation_requests").groupBy("request_id").agg(F.first("doc_id").alias("doc_id"), F.first("source_language").alias("source_language"))
+    return requests.join(most, "doc_id").select("request_id", "source_language", "lang", "confidence")
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Requests and documents whose label is missing or wrong, and edits in several languages."""
+    model = _model(spark, folder)
+    wrong = lambda label: langid.label_code(F.col(label)).isNull() | (langid.label_code(F.col(label)) != F.col("lang"))
+    asked = _requested(spark, folder, model).where(wrong("source_language"))
+    docs = langid.detect(_read(spark, folder, "documents"), ["doc_id", "lang"], "text", model, out="found").where("found is not null")
+    docs = docs.withColumnRenamed("lang", "label").withColumnRenamed("found", "lang").where(wrong("label"))
+    edits = langid.detect(_read(spark, folder, "edits").where("source is not null"), ["seq"], "source", model).where(F.size("whole") > 1)
+    return (
+        asked.select(F.lit("request").alias("kind"), F.col("request_id").alias("item_key"), "lang")
+        .unionByName(docs.select(F.lit("document").alias("kind"), F.col("doc_id").alias("item_key"), "lang"))
+        .unionByName(edits.select(F.lit("edit").alias("kind"), F.col("seq").alias("item_key"), F.explode("whole").alias("lang")))
+        .distinct()
+    )
+
+
+def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """The ordered pieces of every source, each of repeated rows once."""
+    return splitting.split(_read(spark, folder, "edits"), "seq", "source").select("seq", "piece", "start_char", "end_char", "cut").distinct()
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Sources above the limit."""
+    return splitting.oversized(_read(spark, folder, "edits"), "seq", "source")
+
+
+QUERIES |= {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_languages)}
