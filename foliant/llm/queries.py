@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import langid, packing, quality, sentences, splitting, tokens, unify
+from foliant.llm import langid, packing, pairs, quality, sentences, splitting, tokens, unify
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -118,4 +118,9 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.oversized(_read(spark, folder, "edits"), "seq", "source")
 
 
-QUERIES |= {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_languages)}
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Defective pairs with their defect."""
+    return pairs.broken_pairs(_read(spark, folder, "edits"), "seq", "source", "translation", ["doc_id", "segment_id"], _model(spark, folder))
+
+
+QUERIES |= {f.__name__: f for f in (p4_found, p1_found, p1_pieces, p2_found, p2_languages)}
