@@ -37,10 +37,17 @@ STAND_INS = set(
 OPENING, HASHES, BANDS, SIMILAR = 64, 8, 4, 0.8
 #: A template has at least this many repeats in one prompt language, most of them with a new prompt opening.
 REPEATS, UNRELATED = 2, 0.6
-#: Sizes relative to the usual ratio below which a response lacks half of its prompt, or its last sentence its end.
-HALF, LAST = 0.66, 0.8
+#: Relative size and share of units up to which a response lacks the latter half, the size up to which it does in any case, and that of a last sentence broken off.
+SHORT, HALF, LEAST, LAST = 0.7, 0.65, 0.4, 0.8
+#: Confidence and letters with which a unit counts as being in another language written alike.
+SURE, LETTERS = 0.85, 20
+#: Letters of a response for a letter of the prompt, as usual between these languages (used for last sentences only).
+LETTERS_FOR_ONE = {"zh": 3.5, "en": 0.29, "de": 0.27, "fr": 0.27, "es": 0.27, "ru": 0.3, "ja": 0.75, "th": 0.29}
 _EDGE = " \t\n\r\"'“”‘’()（）[]【】<>《》「」『』*_.。…-—–~!！?？:：;；,，、/\\|#=+"
-_CLAUSE = re.compile(r"[，,。.;；：:!！?？…\n“”\"()（）]+")
+_CLAUSE = re.compile(r"(?<=\w{5})[.]\s|[，,。;；：:!！?？…\n“”\"()（）]+|[.]$")
+_CODE = re.compile(r"\S*\d\S*")
+_NAME = re.compile(r"[A-ZÀ-Þ][\w'’-]{3,}")
+_KANA = re.compile("[\u3041-\u30fa]")
 _SHUT = "\"'”’»」』)）]】  "
 _STOP = ".!?。！？…:：;；"
 
@@ -73,7 +80,21 @@ def _empty(text: str) -> bool:
     return not any(c.isalnum() for c in inner) or inner in STAND_INS
 
 
-_ROW = "lang string, expected string, empty boolean, copy boolean, wrong boolean, open_end boolean, size double, last double, units_less boolean, clause string, second string, prompt string"
+_ROW = "lang string, empty boolean, copy boolean, wrong boolean, open_end boolean, size double, last double, units double, related boolean, sentence boolean, clause string, second string, prompt string"
+
+
+def _related(s: str, t: str) -> bool:
+    """Whether two folded texts have a number or a name in common."""
+    numbers = set(re.findall(r"\d+", t))
+    return bool(numbers and numbers & set(re.findall(r"\d+", s))) or bool(set(_NAME.findall(s)) & set(_NAME.findall(t)))
+
+
+def _broken_off(s: str, t: str, fewer: bool) -> bool:
+    """Whether the end of a folded response, which lacks its full stop, is none: a number of the prompt's end is missing, or a comma or the beginning of a clause ends it."""
+    if t.rstrip(_SHUT + "\n.…")[-1:] in ",，、(（:：;；":
+        return True
+    numbers = re.findall(r"\d+", s[-60:])
+    return fewer or bool(numbers and numbers[-1] not in re.findall(r"\d+", t[-120:]))
 
 
 def _facts(sources: pa.Array, targets: pa.Array, model: langid.Model) -> list[pa.Array]:
@@ -81,7 +102,7 @@ def _facts(sources: pa.Array, targets: pa.Array, model: langid.Model) -> list[pa
     both = pa.concat_arrays([sources, targets])
     folded = cs.strings(*unify.fold(*cs.codepoints(both))).to_pylist()
     u = langid.units(*cs.codepoints(both))
-    best, _ = langid.classify(u, model)
+    best, sure = langid.classify(u, model)
     weight = u.letters + 2.5 * u.wide
     none = model.langs.index(langid.NONE) if langid.NONE in model.langs else -1
     ok = (best >= 0) & (best != none)
@@ -94,30 +115,37 @@ def _facts(sources: pa.Array, targets: pa.Array, model: langid.Model) -> list[pa
     last = np.zeros(2 * n)
     last[u.row[real]] = (u.letters + u.wide)[real]  # the last one of each row stays
     units = np.bincount(u.row[real], minlength=2 * n)
-    zh, en = model.langs.index("zh"), model.langs.index("en")
-    expected = np.where(main[:n] == zh, en, zh)
-    votes, total = count[n:][np.arange(n), expected], count[n:].sum(1)
-    share = mass[n:][np.arange(n), expected] / np.maximum(mass[n:].sum(1), 1)
-    wrong = known[:n] & known[n:] & (votes * 2 < total) & (share < 0.5)
-    empty, copy, open_end, less, first, second, prompt = [], [], [], [], [], [], []
+    zh, en, ja = (model.langs.index(x) for x in ("zh", "en", "ja"))
+    han = np.array([main[i] == ja and not _KANA.search(folded[i]) for i in range(n)], bool)  # ideographs alone: either language
+    to_en = (main[:n] == zh) | han
+    off = ok & (u.wide * 2 <= u.letters) & (best != en) & (sure >= SURE) & (u.letters >= LETTERS) | ok & (u.wide * 2 > u.letters)
+    not_en = np.bincount(u.row[off], minlength=2 * n)[n:]
+    wide, narrow = np.bincount(u.row, u.wide, 2 * n)[n:], np.bincount(u.row, u.letters, 2 * n)[n:]
+    not_zh = (narrow >= 4) & (narrow > 4 * wide) | (count[n:][np.arange(n), ja] * 2 > count[n:].sum(1)) & np.array([bool(_KANA.search(x)) for x in folded[n:]], bool)
+    readable = known[:n] & ((narrow + wide) >= 2)
+    wrong = readable & np.where(to_en, not_en * 2 > np.maximum(count[n:].sum(1), 1), not_zh) & ~han
+    usual = {j: LETTERS_FOR_ONE.get(x, 1.0) for j, x in enumerate(model.langs)}
+    empty, copy, open_end, related, sentence, first, second, prompt = [], [], [], [], [], [], [], []
     for i in range(n):
         s, t = folded[i], folded[n + i]
         void = _empty(t)
         empty.append(void)
         s_end, t_end = s.rstrip(_SHUT + "\n\r\t")[-1:], t.rstrip(_SHUT + "\n\r\t")[-1:]
-        open_end.append(bool(s_end in _STOP and t_end not in _STOP) if s_end else False)
-        less.append(bool(units[n + i] < units[i]))
+        dots = t.rstrip(_SHUT + "\n").endswith(("...", "…")) and not s.rstrip(_SHUT + "\n").endswith(("...", "…"))
+        fewer = units[n + i] < units[i] or (last[i] > 0 and last[n + i] / last[i] / usual.get(int(main[i]), 1.0) < LAST)
+        open_end.append(bool(s_end and s_end in _STOP and (dots or t_end not in _STOP) and _broken_off(s, t, fewer)))
+        related.append(_related(s, t)), sentence.append(bool(t_end) and t_end in _STOP)
         same = False
         if not void and known[i] and known[n + i] and 0.5 < len(t) / max(1, len(s)) < 2 and (main[i] == main[n + i] or s[:20] == t[:20]):
             a, b = _plain(s), _plain(t)
             same = bool(a) and (a == b or jaccard(a, b) >= SIMILAR)
         copy.append(same)
-        first.append("" if void else opening(t)), second.append("" if void else opening(t, 1)), prompt.append(opening(s))
+        first.append("" if void else opening(t)), second.append("" if void else opening(t, 1)), prompt.append(opening(_CODE.sub(" ", s)))
     with np.errstate(divide="ignore", invalid="ignore"):
         return [
-            pa.array(np.where(known[:n], langs[main[:n]], None), pa.string()), pa.array(langs[expected], pa.string()), pa.array(empty), pa.array(copy), pa.array(wrong), pa.array(open_end),
+            pa.array(np.where(known[:n], langs[main[:n]], None), pa.string()), pa.array(empty), pa.array(copy), pa.array(wrong), pa.array(open_end),
             pa.array(np.where(size[:n] > 0, size[n:] / size[:n], np.nan), from_pandas=True), pa.array(np.where(last[:n] > 0, last[n:] / last[:n], np.nan), from_pandas=True),
-            pa.array(less), pa.array(first), pa.array(second), pa.array(prompt),
+            pa.array(np.where(units[:n] > 0, units[n:] / units[:n], np.nan), from_pandas=True), pa.array(related), pa.array(sentence), pa.array(first), pa.array(second), pa.array(prompt),
         ]
 
 
@@ -177,10 +205,12 @@ def broken_pairs(df: DataFrame, key: str, prompt: str, response: str, group: lis
     found = facts(df, key, prompt, response, group, model)
     templates = refusal_templates(found, group)
     usual = found.where("not empty and not copy and not wrong and lang is not null").groupBy("lang").agg(F.percentile_approx("size", 0.5, 1000).alias("usual"))
-    first = templates.select("clause", F.lit(True).alias("_first"))
-    second = templates.select(F.col("clause").alias("second"), F.lit(True).alias("_second"))
-    all_ = found.join(first, "clause", "left").join(second, "second", "left").join(F.broadcast(usual), "lang", "left")  # usual: one row a language
-    relative, ending = F.col("size") / F.col("usual"), F.col("last") / F.col("usual")
-    cut = (relative < HALF) | (F.col("open_end") & (F.col("units_less") | (ending < LAST)) & (relative < 0.97))
-    defect = F.when(F.col("empty"), "empty").when(F.col("_first") | F.col("_second"), "refusal").when(F.col("copy"), "copy").when(F.col("wrong"), "wrong_language").when(cut, "truncated")
+    # what follows a template opening is a template too, where it recurs
+    begun = found.join(templates, "clause", "left_semi").where("not related and not empty")
+    bodies = begun.where("second <> ''").groupBy("second").count().where("count > 1").select(F.col("second").alias("clause"))
+    known = templates.unionByName(bodies).distinct().withColumn("_template", F.lit(True))
+    all_ = found.join(known, "clause", "left").join(F.broadcast(usual), "lang", "left")  # usual: one row a language
+    relative = F.col("size") / F.col("usual")
+    cut = ((relative < SHORT) & (F.col("units") <= HALF)) | (relative < LEAST) | F.col("open_end")
+    defect = F.when(F.col("empty"), "empty").when(F.col("_template") & ~F.col("related"), "refusal").when(F.col("copy"), "copy").when(F.col("wrong"), "wrong_language").when(cut, "truncated")
     return all_.select(key, defect.alias("defect")).where("defect is not null")
