@@ -1,0 +1,27 @@
+"""Limits of the engine; every operator takes them as arguments with these defaults."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass, replace
+
+
+def _within(value: int, low: int, high: int) -> int:
+    return max(low, min(high, int(value)))
+
+
+@dataclass(frozen=True)
+class EngineConfig:
+    """Settings, brought into their allowed ranges by ``checked``."""
+
+    segment_chars: int = 1200
+    batch_items: int = 3
+    request_chars: int = 6000
+    max_retries: int = 5
+    term_limit: int = 120
+    style_chars: int = 12_000
+    upload_bytes: int = 80 * 1024 * 1024
+    sample_segments: int = 30
+    quiet_seconds: float = 0.65
+
+    def checked(self) -> EngineConfig:
+        return replace(self, batch_items=_within(self.batch_items, 1, 10), request_chars=_within(self.request_chars, 500, 20_000), max_retries=_within(self.max_retries, 0, 10))

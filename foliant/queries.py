@@ -1,6 +1,358 @@
-"""Queries of the core operators for the driver, and the SQL that gives the same rows."""
+"""Queries of the core operators for the driver, and the SQL for DuckDB that gives the same rows."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from foliant.functions import text as T
+from foliant.operators import align, merge, ordered, segments, terms
+from foliant.plans import requests
+from foliant.sources import sinks
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{table}.parquet")
+
+
+def _segments(spark: SparkSession, folder: str) -> DataFrame:
+    return segments.deduplicated(_read(spark, folder, "segments"), ["doc_id", "ordinal"])
+
+
+def _records(spark: SparkSession, folder: str) -> DataFrame:
+    return segments.deduplicated(_read(spark, folder, "doc_records"), ["doc_id"], "updated_at")
+
+
+# Pieces of SQL used by several queries.
+_W = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_CJK, _JOIN = r"\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}", T.JOINED
+
+
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, '^[{_W}]+|[{_W}]+$', '', 'g')"
+
+
+def _clean(x: str) -> str:
+    plain = rf"regexp_replace(regexp_replace(replace({x}, chr(0), ''), '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g')"
+    return _strip(rf"regexp_replace({plain}, '[{_W}]*\n[{_W}]*', chr(10), 'g')")
+
+
+def _join(a: str, b: str) -> str:
+    return f"CASE WHEN length({b}) = 0 THEN {a} WHEN regexp_matches(right({a}, 1), '^[{_JOIN}]$') AND regexp_matches(left({b}, 1), '^[{_JOIN}]$') THEN {a} || {b} ELSE {a} || ' ' || {b} END"
+
+
+def _count(x: str, chars: str) -> str:
+    return f"length(regexp_replace({x}, '[^{chars}]', '', 'g'))"
+
+
+def _detect(x: str) -> str:
+    visible = f"regexp_replace({x}, '[{_W}]+', '', 'g')"
+    return f"CASE WHEN length({visible}) = 0 OR {_count(x, _CJK)} >= greatest(2.0, {_count(x, 'A-Za-z')} * 0.18) THEN 'zh' ELSE 'en' END"
+
+
+_SEGMENTS = "s AS (SELECT doc_id, ordinal, segment_id, source, translation, status, locked FROM segments QUALIFY row_number() OVER (PARTITION BY doc_id, ordinal ORDER BY source DESC NULLS LAST, translation DESC NULLS LAST, locked DESC NULLS LAST) = 1)"
+_RECORDS = "r AS (SELECT DISTINCT * FROM doc_records QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY updated_at DESC) = 1)"
+
+
+@_query(f"SELECT doc_id, {_clean('text')} AS clean FROM documents WHERE text IS NOT NULL")
+def clean_text(spark: SparkSession, folder: str) -> DataFrame:
+    """P01."""
+    return _read(spark, folder, "documents").where("text is not null").select("doc_id", T.clean(F.col("text")).alias("clean"))
+
+
+@_query(f"SELECT doc_id, {_detect('text')} AS detected FROM documents WHERE text IS NOT NULL")
+def detect_language(spark: SparkSession, folder: str) -> DataFrame:
+    """P06."""
+    return _read(spark, folder, "documents").where("text is not null").select("doc_id", T.detect_language(F.col("text")).alias("detected"))
+
+
+@_query(f"""WITH {_SEGMENTS}, {_RECORDS}, h AS (SELECT doc_id, string_agg(coalesce(source, ''), chr(10) ORDER BY ordinal) AS head FROM s WHERE ordinal <= 30 GROUP BY doc_id),
+d AS (SELECT r.doc_id, source_language, target_language, {_detect("coalesce(head, '')")} AS detected FROM r LEFT JOIN h USING (doc_id)),
+e AS (SELECT *, CASE WHEN source_language IN ('zh', 'en') THEN source_language ELSE detected END AS src FROM d),
+f AS (SELECT *, CASE WHEN target_language IN ('zh', 'en') THEN target_language WHEN src = 'zh' THEN 'en' ELSE 'zh' END AS tgt FROM e)
+SELECT doc_id, detected, src AS source, CASE WHEN tgt <> src THEN tgt WHEN src = 'zh' THEN 'en' ELSE 'zh' END AS target FROM f""")
+def resolve_direction(spark: SparkSession, folder: str) -> DataFrame:
+    """The first 30 segments decide the detected language, explicit labels win."""
+    head = _segments(spark, folder).where("ordinal <= 30").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("ordinal", F.coalesce("source", F.lit("")).alias("t")))).alias("h"))
+    text = F.array_join(F.transform("h", lambda x: x["t"]), "\n")
+    docs = _records(spark, folder).join(head, "doc_id", "left").withColumn("detected", T.detect_language(F.coalesce(text, F.lit(""))))
+    return docs.withColumn("d", T.direction(F.col("source_language"), F.col("target_language"), F.col("detected"))).select("doc_id", "detected", "d.source", "d.target")
+
+
+_PARAGRAPHS = rf"""WITH b AS (SELECT doc_id, unnest(regexp_split_to_array(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), '\n[{_W}]*\n')) AS block, generate_subscripts(regexp_split_to_array(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), '\n[{_W}]*\n'), 1) AS n FROM documents),
+l AS (SELECT doc_id, n, list_filter(list_transform(string_split(block, chr(10)), lambda x: {_strip('x')}), lambda x: length(x) > 0) AS lines FROM b),
+j AS (SELECT doc_id, n, list_reduce(lines, lambda a, x: {_join('a', 'x')}) AS source FROM l WHERE len(lines) > 0)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n) AS INTEGER) AS ordinal, source FROM j"""
+
+
+@_query(_PARAGRAPHS)
+def line_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    """P02, P03, W01."""
+    return segments.paragraph_rows(_read(spark, folder, "documents"), "doc_id", "text")
+
+
+_PACKED = rf"""t AS (SELECT doc_id, {_clean("coalesce(text, '')")} AS txt FROM documents),
+u AS (SELECT doc_id, txt, list_filter(list_transform(string_split(regexp_replace(regexp_replace(txt, '([。！？!?；;])', '\1' || chr(1), 'g'), '([.])([{_W}]+[A-Z0-9"''])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: {_strip('x')}), lambda x: length(x) > 0) AS sent FROM t WHERE length(txt) > 0),
+w AS (SELECT doc_id, [txt] AS pieces FROM u WHERE length(txt) <= 1200
+UNION ALL SELECT doc_id, CASE WHEN len(acc.res) + CAST(acc.cur <> '' AS INT) = 0 THEN [txt] WHEN acc.cur <> '' THEN list_append(acc.res, acc.cur) ELSE acc.res END
+FROM (SELECT doc_id, txt, list_reduce(list_transform(sent, lambda s: {{'cur': s, 'res': CAST([] AS VARCHAR[])}}), lambda a, e:
+ CASE WHEN length(e.cur) > 1200 THEN {{'cur': '', 'res': list_concat(CASE WHEN a.cur <> '' THEN list_append(a.res, a.cur) ELSE a.res END, list_transform(range(0, CAST(ceil(length(e.cur) / 1200.0) AS BIGINT)), lambda i: substring(e.cur, 1 + i * 1200, 1200)))}}
+ WHEN a.cur = '' THEN {{'cur': e.cur, 'res': a.res}}
+ WHEN length(a.cur) + 1 + length(e.cur) <= 1200 THEN {{'cur': {_join('a.cur', 'e.cur')}, 'res': a.res}}
+ ELSE {{'cur': e.cur, 'res': list_append(a.res, a.cur)}} END, {{'cur': '', 'res': CAST([] AS VARCHAR[])}}) AS acc FROM u WHERE length(txt) > 1200)),
+p AS (SELECT doc_id, unnest(pieces) AS source, generate_subscripts(pieces, 1) AS ordinal FROM w)"""
+
+
+@_query(f"WITH {_PACKED} SELECT doc_id, CAST(ordinal AS INTEGER) AS ordinal, printf('s%04d', ordinal) AS segment_id, source FROM p")
+def segment_pack(spark: SparkSession, folder: str) -> DataFrame:
+    """Segments of at most 1,200 characters."""
+    return segments.segment_rows(_read(spark, folder, "documents"), "doc_id", "text")
+
+
+@_query(f"WITH {_PACKED} SELECT doc_id, count(*) AS n_segments, CAST(sum(greatest(length(source), 1)) AS BIGINT) AS n_chars, max(length(source)) AS longest FROM p GROUP BY doc_id")
+def segment_stats(spark: SparkSession, folder: str) -> DataFrame:
+    """A03, A04."""
+    rows = segment_pack(spark, folder)
+    return rows.groupBy("doc_id").agg(F.count("*").alias("n_segments"), F.sum(F.greatest(F.length("source"), F.lit(1))).alias("n_chars"), F.max(F.length("source")).cast("bigint").alias("longest"))
+
+
+@_query(f"""WITH {_SEGMENTS}, c AS (SELECT doc_id, count(*) AS total, count_if(length({_strip("coalesce(translation, '')")}) > 0) AS translated FROM s GROUP BY doc_id)
+SELECT doc_id, total, CAST(translated AS BIGINT) AS translated, CAST(round_even(100.0 * translated / total, 0) AS INTEGER) AS progress FROM c""")
+def progress(spark: SparkSession, folder: str) -> DataFrame:
+    """A01, A02, A05."""
+    return segments.coverage(_segments(spark, folder), "doc_id", "translation")
+
+
+def _batch_sql(lone: str) -> str:
+    return f"""WITH RECURSIVE {_SEGMENTS}, x AS (SELECT doc_id, ordinal, CAST(length(coalesce(source, '')) AS BIGINT) AS len, row_number() OVER (PARTITION BY doc_id ORDER BY ordinal) AS n FROM s),
+g AS (SELECT doc_id, ordinal, n, 0 AS batch_no, CAST({lone} AS BIGINT) AS items, len AS chars FROM x WHERE n = 1
+UNION ALL SELECT x.doc_id, x.ordinal, x.n, CASE WHEN g.items >= 3 OR g.chars + x.len > 600 THEN g.batch_no + 1 ELSE g.batch_no END, CASE WHEN g.items >= 3 OR g.chars + x.len > 600 THEN 1 ELSE g.items + 1 END, CASE WHEN g.items >= 3 OR g.chars + x.len > 600 THEN x.len ELSE g.chars + x.len END
+FROM g JOIN x ON x.doc_id = g.doc_id AND x.n = g.n + 1) SELECT doc_id, ordinal, CAST(batch_no AS INTEGER) AS batch_no FROM g"""
+
+
+@_query(_batch_sql("1"))
+def bounded_batches(spark: SparkSession, folder: str) -> DataFrame:
+    """At most 3 items and 600 characters, so that both limits bind."""
+    rows = _segments(spark, folder).withColumn("len", F.length(F.coalesce("source", F.lit(""))))
+    return ordered.batches(rows, "doc_id", "ordinal", "len", 3, 600)
+
+
+@_query(_batch_sql("99"))
+def progressive_batches(spark: SparkSession, folder: str) -> DataFrame:
+    """As W04, the first item alone."""
+    rows = _segments(spark, folder).withColumn("len", F.length(F.coalesce("source", F.lit(""))))
+    return ordered.batches(rows, "doc_id", "ordinal", "len", 3, 600, lone_first=True)
+
+
+@_query("SELECT DISTINCT term_id, source, target, source_lang, target_lang FROM (" + f"""
+SELECT term_id, CASE WHEN rev THEN t ELSE s END AS source, CASE WHEN rev THEN s ELSE t END AS target, CASE WHEN rev THEN tl ELSE sl END AS source_lang, CASE WHEN rev THEN sl ELSE tl END AS target_lang FROM (
+SELECT *, sl = 'en' AND tl = 'zh' AS rev FROM (SELECT term_id, {_strip('source')} AS s, {_strip('target')} AS t, lower({_strip("coalesce(source_lang, '')")}) AS sl, lower({_strip("coalesce(target_lang, '')")}) AS tl FROM terms WHERE length(source) > 0 AND length(target) > 0)
+WHERE sl = '' OR tl = '' OR (sl = 'zh' AND tl = 'en') OR (sl = 'en' AND tl = 'zh')))""")
+def orient_terms(spark: SparkSession, folder: str) -> DataFrame:
+    """P12, P13, P14, F06 for Chinese to English."""
+    return terms.oriented(terms.normalized(_read(spark, folder, "terms")), "zh", "en").select("term_id", "source", "target", "source_lang", "target_lang").distinct()
+
+
+_MATCH = f"t AS (SELECT term_id, file, row_no, lower({_strip('source')}) AS s FROM terms WHERE length(source) > 0 AND length(target) > 0), m AS (SELECT doc_id, term_id, file, row_no FROM documents JOIN t ON length(s) > 0 AND contains(lower(text), s))"
+
+
+@_query(f"WITH {_MATCH} SELECT doc_id, term_id FROM m")
+def term_match(spark: SparkSession, folder: str) -> DataFrame:
+    """Glossary terms in documents."""
+    return terms.matches(_read(spark, folder, "documents"), "doc_id", "text", terms.normalized(_read(spark, folder, "terms")), "term_id")
+
+
+@_query(f"WITH {_MATCH} SELECT doc_id, term_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY file, row_no, term_id) AS INTEGER) AS rank FROM m QUALIFY rank <= 120")
+def term_match_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """The first 120 terms of each document in glossary order."""
+    glossary = terms.normalized(_read(spark, folder, "terms"))
+    found = terms.matches(_read(spark, folder, "documents"), "doc_id", "text", glossary, "term_id")
+    return terms.first_matches(found, glossary, "doc_id", "term_id", ["file", "row_no"])
+
+
+def _parts(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _read(spark, folder, "documents").where("length(text) > 0").select(F.col("doc_id").alias("doc"), F.lit(1).alias("ordinal"), F.lit("s0001").alias("segment_id"), "text")
+    return requests.parts(docs, ["doc", "ordinal", "segment_id"], "text", 1200)
+
+
+_PART_SQL = "q AS (SELECT doc_id, CASE WHEN max(ordinal) OVER (PARTITION BY doc_id) = 1 THEN 's0001' ELSE printf('s0001__part%04d', ordinal) END AS part_id, CAST(ordinal AS INTEGER) AS part_no, source FROM p UNION ALL SELECT doc_id, 's0001', 1, text FROM documents WHERE length(text) > 0 AND doc_id NOT IN (SELECT doc_id FROM p))"
+
+
+@_query(f"WITH {_PACKED}, {_PART_SQL} SELECT doc_id AS doc, part_id, part_no, source AS text FROM q")
+def request_parts(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts cut into parts for requests."""
+    return _parts(spark, folder).select("doc", "part_id", "part_no", "text")
+
+
+@_query(f"WITH {_PACKED}, {_PART_SQL} SELECT doc_id AS doc, {_strip("string_agg('[' || source || ']', ' ' ORDER BY part_no)")} AS text FROM q GROUP BY doc_id")
+def parts_reassembly(spark: SparkSession, folder: str) -> DataFrame:
+    """Parts, put in brackets by way of translation, joined in order."""
+    done = _parts(spark, folder).withColumn("t", F.concat(F.lit("["), "text", F.lit("]")))
+    return requests.reassembled(done, ["doc"], "t", "en")
+
+
+@_query()
+def request_json(spark: SparkSession, folder: str) -> DataFrame:
+    """Bounded requests of the segments of each document as JSON."""
+    rows = requests.parts(_segments(spark, folder).where("length(source) > 0"), ["doc_id", "ordinal", "segment_id"], "source")
+    return requests.requests(rows, "doc_id", "ordinal")
+
+
+@_query()
+def answered(spark: SparkSession, folder: str) -> DataFrame:
+    """Requests answered by a stand-in translator, parsed and merged into unlocked segments."""
+    def stand_in(payload: str) -> str:
+        import json
+
+        return json.dumps({"translations": [{"id": x["id"], "text": f"[{x['text']}]"} for x in json.loads(payload)["segments"]]}, ensure_ascii=False)
+
+    base = _segments(spark, folder)
+    answers = requests.parsed(requests.called(request_json(spark, folder), ["doc_id", "request_no"], stand_in), ["doc_id", "request_no"], "content")
+    whole = answers.select("doc_id", F.split("id", requests.PART)[0].alias("segment_id"), F.coalesce(F.regexp_extract("id", f"{requests.PART}(\\d+)$", 1).try_cast("int"), F.lit(1)).alias("part_no"), "text")
+    return merge.guarded(base, requests.reassembled(whole, ["doc_id", "segment_id"], "text", "en"), ["doc_id", "segment_id"]).select("doc_id", "ordinal", "translation", "applied")
+
+
+@_query(f"""WITH {_RECORDS}, n AS (SELECT doc_id, retry.retry_number AS retry_number, coalesce(TRY_CAST(regexp_extract(retry.reason, '(\\d+)', 1) AS INTEGER), 0) AS status FROM r WHERE retry IS NOT NULL)
+SELECT doc_id, retry_number, status, coalesce(status IN (408, 409, 425, 429) OR status BETWEEN 500 AND 599, false) AS retryable, CAST(least(120.0, least(30.0, 2.0 * pow(2.0, greatest(0, retry_number - 1)))) AS DOUBLE) AS delay FROM n""")
+def retry_policy(spark: SparkSession, folder: str) -> DataFrame:
+    """P20, P22 (without jitter)."""
+    rows = _records(spark, folder).where("retry is not null").select("doc_id", "retry.retry_number", F.coalesce(F.regexp_extract("retry.reason", r"(\d+)", 1).try_cast("int"), F.lit(0)).alias("status"))
+    return rows.select("doc_id", "retry_number", "status", F.coalesce(requests.retryable(F.col("status")), F.lit(False)).alias("retryable"), requests.delay(F.col("retry_number")).alias("delay"))
+
+
+_LATEST = f"e AS (SELECT doc_id, segment_id, arg_max({_strip('source')}, seq) FILTER (source IS NOT NULL) AS source, arg_max({_strip('translation')}, seq) FILTER (translation IS NOT NULL) AS translation, arg_max(locked, seq) FILTER (locked IS NOT NULL) AS locked, arg_max(reviewed, seq) FILTER (reviewed IS NOT NULL) AS reviewed FROM edits GROUP BY doc_id, segment_id)"
+
+
+@_query(f"WITH {_LATEST} SELECT * FROM e")
+def edit_latest(spark: SparkSession, folder: str) -> DataFrame:
+    """The last value of each field of every segment."""
+    return merge.latest_edits(_read(spark, folder, "edits"), ["doc_id", "segment_id"], "seq", ["source", "translation", "locked", "reviewed"])
+
+
+@_query(f"""WITH {_SEGMENTS}, {_LATEST} SELECT s.doc_id, s.ordinal, coalesce(e.source, s.source) AS source, coalesce(e.translation, s.translation) AS translation,
+(e.source IS NOT NULL AND e.source IS DISTINCT FROM s.source) OR (e.translation IS NOT NULL AND e.translation IS DISTINCT FROM s.translation) AS changed FROM s LEFT JOIN e USING (doc_id, segment_id)""")
+def edit_merge(spark: SparkSession, folder: str) -> DataFrame:
+    """The edits merged into the segments."""
+    return merge.upserted(_segments(spark, folder), edit_latest(spark, folder), ["doc_id", "segment_id"], ["source", "translation"]).select("doc_id", "ordinal", "source", "translation", "changed")
+
+
+@_query("""WITH d AS (SELECT DISTINCT seq, ts, doc_id, segment_id FROM edits), g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM d WINDOW w AS (PARTITION BY doc_id, segment_id ORDER BY ts)),
+n AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, segment_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS no FROM g)
+SELECT doc_id, segment_id, min(ts) AS session_start, max(ts) AS session_end, count(*) AS n, max(seq) AS last_seq FROM n GROUP BY doc_id, segment_id, no""")
+def edit_sessions(spark: SparkSession, folder: str) -> DataFrame:
+    """Bursts of edits, a quiet period of 30 minutes apart."""
+    return merge.sessions(_read(spark, folder, "edits"), ["doc_id", "segment_id"], "ts", "seq")
+
+
+@_query(f"WITH {_SEGMENTS} SELECT doc_id, ordinal, segment_id FROM s WHERE NOT EXISTS (SELECT 1 FROM edits WHERE edits.doc_id = s.doc_id AND edits.segment_id = s.segment_id)")
+def missing_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Segments without an edit."""
+    return requests.missing(_segments(spark, folder), _read(spark, folder, "edits"), ["doc_id", "segment_id"]).select("doc_id", "ordinal", "segment_id")
+
+
+_VISIBLE = r"regexp_replace(coalesce(source, ''), '[\t-\r\x20\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]', '', 'g')"
+_WEIGHT = f"greatest(CAST(len(regexp_split_to_array(coalesce(source, ''), '\\r?\\n')) AS DOUBLE), ({_count(_VISIBLE, _CJK)} + {_count(_VISIBLE, 'A-Za-z0-9')} * 0.52::DOUBLE + greatest(0, length({_VISIBLE}) - {_count(_VISIBLE, _CJK)} - {_count(_VISIBLE, 'A-Za-z0-9')}) * 0.7::DOUBLE) / 42, 1.0)"
+
+
+@_query(f"""WITH {_SEGMENTS}, v AS (SELECT doc_id, ordinal, {_WEIGHT} AS weight FROM s)
+SELECT doc_id, ordinal, round(weight, 6) AS weight, round(sum(weight) OVER (PARTITION BY doc_id ORDER BY ordinal ROWS UNBOUNDED PRECEDING), 4) AS end_at FROM v""")
+def prefix_weights(spark: SparkSession, folder: str) -> DataFrame:
+    """P23, W02."""
+    rows = _segments(spark, folder).withColumn("weight", T.visual_weight(F.coalesce("source", F.lit(""))))
+    return ordered.prefix_sums(rows, "doc_id", "ordinal", "weight").select("doc_id", "ordinal", F.round("weight", 6).alias("weight"), F.round("end", 4).alias("end_at"))
+
+
+@_query()
+def match_key(spark: SparkSession, folder: str) -> DataFrame:
+    """P24."""
+    return _segments(spark, folder).select("doc_id", "ordinal", T.match_key(F.coalesce("source", F.lit(""))).alias("key"))
+
+
+def _map(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _segments(spark, folder)
+    pages = rows.groupBy("doc_id", F.floor((F.col("ordinal") - 1) / 5).cast("int").alias("page_no")).agg(F.sort_array(F.collect_list(F.struct("ordinal", F.coalesce("source", F.lit("")).alias("t")))).alias("x"))
+    return align.page_map(rows, pages.select("doc_id", "page_no", F.array_join(F.transform("x", lambda v: v["t"]), " ").alias("text")), "doc_id")
+
+
+@_query()
+def page_map(spark: SparkSession, folder: str) -> DataFrame:
+    """Segments placed on pages of five segments each."""
+    return _map(spark, folder)
+
+
+@_query()
+def position_lookup(spark: SparkSession, folder: str) -> DataFrame:
+    """As-of lookup of every tenth of each document."""
+    asked = _records(spark, folder).select("doc_id", F.explode(F.array(*(F.lit(i / 10) for i in range(11)))).alias("ratio"))
+    mapped = _map(spark, folder)
+    return align.looked_up(mapped, asked.join(mapped.select("doc_id").distinct(), "doc_id"), "doc_id", "ratio")
+
+
+@_query(f"WITH {_RECORDS} SELECT doc_id, name, status, progress, updated_at, CAST(row_number() OVER (ORDER BY updated_at DESC, doc_id) AS INTEGER) AS place FROM r QUALIFY place <= 50")
+def recent_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """The 50 documents saved last (a top-k report)."""
+    top = _records(spark, folder).orderBy(F.desc("updated_at"), "doc_id").limit(50)
+    return top.select("doc_id", "name", "status", "progress", "updated_at", F.row_number().over(Window.orderBy(F.desc("updated_at"), "doc_id")).alias("place"))
+
+
+@_query(f"WITH {_SEGMENTS} SELECT doc_id, ordinal, source, coalesce(translation, '') AS translation FROM s")
+def bilingual_export(spark: SparkSession, folder: str) -> DataFrame:
+    """K02."""
+    return sinks.bilingual(_segments(spark, folder))
+
+
+@_query(f"WITH {_SEGMENTS} SELECT doc_id, ordinal, coalesce(translation, '') AS text FROM s WHERE length({_strip("coalesce(translation, '')")}) > 0")
+def translated_export(spark: SparkSession, folder: str) -> DataFrame:
+    """K03 for flowing text: blank translations are left out."""
+    return sinks.translated(_segments(spark, folder), keep_blanks=False)
+
+
+@_query(f"WITH {_SEGMENTS} SELECT DISTINCT doc_id FROM s WHERE length({_strip("coalesce(translation, '')")}) > 0")
+def exportable_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """K07, X03."""
+    return sinks.exportable(_segments(spark, folder))
+
+
+@_query(f"""WITH {_PACKED}, k AS (SELECT doc_id, unnest(range(1, 1 + len(l))) AS n, unnest(l) AS line FROM (SELECT doc_id, string_split(txt, chr(10)) AS l FROM t WHERE length(txt) > 0))
+SELECT coalesce(p.doc_id, k.doc_id) AS doc_id, CAST(coalesce(p.ordinal, k.n) AS INTEGER) AS ordinal, line AS left_value, source AS right_value, p.doc_id IS NOT NULL AND k.doc_id IS NOT NULL AS both FROM p FULL JOIN k ON p.doc_id = k.doc_id AND p.ordinal = k.n""")
+def positional_zip(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines and segments of the documents by position."""
+    lines = _read(spark, folder, "documents").select("doc_id", T.clean(F.coalesce("text", F.lit(""))).alias("c")).where(F.length("c") > 0)
+    left = lines.select("doc_id", F.posexplode(F.split("c", "\n", -1)).alias("p", "line")).select("doc_id", (F.col("p") + 1).alias("ordinal"), "line")
+    return merge.zipped(left, segment_pack(spark, folder), ["doc_id", "ordinal"], ["line", "source"])
+
+
+@_query(r"""WITH f AS (SELECT doc_id, file_name, n_chars, lower(regexp_extract(coalesce(file_name, ''), '\.([^./\\]+)$', 1)) AS suffix FROM documents)
+SELECT doc_id, suffix, CASE WHEN suffix NOT IN ('doc', 'docx', 'pdf') THEN 415 WHEN n_chars > 20000 THEN 413 ELSE 0 END AS reject FROM f""")
+def ingest_rejects(spark: SparkSession, folder: str) -> DataFrame:
+    """Types and sizes (here characters above 20,000) refused at ingest (0: accepted)."""
+    return segments.split_by_type(_read(spark, folder, "documents"), "file_name", "n_chars", 20_000).select("doc_id", "suffix", F.coalesce("reject", F.lit(0)).alias("reject"))
+
+
+@_query(rf"""SELECT doc_id, coalesce(nullif(substring(regexp_replace({_strip("regexp_extract(file_name, '([^/\\\\]*)$', 1)")}, '[<>:"/\\|?*]', '_', 'g'), 1, 180), ''), 'document') AS safe FROM documents""")
+def safe_filename(spark: SparkSession, folder: str) -> DataFrame:
+    """P10."""
+    return _read(spark, folder, "documents").select("doc_id", T.safe_filename(F.col("file_name")).alias("safe"))
+
+
+@_query(f"""WITH d AS (SELECT DISTINCT doc_id, updated_at, status FROM doc_records), g AS (SELECT *, lag(status) OVER (PARTITION BY doc_id ORDER BY updated_at, status) AS prev FROM d)
+SELECT doc_id, updated_at, prev AS "before", status AS "after" FROM g WHERE prev IS DISTINCT FROM status""")
+def status_transitions(spark: SparkSession, folder: str) -> DataFrame:
+    """Changes along the saved versions of a record."""
+    from foliant.streaming import edits as stream
+
+    versions = _read(spark, folder, "doc_records").select("doc_id", "updated_at", "status").distinct().withColumn("_o", F.struct("updated_at", "status"))
+    return stream.transitions(versions, "doc_id", "_o", "status").select("doc_id", "_o.updated_at", "before", "after")
