@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -28,6 +29,15 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_folder(spark: SparkSession) -> str | None:
-    """The folder all executors share, as the cluster names it; None where it names none."""
-    return spark.conf.get("spark.checkpoint.dir", None)
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, as the cluster names it; where it names none, as in tests, one of this machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    return named or tempfile.mkdtemp()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df written once as a table in the shared folder and read back, so that several uses do not compute it again."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
