@@ -37,7 +37,7 @@ def guarded(base: DataFrame, results: DataFrame, key: list[str], overwrite: bool
 
 
 def sessions(log: DataFrame, key: list[str], ts: str, order: str, gap: str = "30 minutes") -> DataFrame:
-    """(key, session_start, session_end, n, last_seq): edits of a key with no quiet period of ``gap`` between them."""
+    """(key, session_start, session_end, n, last_seq): edits of a key with no quiet period longer than ``gap`` between them."""
     stamped = log.dropDuplicates([order]).withColumn("_ts", F.col(ts).cast("timestamp"))
     w = F.session_window("_ts", gap)
     out = stamped.groupBy(*key, w.alias("w")).agg(F.count("*").alias("n"), F.max(order).alias("last_seq"), F.max("_ts").alias("_last"))

@@ -249,7 +249,7 @@ def edit_merge(spark: SparkSession, folder: str) -> DataFrame:
     return merge.upserted(_segments(spark, folder), edit_latest(spark, folder), ["doc_id", "segment_id"], ["source", "translation"]).select("doc_id", "ordinal", "source", "translation", "changed")
 
 
-@_query("""WITH d AS (SELECT DISTINCT seq, ts, doc_id, segment_id FROM edits), g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM d WINDOW w AS (PARTITION BY doc_id, segment_id ORDER BY ts)),
+@_query("""WITH d AS (SELECT DISTINCT seq, ts, doc_id, segment_id FROM edits), g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM d WINDOW w AS (PARTITION BY doc_id, segment_id ORDER BY ts)),
 n AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, segment_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS no FROM g)
 SELECT doc_id, segment_id, min(ts) AS session_start, max(ts) AS session_end, count(*) AS n, max(seq) AS last_seq FROM n GROUP BY doc_id, segment_id, no""")
 def edit_sessions(spark: SparkSession, folder: str) -> DataFrame:

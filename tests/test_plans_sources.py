@@ -1,0 +1,140 @@
+import io
+import json
+import zipfile
+
+import pytest
+from pyspark.sql import functions as F
+
+from foliant.config import EngineConfig
+from foliant.plans import requests
+from foliant.sources import readers, sinks
+from foliant.streaming import edits as stream
+
+
+def test_config_clamps():
+    c = EngineConfig(batch_items=99, request_chars=1, max_retries=-2).checked()
+    assert (c.batch_items, c.request_chars, c.max_retries) == (10, 500, 0)
+
+
+def test_parts_and_requests(spark):
+    long = "Aa. " * 400
+    df = spark.createDataFrame([("d", 1, "s0001", "x"), ("d", 2, "s0002", long), ("d", 3, "s0003", " "), ("d", 4, "s0004", None)], "d string, o int, s string, t string")
+    parts = requests.parts(df, ["d", "o", "s"], "t", 600)
+    rows = {r.part_id: r.text for r in parts.collect()}
+    assert list(sorted(rows)) == ["s0001", "s0002__part0001", "s0002__part0002", "s0002__part0003", "s0003"]
+    assert all(len(x) <= 600 for x in rows.values()) and rows["s0003"] == " "
+    made = requests.requests(parts, "d", "o", 3, 600).orderBy("request_no").collect()
+    sent = [[x["id"] for x in json.loads(r.payload)["segments"]] for r in made]
+    assert sum(sent, []) == sorted(rows) and all(r.n_items <= 3 for r in made)
+
+
+@pytest.mark.parametrize(
+    ("content", "want"),
+    [
+        ('```JSON {"translations":[{"id":"s1","text":" a "}]} ```', {"s1": "a"}),
+        ('{"translations":[{"id":2,"text":"b"},{"id":"x"},{"id":"y","text":"1"},{"id":"y","text":"2"}]}', {"2": "b", "y": "2"}),
+        ('{"other":1}', {}),
+        ("[1]", {}),
+        ("not json", {}),
+        (None, {}),
+    ],
+)
+def test_parsed(spark, content, want):
+    df = spark.createDataFrame([("d", content)], "d string, c string")
+    assert {r.id: r.text for r in requests.parsed(df, ["d"], "c").collect()} == want
+
+
+def test_retry(spark):
+    df = spark.createDataFrame([(1, None), (3, None), (5, None), (6, None), (1, 50.0), (1, 500.0)], "n int, w double")
+    assert [r.d for r in df.select(requests.delay(F.col("n"), F.col("w")).alias("d")).collect()] == [2, 8, 30, 30, 50, 120]
+    codes = spark.createDataFrame([(c,) for c in (408, 409, 425, 429, 500, 503, 599, 400, 401, 403, 404, 422, 600)], "c int")
+    assert [r.c for r in codes.where(requests.retryable(F.col("c"))).collect()] == [408, 409, 425, 429, 500, 503, 599]
+    waits = spark.createDataFrame([("5",), ("900",), ("-1",), ("soon",), (None,)], "h string")
+    assert [r.w for r in waits.select(requests.wait_of(F.col("h")).alias("w")).collect()] == [5, 120, 0, None, None]
+
+
+def test_called_retries(spark):
+    def shaky(payload):
+        if payload == "bad":
+            raise OSError("HTTP 503")
+        return "{}" if payload == "ok" else "no json"
+
+    df = spark.createDataFrame([(1, "ok"), (2, "bad"), (3, "x")], "k int, payload string")
+    got = {r.k: (r.attempt, r.content, r.error is None) for r in requests.called(df, ["k"], shaky, retries=2).collect()}
+    assert got[1] == (1, "{}", True) and got[2][0] == 3 and got[2][1:] == (None, False) and got[3][0] == 3 and not got[3][2]
+
+
+def test_prompt():
+    p = requests.prompt("zh", "en", [("术语", "term", "law", ""), ("a", "b", "", "")], "")
+    assert "Simplified Chinese to English" in p and "- 术语 => term (law)" in p and "- a => b\n" in p
+
+
+def test_reassembled(spark):
+    df = spark.createDataFrame([("a", 2, "y"), ("a", 1, " x")], "k string, part_no int, t string")
+    assert requests.reassembled(df, ["k"], "t", "en").first().text == "x y" and requests.reassembled(df, ["k"], "t", "zh").first().text == "xy"
+
+
+def test_glossary_files(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("﻿source,target,source_lang\n\"x, y\",z,zh\nshort\n", "utf-8")
+    (tmp_path / "b.tsv").write_text("source\ttarget\np\tq\n", "utf-8")
+    (tmp_path / "c.json").write_text(json.dumps({"terms": [{"source": "m", "target": "n"}, 5]}), "utf-8")
+    (tmp_path / "d.json").write_text('{"terms": null}', "utf-8")
+    (tmp_path / "e.json").write_text("{broken", "utf-8")
+    (tmp_path / "f.json").write_text('[{"source": "u", "target": 7}]', "utf-8")
+    (tmp_path / ".hidden.csv").write_text("source,target\nh,h\n", "utf-8")
+    rows = sorted((r.file, r.row_no, r.source, r.target) for r in readers.glossary(spark, str(tmp_path)).collect())
+    assert rows == [("a.csv", 1, "x, y", "z"), ("a.csv", 2, "short", None), ("b.tsv", 1, "p", "q"), ("c.json", 1, "m", "n"), ("f.json", 1, "u", "7")]
+
+
+def _docx(body):
+    xml = f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{body}</w:body></w:document>'
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", xml)
+    return out.getvalue()
+
+
+def test_docx(spark, tmp_path):
+    p = lambda t: f"<w:p><w:r><w:t>{t}</w:t></w:r></w:p>"
+    cell = lambda t, merge="": f"<w:tc><w:tcPr>{merge}</w:tcPr>{p(t)}</w:tc>"
+    body = p("first") + f"<w:tbl><w:tr>{cell('c1')}{cell('m', '<w:vMerge w:val=\"restart\"/>')}</w:tr><w:tr>{cell('c2')}{cell('m', '<w:vMerge/>')}</w:tr></w:tbl>" + p(" ") + p("last")
+    (tmp_path / "ok.docx").write_bytes(_docx(body))
+    (tmp_path / "bad.docx").write_bytes(b"nothing")
+    (tmp_path / "blank.docx").write_bytes(_docx(p("")))
+    rows = readers.docx(spark, str(tmp_path)).collect()
+    assert [r.source for r in sorted((r for r in rows if r.error is None), key=lambda r: r.ordinal)] == ["first", "last", "c1", "m", "c2"]
+    assert sorted(r.error.split(":")[0] for r in rows if r.error) == ["no text", "unreadable"]
+
+
+def test_records_style_and_versions(spark, tmp_path):
+    for name, data in (("a", {"id": "0" * 12, "name": "n", "segments": [{"id": "s0001", "source": "x"}]}), ("b", {"name": "no id"})):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "document.json").write_text(json.dumps(data), "utf-8")
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c" / "document.json").write_text("{oops", "utf-8")
+    saved = readers.records(spark, f"{tmp_path}/*/document.json")
+    assert [(r.doc_id, r.ordinal, r.source) for r in readers.record_segments(saved).collect()] == [("0" * 12, 1, "x")]
+    (tmp_path / "style.md").write_text("  tone\n" + "x" * 20_000, "utf-8")
+    assert len(readers.style_guide(spark, str(tmp_path / "style.md")).first().style) == 12_000 - 2
+    one = sinks.write_version(spark.range(3), str(tmp_path / "out"))
+    two = sinks.write_version(spark.range(4), str(tmp_path / "out"))
+    assert one != two and spark.read.parquet(one).count() == 3 and spark.read.parquet(two).count() == 4
+
+
+def test_exports(spark):
+    df = spark.createDataFrame([("d", 1, "a", "x"), ("d", 2, "b", None), ("e", 1, "c", " ")], "doc_id string, ordinal int, source string, translation string")
+    assert sinks.bilingual(df).count() == 3 and [r.text for r in sinks.translated(df, False).collect()] == ["x"] and sinks.translated(df, True).count() == 3
+    assert [r.doc_id for r in sinks.exportable(df).collect()] == ["d"]
+
+
+def test_stream_of_edits(spark, tmp_path):
+    rows = [(1, "2025-01-01 00:00:00.0", "k", "a", None), (2, "2025-01-01 00:00:00.3", "k", "ab", None), (2, "2025-01-01 00:00:00.3", "k", "ab", None), (3, "2025-01-01 00:00:05", "k", None, True), (4, "2025-01-02 00:00:00", "z", "q", None)]
+    schema = "seq bigint, ts timestamp_ntz, k string, v string, locked boolean"
+    src = spark.createDataFrame(rows, "seq bigint, ts string, k string, v string, locked boolean").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    src.coalesce(1).write.parquet(str(tmp_path / "log"))
+    read = lambda: spark.readStream.schema(schema).parquet(str(tmp_path / "log"))
+    for name, df, mode in (("saves_t", stream.saves(read().where("v is not null"), ["k"], "ts", "seq", "v"), "append"), ("folded_t", stream.folded(read(), ["k"], "seq", ["v", "locked"]), "update")):
+        q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    assert [r.v for r in spark.table("saves_t").where("k = 'k'").collect()] == ["ab"]
+    assert {r.k: (r.v, r.locked) for r in spark.table("folded_t").collect()} == {"k": ("ab", True), "z": ("q", None)}
