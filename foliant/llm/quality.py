@@ -38,7 +38,7 @@ TERMINATORS, CLOSING, BULLETS = ".!?。！？…", "\"'”’»」』)）]】",
 CHARS = ["chars", "visible", "letters", "digits", "signs", "broken", "cjk", "thai", "ends", "tags", "words", "word_chars", "common", "long_words", "hex_words", "mixed_words"]
 LINES = ["lines", "marked", "short", "pipe", "comma", "semicolon", "tab", "gap", "ended", "spoken"]
 #: Of an open line: its counts and the hash of its content. Of an open word: its length, hash and kinds of characters.
-LINE = ["visible", "words", "pipes", "commas", "semicolons", "tabs", "gaps", "ends", "marked", "ended", "hash", "length"]
+LINE = ["visible", "words", "thai", "pipes", "commas", "semicolons", "tabs", "gaps", "ends", "marked", "ended", "solid", "lead", "trail", "first_run", "last_run", "hash", "length"]
 WORD = ["length", "hash", "upper", "lower", "digits", "hex"]
 BITS = 1024
 _B = np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
@@ -104,28 +104,39 @@ def join_hash(a: int, length: int, b: int) -> int:
 def _line_flags(L: dict[str, np.ndarray]) -> np.ndarray:
     """Which of LINES hold, for lines given by arrays of LINE; a blank line counts for nothing."""
     real = L["visible"] > 0
+    L = L | {"words": L["words"] + L["thai"] // 4, "ends": np.maximum(L["ends"] - (L["marked"] > 0), 0)}
     prose = (L["ends"] > 0) & (L["words"] > 6)
     tables = {c: (L[k] >= 2) & ~prose for c, k in (("pipe", "pipes"), ("comma", "commas"), ("semicolon", "semicolons"), ("tab", "tabs"), ("gap", "gaps"))}
     short = (L["words"] <= 14) & (L["visible"] <= 60) & (L["ended"] == 0) & (L["ends"] == 0)
     return np.stack([real, real & (L["marked"] > 0), real & short, *(real & tables[c] for c in ("pipe", "comma", "semicolon", "tab", "gap")), real & (L["ended"] > 0), real & (L["ends"] > 0)], 1).astype(np.int64)
 
 
-def partials(cps: np.ndarray, off: np.ndarray, open_left: np.ndarray, open_right: np.ndarray, common: frozenset[str]) -> dict[str, np.ndarray]:
-    """Partial counts of each chunk; open_left/right: whether the document goes on there."""
+def partials(cps: np.ndarray, off: np.ndarray, open_left: np.ndarray, open_right: np.ndarray, common: frozenset[str], after: dict[int, str]) -> dict[str, np.ndarray]:
+    """Partial counts of each chunk; open_left/right: whether a word or line may go on there; after: how it goes on behind a chunk."""
     t, n = _chars(), len(off) - 1
-    kind = _kinds()[cps]
+    kind, chars = _kinds()[cps], np.diff(off)
+    seen = kind != HIDDEN  # hidden characters count as characters only
+    if not seen.all():
+        off = np.r_[0, np.cumsum(seen)][off]
+        cps, kind = cps[seen], kind[seen]
+    after = {k: _unhidden(text) for k, text in after.items()}
     low = np.minimum(t["lower"][cps], 0xFFFF)
     at = np.flatnonzero(np.diff(off) > 0)
     heads, tails = off[:-1], off[1:]
     count = lambda flags: cs.sums(flags, heads, tails)
-    visible = (kind != SPACE) & (kind != BREAK) & (kind != HIDDEN)
+    visible = (kind != SPACE) & (kind != BREAK)
     end = t["end"][low]
     nxt = np.r_[kind[1:], BREAK] if len(kind) else kind
     nxt_low = np.r_[low[1:], 0] if len(low) else low
+    lasts = off[1:][at] - 1
+    nxt[lasts], nxt_low[lasts] = BREAK, 0
+    for k, text in after.items():
+        if text and off[k + 1] > off[k]:
+            nxt[off[k + 1] - 1], nxt_low[off[k + 1] - 1] = _kinds()[ord(text[0])], min(ord(text[0]), 0xFFFF)
     inner_end = end & ((low >= 0x2000) | (nxt == SPACE) | (nxt == BREAK) | t["close"][nxt_low])
     letterish = (kind == LETTER) | (kind == CJK) | (kind == THAI)
     out = {c: np.zeros(n, np.int64) for c in CHARS}
-    out |= {"chars": np.diff(off), "visible": count(visible), "letters": count(letterish), "digits": count(kind == DIGIT), "signs": count(kind == SIGN), "cjk": count(kind == CJK), "thai": count(kind == THAI)}
+    out |= {"chars": chars, "visible": count(visible), "letters": count(letterish), "digits": count(kind == DIGIT), "signs": count(kind == SIGN), "cjk": count(kind == CJK), "thai": count(kind == THAI)}
     out["broken"] = count((kind == BROKEN) | ((cps >= 0x80) & (cps <= 0xFF) & ~np.isin(cps, _LATIN1)))
     out["ends"], out["tags"] = count(inner_end), count((low == 60) | (low == 62) | ((low == 38) & np.isin(nxt_low, [35, 110])))
     row = cs.row_of(off)
@@ -134,15 +145,13 @@ def partials(cps: np.ndarray, off: np.ndarray, open_left: np.ndarray, open_right
     np.cumsum(t["random"][low] * up[:-1], out=prefix[1:], dtype=np.uint64)
     value = lambda s, e: (prefix[e] - prefix[s]) * down[s]
 
-    # words: runs of letters and digits (hidden characters do not interrupt them), and single ideographs
-    runs = (kind == LETTER) | (kind == DIGIT) | (kind == HIDDEN)
+    # words: runs of letters and digits, and single ideographs
+    runs = (kind == LETTER) | (kind == DIGIT)
     edge = np.zeros(len(cps) + 1, bool)
     edge[off] = True
     begin = np.flatnonzero(runs & (edge[:-1] | np.r_[True, ~runs[:-1]])) if len(cps) else np.zeros(0, np.int64)
     stop = np.flatnonzero(runs & (edge[1:] | np.r_[~runs[1:], True])) + 1 if len(cps) else begin
-    length = cs.sums(kind != HIDDEN, begin, stop)
-    real = length > 0
-    begin, stop, length = begin[real], stop[real], length[real]
+    length = stop - begin
     wrow = row[begin] if len(begin) else begin
     isupper, islower = (cps != t["lower"][cps]), (kind == LETTER) & (cps == t["lower"][cps])
     W = {"length": length, "hash": value(begin, stop), "upper": cs.sums(isupper, begin, stop), "lower": cs.sums(islower, begin, stop), "digits": cs.sums(kind == DIGIT, begin, stop), "hex": cs.sums((kind == DIGIT) | ((low >= 97) & (low <= 102)), begin, stop)}
@@ -170,6 +179,10 @@ def partials(cps: np.ndarray, off: np.ndarray, open_left: np.ndarray, open_right
     bits[row[single], pick(value(single, single + 1))] = True
     pairs = np.flatnonzero((kind[:-1] == THAI) & (kind[1:] == THAI) & ~edge[1:-1]) if len(cps) > 1 else single[:0]
     bits[row[pairs], pick(value(pairs, pairs + 2))] = True
+    for k, text in after.items():
+        last = off[k + 1] - 1
+        if text and off[k + 1] > off[k] and kind[last] == THAI and _kinds()[ord(text[0])] == THAI:
+            bits[k, int(pick(np.array([hash_of(chr(cps[last]) + text[0])], np.uint64))[0])] = True
 
     # lines
     breaks = kind == BREAK
@@ -186,15 +199,28 @@ def partials(cps: np.ndarray, off: np.ndarray, open_left: np.ndarray, open_right
     last_seen = _last_at(visible & ~t["close"][low], lb, body)
     gap = np.zeros(len(cps), bool)
     if len(cps) > 2:
-        space = kind == SPACE
-        gap[2:] = visible[2:] & space[1:-1] & space[:-2]
+        blank = kind == SPACE
+        gap[2:] = visible[2:] & blank[1:-1] & blank[:-2]
     f = np.minimum(first_seen, max(len(cps) - 1, 0))
     marked = (first_seen < body) & (t["bullet"][low[f]] | _numbered(low, kind, f, body)) if len(lb) else np.zeros(0, bool)
     ended = (last_seen >= lb) & end[np.maximum(last_seen, 0)] if len(lb) else marked
     gaps = cs.sums(gap, lb, body) - gap[f] * (first_seen < body) if len(lb) else np.zeros(0, np.int64)
-    L = {"visible": cs.sums(visible, lb, body), "words": cs.sums(runs2 | (kind == CJK), lb, body) + cs.sums(kind == THAI, lb, body) // 4, "pipes": cs.sums(low == 124, lb, body), "commas": cs.sums((low == 44), lb, body), "semicolons": cs.sums(low == 59, lb, body), "tabs": cs.sums(low == 9, lb, body), "gaps": gaps, "ends": cs.sums(inner_end, lb, body) - 0, "marked": marked.astype(np.int64), "ended": ended.astype(np.int64), "hash": value(lb, body), "length": body - lb}
-    L["ends"] = np.maximum(L["ends"] - (L["marked"] > 0), 0) if len(lb) else L["ends"]
+    space = kind == SPACE
+    zero = np.zeros(len(lb), np.int64)
+    last_visible = _last_at(visible, lb, body) + 1 if len(lb) else zero
+    L = {
+        "visible": cs.sums(visible, lb, body), "words": cs.sums(runs2 | (kind == CJK), lb, body), "thai": cs.sums(kind == THAI, lb, body), "pipes": cs.sums(low == 124, lb, body),
+        "commas": cs.sums(low == 44, lb, body), "semicolons": cs.sums(low == 59, lb, body), "tabs": cs.sums(low == 9, lb, body), "gaps": gaps, "ends": cs.sums(inner_end, lb, body),
+        "marked": marked.astype(np.int64), "ended": ended.astype(np.int64), "solid": cs.sums(visible & ~t["close"][low], lb, body),
+        "lead": cs.sums(space, lb, first_seen) if len(lb) else zero, "trail": cs.sums(space, np.maximum(last_visible, lb), body) if len(lb) else zero,
+        "first_run": runs[lb].astype(np.int64) if len(lb) else zero, "last_run": (runs[np.maximum(body - 1, 0)] & (body > lb)).astype(np.int64) if len(lb) else zero,
+        "hash": value(lb, body), "length": body - lb,
+    }
     lleft, lright = open_left[lrow] & (lb == heads[lrow]), open_right[lrow] & (le == tails[lrow]) & (body == le)
+    for k in np.flatnonzero(lright & (first_seen < body)):  # the number of an item may go on in the next chunk
+        start = np.r_[low[f[k] : f[k] + 8][: body[k] - f[k]], [min(ord(c), 0xFFFF) for c in after.get(int(lrow[k]), "").split("\n")[0].lower()]].astype(np.int64)
+        one = np.array([0])
+        L["marked"][k] = bool(t["bullet"][start[0]] | _numbered(start, _kinds()[start], one, np.array([len(start)]))[0])
     lclosed = ~lleft & ~lright
     flags = _line_flags(L)
     for k, name in enumerate(LINES):
@@ -209,7 +235,7 @@ def partials(cps: np.ndarray, off: np.ndarray, open_left: np.ndarray, open_right
             res[rows[hit], k] = D[c][hit].astype(np.uint64).view(np.int64) if c == "hash" else D[c][hit]
         return res
 
-    out |= {"bits": bits, "line_bits": lbits, "has_break": np.bincount(row[cut], minlength=n) > 0, "all_word": np.bincount(wrow[left & right], minlength=n) > 0}
+    out |= {"bits": bits, "line_bits": lbits, "has_break": np.bincount(row[cut], minlength=n) > 0, "all_word": (np.bincount(wrow[left & right], minlength=n) > 0) | (np.diff(off) == 0)}
     out |= {"head_line": fragment(L, LINE, lrow, lleft), "tail_line": fragment(L, LINE, lrow, lright & ~lleft), "head_word": fragment(W, WORD, wrow, left), "tail_word": fragment(W, WORD, wrow, right & ~left)}
     return out
 
@@ -262,10 +288,15 @@ def _line_of(v: list[int]) -> dict[str, np.ndarray]:
 
 
 def _add_lines(a: list[int], b: list[int]) -> list[int]:
-    out = [x + y for x, y in zip(a, b, strict=True)]
-    seen_a, seen_b = a[0] > 0, b[0] > 0
-    out[LINE.index("marked")] = a[LINE.index("marked")] if seen_a else b[LINE.index("marked")]
-    out[LINE.index("ended")] = b[LINE.index("ended")] if seen_b else a[LINE.index("ended")]
+    x, y = dict(zip(LINE, a, strict=True)), dict(zip(LINE, b, strict=True))
+    sums = {c: x[c] + y[c] for c in LINE}
+    sums["words"] -= x["last_run"] and y["first_run"]
+    sums["gaps"] += x["visible"] > 0 and y["visible"] > 0 and x["trail"] + y["lead"] >= 2
+    sums["marked"] = x["marked"] if x["visible"] else y["marked"]
+    sums["ended"] = y["ended"] if y["solid"] else x["ended"]
+    sums["lead"], sums["trail"] = x["lead"] if x["visible"] else sums["lead"], y["trail"] if y["visible"] else sums["trail"]
+    sums["first_run"], sums["last_run"] = x["first_run"] if x["length"] else y["first_run"], y["last_run"] if y["length"] else x["last_run"]
+    out = [sums[c] for c in LINE]
     h = LINE.index("hash")
     out[h] = _signed(join_hash(a[h] % 2**64, a[LINE.index("length")], b[h] % 2**64))
     return out
@@ -384,9 +415,11 @@ def statistics(df: DataFrame, key: str, text: str, common_words: frozenset[str],
             text_, n_, no_ = cs.flat(b.column(3)), b.column(1).to_numpy(), b.column(2).to_numpy()
             for i, j in cs.slices(text_, 1 << 19):
                 cps, off = cs.codepoints(text_.slice(i, j - i))
-                p = partials(cps, off, no_[i:j] > 0, no_[i:j] < n_[i:j] - 1, common)
-                for k in np.flatnonzero(no_[i:j] < n_[i:j] - 1):
-                    p["common"][k] += _across(text_[i + k].as_py(), b.column(4)[i + k].as_py() or "", common)
+                after = {int(k): b.column(4)[i + int(k)].as_py() or "" for k in np.flatnonzero(no_[i:j] < n_[i:j] - 1)}
+                cut = n_[i:j] > 1  # the ends of a document cut up are open too, until its partials are merged
+                p = partials(cps, off, cut, cut, common, after)
+                for k, ahead in after.items():
+                    p["common"][k] += _across(text_[i + k].as_py(), ahead, common)
                 p["distinct"], p["distinct_lines"] = p["bits"].sum(1), p["line_bits"].sum(1)
                 done = verdict(p)
                 one = pa.array(n_[i:j] > 1)
@@ -397,10 +430,14 @@ def statistics(df: DataFrame, key: str, text: str, common_words: frozenset[str],
     return _finish(made, key, kind, frozenset(hash_of(w) for w in common), stats)
 
 
+def _unhidden(text: str) -> str:
+    return "".join(c for c in text if _kinds()[ord(c)] != HIDDEN)
+
+
 def _across(text: str, after: str, common: frozenset[str]) -> int:
     """Common words of scripts without spaces that lie across the end of a chunk."""
-    tail = text[-AHEAD:].lower()
-    both, n = tail + after.lower(), len(tail)
+    tail = _unhidden(text[-4 * AHEAD :])[-AHEAD:].lower()
+    both, n = tail + _unhidden(after).lower(), len(tail)
     spaced = lambda w: w[0].isascii() or _kinds()[ord(w[0])] not in (CJK, THAI)
     return sum(both.startswith(w, i) for w in common if len(w) > 1 and not spaced(w) for i in range(max(0, n - len(w) + 1), n))
 

@@ -35,7 +35,7 @@ MASKED, QUOTED, CUT = "\ue000", "\ue001", "\ue002"
 
 #: Abbreviations that never end a sentence (they stand before a name, a number or a word).
 ABBREVIATIONS = (
-    "Mr Mrs Ms Messrs Dr Prof No Nos Vol pp Fig Figs Sec Secs Ver approx vs cf Nr Abschn Abs Anl Art ca bzw vgl Hr Fr aprox Sr Sra Srta pág págs párr p "
+    "Mr Mrs Ms Messrs Dr Prof No Nos Vol pp doc Fig Figs Sec Secs Ver approx vs cf Nr Abschn Abs Anl Art ca bzw vgl Hr Fr aprox Sr Sra Srta pág págs párr p "
     "núm al e.g i.e z.B d.h u.a p.ex p.ej Mme Mlle т.е т.д см им рис стр гл Jan Feb Mar Apr Jun Jul Aug Sep Sept Oct Nov Dec"
 )
 #: Abbreviations that, in a text all in capitals, are taken as standing within the sentence.
@@ -96,7 +96,7 @@ def rules(z: str) -> tuple[list[tuple], str, str]:
         f"(?=[)\\]]?{gap}+\\p{{Lu}}{many}\\p{{Lu}})(?<=(?<!\\p{{L}})(?:{'|'.join(z.join(w) for w in CAPITALS.split())}){z}.)",
         f"(?={gap}+(?:ON|IN|AT|AND)\\b)(?<=M{z}.)",
         f"(?={gap}+(?i:{'|'.join(z.join(w) for w in MONTHS.split())}))(?<=\\p{{N}}{z}.)",
-        f"(?=[.]*[{SPACE}]+(?:AND|UND|ET|Y)\\b)",  # an ellipsis in a text in capitals
+        f"(?:(?=[.])|(?<=[.][.]))(?=[.]*[{SPACE}]+(?:AND|UND|ET|Y)\\b)",  # an ellipsis in a text in capitals
     ]
     mask = [
         ("„", f"„({_IN_QUOTES})[“”]", "“$1”"),

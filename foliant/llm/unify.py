@@ -82,6 +82,13 @@ def tables() -> dict[str, np.ndarray]:
             a, b = twin.get(a, a), twin.get(b, b)
             keys.append(a << 21 | b)
             made.append(twin.get(cp, cp))
+    for lead in range(19):  # syllables from their parts, by the rule of the standard
+        for vowel in range(21):
+            syllable = 0xAC00 + (lead * 21 + vowel) * 28
+            keys.append(0x1100 + lead << 21 | 0x1161 + vowel)
+            made.append(syllable)
+            keys += [syllable << 21 | 0x11A7 + tail for tail in range(1, 28)]
+            made += [syllable + tail for tail in range(1, 28)]
     flat = np.concatenate([np.arange(SIZE, dtype=np.uint32), np.array(out, np.uint32)])
     for cp, at, n in heads:
         start[cp], length[cp] = SIZE + at, n
@@ -95,6 +102,11 @@ def tables() -> dict[str, np.ndarray]:
         for other, latin in twin.items():
             if lo <= other <= hi:
                 back[script][latin] = other
+        for cp in range(lo, hi + 1):  # letters with marks that exist in both scripts
+            parts = [int(p, 16) for p in ucd.decomposition(chr(cp)).split(" ") if p and not p.startswith("<")]
+            both = ucd.normalize("NFC", chr(twin[parts[0]]) + chr(parts[1])) if len(parts) == 2 and parts[0] in twin else ""
+            if len(both) == 1:
+                back[script][ord(both)] = cp
     letter = np.zeros(SIZE, bool)
     for lo, hi in ((0x41, 0x5A), (0x61, 0x7A), (0xC0, 0x24F), (0x300, 0x36F), (0x370, 0x52F)):
         letter[lo : hi + 1] = True
