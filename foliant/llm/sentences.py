@@ -61,7 +61,7 @@ _IN_QUOTES = f"[^{_OPEN}{_SHUT}{LINE}]{{0,200}}"
 
 def _letter(ch: str) -> str:
     """All ways in which a letter may be typed, in either case."""
-    ways = "".join(c + DRAWN_ALIKE.get(c, "") + (chr(ord(c) + 0xFEE0) if c.isascii() else "") for c in (ch.lower(), ch.upper()))
+    ways = "".join(c + DRAWN_ALIKE.get(c, "") + "".join(latin for latin, others in DRAWN_ALIKE.items() if c in others) + (chr(ord(c) + 0xFEE0) if c.isascii() else "") for c in (ch.lower(), ch.upper()))
     return f"[{ways}]"
 
 
@@ -85,20 +85,21 @@ def rules(z: str) -> tuple[list[tuple], str, str]:
     the terminator itself and look behind, so that other characters are passed over quickly.
     """
     many, gap = (f"[{HIDDEN}]*", f"[{SPACE}{HIDDEN}]") if z else ("", f"[{SPACE}]")
-    start = f"{many}(?:[“‘（【(\\[¿¡]*{many}[\\p{{Lu}}\\p{{N}}\\p{{So}}{_CJK}{_THAI}])"
+    start = f"{many}(?:(?:[“‘（【(\\[¿¡„「『]|«[{SPACE}]?)*{many}[\\p{{Lu}}\\p{{N}}\\p{{So}}{_CJK}{_THAI}])"
     number = f"(?:[\\p{{N}}{HIDDEN}]{{1,6}}{_DOT})"
     dots = [
         f"(?={gap})(?<=(?m:^)[{SPACE}{HIDDEN}]{{0,6}}{number}?{number}?{number})",  # number of a heading
         f"(?={many}[\\p{{Ll}}\\p{{N}}])",  # decimals, versions, URLs, names of files
-        f"(?={gap}*{start})(?<=(?<![\\p{{L}}\\p{{N}}])(?:{_any(ABBREVIATIONS, z)}|ﬁ{z}g){z}.)",
-        f"(?={many}[{SPACE}]?{many}[A-Za-zе]{{1,2}}{many}{_DOT})(?<=(?<!\\p{{L}})[zdupieт]{z}.)",  # the inner point of z. B.
-        f"(?={gap}*\\p{{L}})(?<=(?<![\\p{{L}}\\p{{N}}-]|\\p{{N}}[{SPACE}])\\p{{Lu}}{z}.)",  # initials, but not a unit behind a number
+        f"(?={gap}*{start})(?<=(?<![\\p{{L}}\\p{{N}}]{z})(?:{_any(ABBREVIATIONS, z)}|ﬁ{z}g){z}.)",
+        f"(?={many}[{SPACE}]?{many}\\p{{L}}{{1,2}}{many}{_DOT})(?<=(?<!\\p{{L}}{z})(?:{'|'.join(map(_letter, 'zdupieт'))}){z}.)",  # the inner point of z. B.
+        f"(?={gap}*\\p{{L}})(?<=(?<![\\p{{L}}\\p{{N}}-]{z}|\\p{{N}}[{SPACE}])\\p{{Lu}}{z}.)",  # initials, but not a unit behind a number
         f"(?=[)\\]]?{gap}+\\p{{Lu}}{many}\\p{{Lu}})(?<=(?<!\\p{{L}})(?:{'|'.join(z.join(w) for w in CAPITALS.split())}){z}.)",
         f"(?={gap}+(?:ON|IN|AT|AND)\\b)(?<=M{z}.)",
-        f"(?={gap}+(?i:{'|'.join(z.join(w) for w in MONTHS.split())}))(?<=\\p{{N}}{z}.)",
+        f"(?={gap}+(?:{_any(MONTHS, z)}))(?<=\\p{{N}}{z}.)",
         f"(?:(?=[.])|(?<=[.][.]))(?=[.]*[{SPACE}]+(?:AND|UND|ET|Y)\\b)",  # an ellipsis in a text in capitals
     ]
     mask = [
+        ("＂", "＂", '"'),
         ("„", f"„({_IN_QUOTES})[“”]", "“$1”"),
         ('"', f'"(?={many}[^{SPACE}])(?<=(?m:^|[{SPACE}{HIDDEN}(\\[（：:—–])")', "“"),
         ('"', '"', "”"),
@@ -114,10 +115,10 @@ def rules(z: str) -> tuple[list[tuple], str, str]:
         f"[.．!?](?={many}[{_CJK}])",
         f"{_DOT}(?!{many}{_DOT})(?<=[{_CJK}）”]{z}.){_CLOSE}(?!{many}{MASKED})",
         f"[!?](?<=[{_CJK}]{z}.){more}{_CLOSE}",
-        f"[.．!?](?<=[\\p{{Ll}}\\p{{N}})”]{z}.){more}{_CLOSE}(?={many}\\p{{Lu}}{many}[\\p{{Ll}}{SPACE}'’])",
-        f"…(?:{many}…)*{_CLOSE}(?={start})(?!{many}(?:{GO_ON.replace(' ', '|')}))",
+        f"[.．!?](?<=[\\p{{Ll}}\\p{{N}})”]{z}.){more}{_CLOSE}(?={many}\\p{{Lu}}{many}[\\p{{Ll}}{SPACE}{MASKED}'’])",
+        f"…(?:{many}…)*{_CLOSE}(?={start})(?!{many}(?:{'|'.join(z.join(w) for w in GO_ON.split())}))",
         f"{QUOTED}{quoted}(?=[{SPACE}]+{start})(?![{SPACE}]+(?:AND|IS|EST|UND|Y)\\b)",
-        f"{QUOTED}(?={quoted})(?<=[:：]{gap}?[{_OPEN}]{_IN_QUOTES}.){quoted}(?={start})(?!{many}(?:{GO_ON_QUOTED.replace(' ', '|')}))",
+        f"{QUOTED}(?={quoted})(?<=[:：]{gap}?[{_OPEN}]{_IN_QUOTES}.){quoted}(?={start})(?!{many}(?:{'|'.join(z.join(w) for w in GO_ON_QUOTED.split())}))",
     ]
     blank = "[ \\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{202f}\\x{205f}\\x{3000}]"
     thai = f"{blank}(?<=[{_THAI}]{z}.){blank}*(?={many}[{_THAI}])"

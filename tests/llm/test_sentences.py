@@ -12,6 +12,7 @@ CASES = [
     ("Voir la fig. 88, p. 6, du dossier. M. Olmira a noté p. ex. 3,4 V à 20 h. Fin.", 3), ("« Attention ! Ne pas ouvrir. » est écrit sur la porte 4.", 1),
     ("La Sra. Olmira revisó el art. 90, párr. 2. ¿Está lista la pág. 3? Sí.", 3), ("El rótulo dice: «¡Alto! No abrir.» La bomba va.", 2),
     ("См. рис. 91 и стр. 11 отчёта. Груз весит 3 кг, т. е. половину.", 2), ("Цех работает с 8.30 до 17.00. Насос стоит.", 2),
+    ("Le filtre est prêt. « Attention ! Ne pas ouvrir. » est écrit. Fin.", 3), ("sur place.M. Olmira part.", 2), ("Он ушёл. См. риc. 5 и стр. 1.", 2), ("Der Termin ist der ４． Ｊｕｎｉ um drei.", 1),
     ("水泵。阀门！停？！好。", 4), ("标签上的“保持干燥。请勿堆放。”字样必须可见。", 1), ("安装工写道：“已破损。”操作员检查。", 2), ("“等等！还没好，”安装工喊道。", 1), ("数值先漂移……随后稳定。", 1),
     ("无人回答……操作员检查。", 2), ("（盖子关闭。）操作员检查。", 2), ("变压器.客户代表检查.", 2), ("温度为 3.5 度；完成。", 1),
     ("「待て！まだだ。」と叫んだ。次へ。", 2), ("画面に「停止。再起動。」と表示される。", 1),
