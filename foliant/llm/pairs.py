@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliant import session
 from foliant.llm import charspace as cs
 from foliant.llm import langid, unify
 
@@ -202,7 +203,7 @@ def refusal_templates(found: DataFrame, group: list[str]) -> DataFrame:
 
 def broken_pairs(df: DataFrame, key: str, prompt: str, response: str, group: list[str], model: langid.Model) -> DataFrame:
     """(key, defect) of every defective pair."""
-    found = facts(df, key, prompt, response, group, model)
+    found = session.written(facts(df, key, prompt, response, group, model))  # used several times
     templates = refusal_templates(found, group)
     usual = found.where("not empty and not copy and not wrong and lang is not null").groupBy("lang").agg(F.percentile_approx("size", 0.5, 1000).alias("usual"))
     # what follows a template opening is a template too, where it recurs
