@@ -117,6 +117,9 @@ def units(cps: np.ndarray, off: np.ndarray) -> Units:
     row = cs.row_of(off)
     nxt_space, nxt_letter = np.r_[space[1:], 2], np.r_[letter[1:], 0]
     prev_letter = np.r_[0, letter[:-1]]
+    ends = off[1:][np.diff(off) > 0] - 1  # no look beyond a row
+    nxt_space[ends], nxt_letter[ends] = 2, 0
+    prev_letter[off[:-1][off[:-1] < n]] = 0
     # a full stop ends a unit before white space, but not before a small letter nor behind one or two letters with a capital
     small = (letter == 1) & (own == low)
     ahead = np.r_[small[2:], False, False][:n]
@@ -136,7 +139,7 @@ def units(cps: np.ndarray, off: np.ndarray) -> Units:
     # letters of codes (AB-123, v2) are no text
     digit = (low >= 48) & (low <= 57)
     word = (letter == 1) | digit
-    head = word & np.r_[True, ~word[:-1]]
+    head = word & (np.r_[True, ~word[:-1]] | begin)
     number = np.cumsum(head) - 1
     runs = int(number[-1]) + 1 if word.any() else 0
     text = letter.copy()
@@ -144,7 +147,7 @@ def units(cps: np.ndarray, off: np.ndarray) -> Units:
         where = np.where(word, number, runs)
         size = np.bincount(where, minlength=runs + 1)
         coded = np.bincount(where, digit, runs + 1) > 0
-        last = np.flatnonzero(word & np.r_[~word[1:], True])
+        last = np.flatnonzero(word & np.r_[~word[1:] | begin[1:], True])
         dash = (low[np.minimum(last + 1, n - 1)] == 45) & digit[np.minimum(last + 2, n - 1)]
         coded[:runs] |= dash & (size[:runs] <= 4)
         coded[runs] = False
@@ -207,18 +210,19 @@ def scores(u: Units, model: Model) -> np.ndarray:
     return np.add.reduceat(each, u.starts, axis=0)
 
 
-def classify(u: Units, model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """Language number of each unit (-1 where there is too little to tell) and the confidence in [0, 1]."""
+def classify(u: Units, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Language number of each unit (-1 where there is too little to tell), the confidence in [0, 1], and the log-odds against the next."""
     s = scores(u, model)
     if not len(s):
-        return np.zeros(0, np.int64), np.zeros(0)
+        return np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
     grams = np.diff(np.r_[u.starts, len(u.features[0])])
     per = s / np.maximum(grams, 1)[:, None] * np.minimum(grams, 30)[:, None] / 2  # n-grams are not independent
     p = np.exp(per - per.max(1, keepdims=True))
     p /= p.sum(1, keepdims=True)
     best = s.argmax(1)
     known = (u.letters >= 4) | (u.wide >= 2)
-    return np.where(known, best, -1), np.where(known, p.max(1), 0.0)
+    top = np.partition(s, -2, axis=1)[:, -2:]
+    return np.where(known, best, -1), np.where(known, p.max(1), 0.0), top[:, 1] - top[:, 0]
 
 
 SCHEMA = "string, confidence double, share double, whole array<string>"
@@ -246,7 +250,7 @@ def detect(df: DataFrame, key: list[str], text: str, model: Model, out: str = "l
 def _summary(texts: pa.Array, model: Model, langs: np.ndarray) -> list[pa.Array]:
     n, k = len(texts), len(langs)
     u = units(*cs.codepoints(texts))
-    best, sure = classify(u, model)
+    best, sure, margin = classify(u, model)
     ok = best >= 0
     weight = (u.letters + 2 * u.wide)[ok].astype(np.float64)
     cell = u.row[ok] * k + best[ok]
@@ -261,7 +265,7 @@ def _summary(texts: pa.Array, model: Model, langs: np.ndarray) -> list[pa.Array]
     main, total = mass.argmax(1), mass.sum(1)
     got = total > 0
     pick = np.arange(n), main
-    whole = ok & u.whole & (sure >= SURE) & ((u.letters >= WHOLE_LETTERS) | (u.wide >= WHOLE_WIDE))
+    whole = ok & u.whole & (sure >= SURE) & (((u.letters >= WHOLE_LETTERS) & (margin >= MARGIN)) | (u.wide >= WHOLE_WIDE))
     has = np.zeros((n, k), bool)
     has[u.row[whole], best[whole]] = True
     rows, cols = np.nonzero(has)
@@ -276,8 +280,8 @@ def _marked_up(texts: pa.Array) -> np.ndarray:
     return sum(pa.compute.count_substring(texts, x).to_numpy(zero_copy_only=False) for x in "<&") > 0.02 * size
 
 
-#: A whole sentence has at least so many letters, or so many ideographs, and is told apart with this confidence.
-WHOLE_LETTERS, WHOLE_WIDE, SURE = 15, 4, 0.8
+#: A whole sentence has at least so many letters, told apart by these log-odds, or so many ideographs, and this confidence.
+WHOLE_LETTERS, MARGIN, WHOLE_WIDE, SURE = 13, 25.0, 4, 0.8
 
 
 def stretches(df: DataFrame, key: list[str], text: str, model: Model) -> DataFrame:
@@ -290,7 +294,7 @@ def stretches(df: DataFrame, key: list[str], text: str, model: Model) -> DataFra
             texts = cs.flat(b.column(len(key)))
             for i, j in cs.slices(texts):
                 u = units(*cs.codepoints(texts.slice(i, j - i)))
-                best, sure = classify(u, model)
+                best, sure, _ = classify(u, model)
                 ok = np.flatnonzero((best >= 0) & (langs[best] != NONE))
                 row, lang, weight = u.row[ok], best[ok], u.letters[ok] + u.wide[ok]
                 new = np.r_[True, (row[1:] != row[:-1]) | (lang[1:] != lang[:-1])][: len(ok)]

@@ -40,8 +40,8 @@ OPENING, HASHES, BANDS, SIMILAR = 64, 8, 4, 0.8
 REPEATS, UNRELATED = 2, 0.6
 #: Relative size and share of units up to which a response lacks the latter half, the size up to which it does in any case, and that of a last sentence broken off.
 SHORT, HALF, LEAST, LAST = 0.7, 0.65, 0.4, 0.8
-#: Confidence and letters with which a unit counts as being in another language written alike.
-SURE, LETTERS = 0.85, 20
+#: Confidence, log-odds and letters with which a unit counts as being in another language written alike.
+SURE, MARGIN, LETTERS = 0.85, 15.0, 20
 #: Letters of a response for a letter of the prompt, as usual between these languages (used for last sentences only).
 LETTERS_FOR_ONE = {"zh": 3.5, "en": 0.29, "de": 0.27, "fr": 0.27, "es": 0.27, "ru": 0.3, "ja": 0.75, "th": 0.29}
 _EDGE = " \t\n\r\"'“”‘’()（）[]【】<>《》「」『』*_.。…-—–~!！?？:：;；,，、/\\|#=+"
@@ -103,7 +103,7 @@ def _facts(sources: pa.Array, targets: pa.Array, model: langid.Model) -> list[pa
     both = pa.concat_arrays([sources, targets])
     folded = cs.strings(*unify.fold(*cs.codepoints(both))).to_pylist()
     u = langid.units(*cs.codepoints(both))
-    best, sure = langid.classify(u, model)
+    best, sure, margin = langid.classify(u, model)
     weight = u.letters + 2.5 * u.wide
     none = model.langs.index(langid.NONE) if langid.NONE in model.langs else -1
     ok = (best >= 0) & (best != none)
@@ -119,7 +119,7 @@ def _facts(sources: pa.Array, targets: pa.Array, model: langid.Model) -> list[pa
     zh, en, ja = (model.langs.index(x) for x in ("zh", "en", "ja"))
     han = np.array([main[i] == ja and not _KANA.search(folded[i]) for i in range(n)], bool)  # ideographs alone: either language
     to_en = (main[:n] == zh) | han
-    off = ok & (u.wide * 2 <= u.letters) & (best != en) & (sure >= SURE) & (u.letters >= LETTERS) | ok & (u.wide * 2 > u.letters)
+    off = ok & (u.wide * 2 <= u.letters) & (best != en) & (sure >= SURE) & (margin >= MARGIN) & (u.letters >= LETTERS) | ok & (u.wide * 2 > u.letters)
     not_en = np.bincount(u.row[off], minlength=2 * n)[n:]
     wide, narrow = np.bincount(u.row, u.wide, 2 * n)[n:], np.bincount(u.row, u.letters, 2 * n)[n:]
     not_zh = (narrow >= 4) & (narrow > 4 * wide) | (count[n:][np.arange(n), ja] * 2 > count[n:].sum(1)) & np.array([bool(_KANA.search(x)) for x in folded[n:]], bool)
