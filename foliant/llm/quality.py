@@ -450,7 +450,9 @@ def _null(x: pa.Array, keep: pa.Array) -> pa.Array:
 def _finish(made: DataFrame, key: str, kind: str, common: frozenset[int], stats: list[str]) -> DataFrame:
     import pandas as pd
 
-    once = made.groupBy(key, "_no").agg(*(F.first(c).alias(c) for c in made.columns if c not in (key, "_no")))
+    # one struct, so that the branches below share one exchange and the texts are counted once
+    rest = [c for c in made.columns if c not in (key, "_no")]
+    once = made.groupBy(key, "_no").agg(F.first(F.struct(*rest)).alias("_row")).select(key, "_no", *(F.col(f"_row.{c}").alias(c) for c in rest))
     small = once.where("_n = 1").select(key, *(F.col(f"_{c}").alias(c) for c in stats))
     fields = [x.strip().split(" ")[0] for x in SCHEMA.split(", ")]
     hashes = set(common)
