@@ -30,9 +30,13 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, as the cluster names it; where it names none, as in tests, one of this machine."""
+    """The folder all executors share, as the cluster names it; where it names none, one beside the warehouse, and in local mode one of this machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return named or tempfile.mkdtemp()
+    if named:
+        return named
+    if spark.sparkContext.master.startswith("local"):
+        return tempfile.mkdtemp()
+    return spark.conf.get("spark.sql.warehouse.dir") + "/_work"
 
 
 def written(df: DataFrame) -> DataFrame:
