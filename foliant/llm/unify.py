@@ -20,9 +20,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliant import session
 from foliant.llm import charspace as cs
 
 #: Letters drawn alike. Each Latin letter is followed by the letters of other scripts drawn like it.
@@ -194,17 +195,13 @@ def unify(df: DataFrame, column: str, out: str = "unified") -> DataFrame:
     return df.select(*{*names, column} if column == out else names).mapInArrow(run, schema)
 
 
-def digest(text: Column, name: str) -> list[Column]:
-    """Two independent 64-bit hashes of a text, used as its 128-bit identity."""
-    return [F.xxhash64(text).alias(f"{name}1"), F.xxhash64(F.lit(1), text).alias(f"{name}2")]
-
-
 def same_look(df: DataFrame, key: str, text: str, within: list[str]) -> DataFrame:
     """Pairs (key_a < key_b) of rows of one group ``within`` whose texts are different strings of one look.
 
-    Rows repeated with the same key count once. Only rows of looks that have several spellings are joined, and
-    the join is between spellings: rows with exactly the same string are never paired with one another. A null
-    text, a null key or a null group column takes part in no pair; an empty group list means the whole table.
+    Rows repeated with the same key count once. Only looks with several spellings go on; the spellings of a look
+    are joined with each other, and the rows of both are attached then, so rows with exactly the same string
+    never meet and no group is collected. Strings are compared by two independent 64-bit hashes. A null text, a
+    null key or a null group column takes part in no pair; an empty group list means the whole table.
     """
     schema = ", ".join(["_key bigint", *(f"`{c}` {dict(df.dtypes)[c]}" for c in within), "_text string", "_look string"])
 
@@ -213,11 +210,16 @@ def same_look(df: DataFrame, key: str, text: str, within: list[str]) -> DataFram
             yield pa.RecordBatch.from_arrays([*b.columns, fold_array(b.column(len(b.columns) - 1)).cast(pa.string())], [*b.schema.names, "_look"])
 
     found = df.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("_key"), *within, F.col(text).alias("_text")).mapInArrow(run, schema)
-    look, spelling = ["_l1", "_l2"], ["_s1", "_s2"]
-    hashed = found.select("_key", *within, F.xxhash64("_look").alias("_l1"), F.xxhash64(F.lit(1), "_look").alias("_l2"), F.xxhash64("_text").alias("_s1"), F.xxhash64(F.lit(1), "_text").alias("_s2"))
-    spellings = hashed.groupBy(*within, *look, *spelling).agg(F.collect_set("_key").alias("_keys"))
-    a = spellings
-    b = spellings.select(*within, *look, *(F.col(c).alias(c + "b") for c in spelling), F.col("_keys").alias("_keys_b"))
-    pairs = a.join(b, [*within, *look]).where((F.col("_s1") < F.col("_s1b")) | ((F.col("_s1") == F.col("_s1b")) & (F.col("_s2") < F.col("_s2b"))))
-    pairs = pairs.select(F.explode("_keys").alias("_a"), "_keys_b").select("_a", F.explode("_keys_b").alias("_b")).where("_a <> _b")
-    return pairs.select(F.least("_a", "_b").alias("key_a"), F.greatest("_a", "_b").alias("key_b")).distinct()
+    one, two = F.lit(0), F.lit(1)
+    hashes = [F.xxhash64(n, c).alias(name) for c, of in (("_look", "_l"), ("_text", "_s")) for n, name in ((one, f"{of}1"), (two, f"{of}2"))]
+    hashed = session.written(found.select("_key", *within, *hashes).distinct())  # used several times
+    look = [*within, "_l1", "_l2"]
+    spelling = F.struct("_s1", "_s2")
+    several = hashed.groupBy(*look).agg(F.min(spelling).alias("_lo"), F.max(spelling).alias("_hi")).where("_lo <> _hi").select(*look)
+    rows = hashed.join(several, look, "left_semi")
+    each = rows.select(*look, "_s1", "_s2").distinct()
+    other = each.withColumnsRenamed({"_s1": "_o1", "_s2": "_o2"})
+    kinds = each.join(other, look).where((F.col("_s1") < F.col("_o1")) | ((F.col("_s1") == F.col("_o1")) & (F.col("_s2") < F.col("_o2"))))
+    first = kinds.join(rows.withColumnRenamed("_key", "_a"), [*look, "_s1", "_s2"])
+    both = first.join(rows.withColumnsRenamed({"_key": "_b", "_s1": "_o1", "_s2": "_o2"}), [*look, "_o1", "_o2"]).where("_a <> _b")
+    return both.select(F.least("_a", "_b").alias("key_a"), F.greatest("_a", "_b").alias("key_b")).distinct()
