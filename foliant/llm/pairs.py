@@ -44,6 +44,8 @@ SHORT, HALF, LEAST, LAST = 0.7, 0.65, 0.4, 0.8
 SURE, MARGIN, LETTERS = 0.85, 15.0, 20
 #: Letters of a response for a letter of the prompt, as usual between these languages (used for last sentences only).
 LETTERS_FOR_ONE = {"zh": 3.5, "en": 0.29, "de": 0.27, "fr": 0.27, "es": 0.27, "ru": 0.3, "ja": 0.75, "th": 0.29}
+#: Letters from which the last unit of a prompt that has no terminator is a sentence, no heading or code, and the size of a last sentence broken off where the prompt's may lack its full stop too.
+SENTENCE, LAST_OPEN = {"th": 20, "zh": 12, "ja": 20}, 0.65
 _EDGE = " \t\n\r\"'“”‘’()（）[]【】<>《》「」『』*_.。…-—–~!！?？:：;；,，、/\\|#=+"
 _CLAUSE = re.compile(r"(?<=\w{5})[.]\s|[，,。;；：:!！?？…\n“”\"()（）]+|[.]$")
 _CODE = re.compile(r"\S*\d\S*")
@@ -98,6 +100,12 @@ def _broken_off(s: str, t: str, fewer: bool) -> bool:
     return fewer or bool(numbers and numbers[-1] not in re.findall(r"\d+", t[-120:]))
 
 
+def _same_end(s: str, t: str) -> bool:
+    """Whether the last line of a folded prompt, such as a code, ends the response too."""
+    a, b = ("".join(filter(str.isalnum, x.rstrip()[-200:].split("\n")[-1].lower())) for x in (s, t))
+    return bool(a) and b.endswith(a)
+
+
 def _facts(sources: pa.Array, targets: pa.Array, model: langid.Model) -> list[pa.Array]:
     n, k, langs = len(sources), len(model.langs), np.array(model.langs)
     both = pa.concat_arrays([sources, targets])
@@ -133,8 +141,11 @@ def _facts(sources: pa.Array, targets: pa.Array, model: langid.Model) -> list[pa
         empty.append(void)
         s_end, t_end = s.rstrip(_SHUT + "\n\r\t")[-1:], t.rstrip(_SHUT + "\n\r\t")[-1:]
         dots = t.rstrip(_SHUT + "\n").endswith(("...", "…")) and not s.rstrip(_SHUT + "\n").endswith(("...", "…"))
-        fewer = units[n + i] < units[i] or (last[i] > 0 and last[n + i] / last[i] / usual.get(int(main[i]), 1.0) < LAST)
-        open_end.append(bool(s_end and s_end in _STOP and (dots or t_end not in _STOP) and _broken_off(s, t, fewer)))
+        stop = bool(s_end) and s_end in _STOP
+        ends = stop or bool(last[i] >= SENTENCE.get(str(langs[main[i]]), 40) and not _same_end(s, t))  # Thai has no terminators, others may lack theirs
+        least = LAST if stop or langs[main[i]] == "th" else LAST_OPEN
+        fewer = units[n + i] < units[i] or (last[i] > 0 and last[n + i] / last[i] / usual.get(int(main[i]), 1.0) < least)
+        open_end.append(bool(ends and (dots or t_end not in _STOP) and _broken_off(s, t, fewer)))
         related.append(_related(s, t)), sentence.append(bool(t_end) and t_end in _STOP)
         same = False
         if not void and known[i] and known[n + i] and 0.5 < len(t) / max(1, len(s)) < 2 and (main[i] == main[n + i] or s[:20] == t[:20]):

@@ -75,3 +75,15 @@ def test_defects(spark, model):
     out = [tuple(r) for r in pairs.broken_pairs(df, "seq", "source", "translation", ["doc_id", "segment_id"], model).collect()]
     assert len(out) == len({q for q, _ in out})
     assert dict(out) == {first + i: d for i, (_, _, d) in enumerate(bad)}
+
+
+def test_breaks_off_without_terminator_in_the_prompt(model):
+    """Thai has no terminators and other prompts may lack theirs: their broken-off responses are found, complete ones, headings and codes are not."""
+    thai = "บริษัท Sørvalen อนุมัติคู่มือการใช้งานทุกวันโดยคลาดเคลื่อนไม่เกิน 34.96 มิลลิเมตร"
+    cases = [
+        (thai, "Sørval", True), (thai, "Sørvalen 公司每天批准操作手册，误差不超过 34.96 毫米。", False), ("2. ตู้ควบคุม", "2. 电子联轴器", False),
+        ("Ardenfjord orders the invoice by the end of the year, at a pressure of 31.6 bar", "Ardenfj", True), ("Three-phase guarantee", "三相保函", False),
+        ("安装工首次使用时检查焊缝，型号为 KR-8704。\n#19-4", "The fitter checks the weld seam at first use, model KR-8704.\n#19-4", False),
+    ]
+    made = pairs._facts(*(cs.flat(pa.array(list(x), pa.string())) for x in list(zip(*cases, strict=True))[:2]), model)
+    assert made[4].to_pylist() == [c[2] for c in cases]
