@@ -36,7 +36,7 @@ STAND_INS = set(
 ) | {"no translation", "not translated", "to be translated", "not available", "translation missing", "to do", "to be done"}
 #: Letters of an opening clause used, trigram hashes and bands of its signature, and the similarity that verifies.
 OPENING, HASHES, BANDS, SIMILAR = 64, 8, 4, 0.8
-#: A template has at least this many repeats in one prompt language, most of them with a new prompt opening.
+#: A template has at least this many repeats with a new prompt opening, and this share of those that random pairs have.
 REPEATS, UNRELATED = 2, 0.6
 #: Relative size and share of units up to which a response lacks the latter half, the size up to which it does in any case, and that of a last sentence broken off.
 SHORT, HALF, LEAST, LAST = 0.7, 0.65, 0.4, 0.8
@@ -194,6 +194,26 @@ def _alike(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))
 
 
+def _expected(seen: DataFrame) -> DataFrame:
+    """(lang, size, e): how many different prompt openings ``size`` random pairs of a language have.
+
+    Each opening is weighed by its share in all pairs, so that neither the size nor a hot opening decides; openings
+    of nearly the same frequency are taken together, so there are some hundred steps a language at most.
+    """
+    share = seen.groupBy("lang", "prompt").agg(F.sum("n").alias("c"))
+    steps = share.groupBy("lang", F.round(F.log2("c") * 8).alias("_step")).agg(F.count("*").alias("k"), F.avg("c").alias("c"))
+    total = steps.groupBy("lang").agg(F.sum(F.col("k") * F.col("c")).alias("total"))
+    sizes = F.explode(F.sequence(F.lit(0), F.lit(640))).alias("i")
+    asked = total.select("lang", "total", sizes).select("lang", "total", _size(F.when(F.col("i") <= 64, F.col("i") + 1.0).otherwise(F.pow(2.0, F.col("i") / 16)))).distinct()
+    new = F.col("k") * (1 - F.pow(1 - F.col("c") / F.col("total"), F.col("size")))
+    return asked.where("size <= 1.1 * total").join(F.broadcast(steps), "lang").groupBy("lang", "size").agg(F.sum(new).alias("e"))
+
+
+def _size(n: Column) -> Column:
+    """A number, above 64 rounded to a sixteenth of a power of two."""
+    return F.when(n <= 64, n.cast("double")).otherwise(F.round(F.pow(2.0, F.round(F.log2(n) * 16) / 16), 3)).alias("size")
+
+
 def refusal_templates(found: DataFrame, group: list[str]) -> DataFrame:
     """(clause): opening clauses of responses that recur across unrelated prompts.
 
@@ -202,13 +222,15 @@ def refusal_templates(found: DataFrame, group: list[str]) -> DataFrame:
     """
     rows = found.where("clause <> '' and not empty and not copy and lang is not null")
     once = rows.groupBy("clause", "lang", "prompt", *group).agg(F.lit(1).alias("x"))
-    seen = once.groupBy("clause", "lang", "prompt").agg(F.count("*").alias("n")).groupBy("clause", "lang").agg(F.sum("n").alias("n"), F.count("*").alias("d"))
-    clauses = seen.groupBy("clause").agg(F.sum("n").alias("all"), F.sum(F.col("n") - 1).alias("n"), F.sum(F.col("d") - 1).alias("d"))
+    seen = once.groupBy("clause", "lang", "prompt").agg(F.count("*").alias("n"))
+    spoken = seen.groupBy("clause", "lang").agg(F.sum("n").alias("n"), F.count("*").alias("d"))
+    sized = spoken.withColumn("size", _size(F.col("n"))).join(F.broadcast(_expected(seen)), ["lang", "size"])  # some hundred rows a language
+    clauses = sized.groupBy("clause").agg(F.sum("n").alias("all"), F.sum(F.col("n") - 1).alias("n"), F.sum(F.col("d") - 1).alias("d"), F.sum(F.col("e") - 1).alias("e"))
     banded = clauses.select("*", F.posexplode(_signature(F.col("clause"))).alias("band", "h"))
     leaders = banded.groupBy("band", "h").agg(F.max_by("clause", F.struct("all", "clause")).alias("leader"))
     close = banded.join(leaders, ["band", "h"]).where((F.col("clause") == F.col("leader")) | (_alike(F.col("clause"), F.col("leader")) >= SIMILAR))
-    members = close.select("leader", "clause", "n", "d", "all").distinct()
-    strong = members.groupBy("leader").agg(F.sum("n").alias("n"), F.sum("d").alias("d")).where((F.col("n") >= REPEATS) & (F.col("d") >= UNRELATED * F.col("n")))
+    members = close.select("leader", "clause", "n", "d", "e").distinct()
+    strong = members.groupBy("leader").agg(F.sum("n").alias("n"), F.sum("d").alias("d"), F.sum("e").alias("e")).where((F.col("d") >= REPEATS) & (F.col("d") >= UNRELATED * F.col("e")))
     return members.join(strong.select("leader"), "leader").select("clause").distinct()
 
 

@@ -87,3 +87,19 @@ def test_breaks_off_without_terminator_in_the_prompt(model):
     ]
     made = pairs._facts(*(cs.flat(pa.array(list(x), pa.string())) for x in list(zip(*cases, strict=True))[:2]), model)
     assert made[4].to_pylist() == [c[2] for c in cases]
+
+
+def templates_of(spark, rows):
+    """The templates among (clause, lang, prompt) of pairs in segments of their own."""
+    flat = [(*r, "d", str(i), False, False) for i, r in enumerate(rows)]
+    df = spark.createDataFrame(flat, "clause string, lang string, prompt string, doc_id string, segment_id string, empty boolean, copy boolean")
+    return {r.clause for r in pairs.refusal_templates(df, ["doc_id", "segment_id"]).collect()}
+
+
+def test_refusals_of_a_skewed_table(spark):
+    """One prompt opening holds a third of the pairs, of the refusals as well."""
+    openings = ["".join(chr(0x4E00 + 7 * (97 * k + j)) for j in range(9)) for k in range(31)]
+    said = ["".join(chr(97 + (k * 7 + j * (k % 5 + 1)) % 26) for j in range(25)) for k in range(31)]
+    prompts = [openings[0]] * 30 + openings[1:] * 2
+    sound = [(said[openings.index(p)], "zh", p) for p in prompts * 9]
+    assert templates_of(spark, sound + [("icannothelpwiththis", "zh", p) for p in prompts]) == {"icannothelpwiththis"}
