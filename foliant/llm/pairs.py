@@ -38,6 +38,8 @@ STAND_INS = set(
 OPENING, HASHES, BANDS, SIMILAR = 64, 8, 4, 0.8
 #: A template has at least this many repeats with a new prompt opening, and this share of those that random pairs have.
 REPEATS, UNRELATED = 2, 0.6
+#: Similarity of two prompt openings from which they are variants of one.
+RELATED = 0.2
 #: Relative size and share of units up to which a response lacks the latter half, the size up to which it does in any case, and that of a last sentence broken off.
 SHORT, HALF, LEAST, LAST = 0.7, 0.65, 0.4, 0.8
 #: Confidence, log-odds and letters with which a unit counts as being in another language written alike.
@@ -179,13 +181,38 @@ def facts(df: DataFrame, key: str, prompt: str, response: str, group: list[str],
     return made.groupBy(key).agg(*(F.first(c).alias(c) for c in names if c != key))
 
 
-def _signature(clause: Column) -> Column:
-    """MinHash bands of a clause: array<bigint> of BANDS hashes of HASHES/BANDS minima each."""
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(clause) - 2)), lambda i: F.substring(clause, i, F.lit(3)))
-    each = HASHES // BANDS
-    seeds = F.array(*(F.lit(s) for s in range(HASHES)))
-    low = F.transform(seeds, lambda s: F.array_min(F.transform(grams, lambda g: F.xxhash64(s, g))))
-    return F.array(*(F.xxhash64(F.lit(b), *(F.element_at(low, b * each + k + 1) for k in range(each))) for b in range(BANDS)))
+def _signatures(clauses: pa.Array) -> np.ndarray:
+    """MinHash bands of clauses over their trigrams: BANDS hashes of HASHES/BANDS minima each."""
+    cps, off = cs.codepoints(clauses)
+    k, mix = np.diff(off), np.uint64(0x9E3779B97F4A7C15)
+    row, place = cs.row_of(off), np.arange(len(cps)) - np.repeat(off[:-1], k)
+    code = np.r_[cps, 0, 0].astype(np.uint64)
+    rest = np.repeat(k, k) - place
+    gram = code[:-2] << np.uint64(42) | np.where(rest > 1, code[1:-1], 0).astype(np.uint64) << np.uint64(21) | np.where(rest > 2, code[2:], 0).astype(np.uint64)
+    use = (rest >= 3) | (place == 0)  # a shorter clause is one gram
+    gram, heads = gram[use], np.searchsorted(row[use], np.arange(len(k)))
+    out = np.zeros((len(k), BANDS), np.uint64)
+    if not len(gram):
+        return out.view(np.int64)
+    for h in range(HASHES):
+        x = (gram + np.uint64(h + 1)) * mix
+        for shift in (29, 32):
+            x = (x ^ x >> np.uint64(shift)) * np.uint64(0xBF58476D1CE4E5B9)
+        low = np.minimum.reduceat(x ^ x >> np.uint64(31), heads)
+        out[:, h // (HASHES // BANDS)] = (out[:, h // (HASHES // BANDS)] ^ low) * mix + np.uint64(h)
+    return out.view(np.int64)
+
+
+def _banded(clauses: DataFrame) -> DataFrame:
+    """(clause, all, band, h): every band of every clause; no clause is empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h = _signatures(cs.flat(b.column(0)))
+            at = pa.array(np.repeat(np.arange(len(h)), BANDS))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(h))), pa.array(h.ravel())], ["clause", "all", "band", "h"])
+
+    return clauses.select("clause", "all").mapInArrow(run, "clause string, all bigint, band int, h bigint")
 
 
 def _alike(a: Column, b: Column) -> Column:
@@ -217,23 +244,37 @@ def _size(n: Column) -> Column:
 def refusal_templates(found: DataFrame, group: list[str]) -> DataFrame:
     """(clause): opening clauses of responses that recur across unrelated prompts.
 
-    Counts are taken over distinct clauses, so rows of one hot clause meet in partial aggregates only; clusters
-    are keyed by band, and each clause is compared with one clause, the most frequent of its band.
+    Rows of one hot clause meet in partial aggregates only; clusters are keyed by band, and each clause is compared
+    with one clause, the most frequent of its band. Occurrences of all variants in a cluster count together.
     """
     rows = found.where("clause <> '' and not empty and not copy and lang is not null")
     once = rows.groupBy("clause", "lang", "prompt", *group).agg(F.lit(1).alias("x"))
     seen = once.groupBy("clause", "lang", "prompt").agg(F.count("*").alias("n"))
-    spoken = seen.groupBy("clause", "lang").agg(F.sum("n").alias("n"), F.count("*").alias("d"))
+    clauses = seen.groupBy("clause").agg(F.sum("n").alias("all"))
+    banded = session.written(_banded(clauses))  # used twice
+    leaders = banded.groupBy("band", "h").agg(F.max_by("clause", F.struct("all", "clause")).alias("leader"), F.sum("all").alias("_sum"), F.count("*").alias("_k"))
+    close = banded.join(leaders.where((F.col("_k") > 1) | (F.col("_sum") > REPEATS)).drop("_sum", "_k"), ["band", "h"]).where((F.col("clause") == F.col("leader")) | (_alike(F.col("clause"), F.col("leader")) >= SIMILAR))
+    members = close.select("leader", "clause", "all").distinct()
+    often = members.groupBy("leader").agg(F.sum("all").alias("_sum")).where(F.col("_sum") > REPEATS).select("leader")
+    members = members.join(often, "leader").select("leader", "clause")
+    # the occurrences of all variants count together, in each prompt language
+    held = seen.join(members, "clause").groupBy("leader", "lang", "prompt").agg(F.sum("n").alias("n"))
+    spoken = held.groupBy("leader", "lang").agg(F.sum("n").alias("n"), F.count("*").alias("d"), F.max_by("prompt", F.struct("n", "prompt")).alias("_first"))
     sized = spoken.withColumn("size", _size(F.col("n"))).join(F.broadcast(_expected(seen)), ["lang", "size"])  # some hundred rows a language
-    clauses = sized.groupBy("clause").agg(F.sum("n").alias("all"), F.sum(F.col("n") - 1).alias("n"), F.sum(F.col("d") - 1).alias("d"), F.sum(F.col("e") - 1).alias("e"))
-    banded = clauses.select("*", F.posexplode(_signature(F.col("clause"))).alias("band", "h"))
-    leaders = banded.groupBy("band", "h").agg(F.max_by("clause", F.struct("all", "clause")).alias("leader"))
-    close = banded.join(leaders, ["band", "h"]).where((F.col("clause") == F.col("leader")) | (_alike(F.col("clause"), F.col("leader")) >= SIMILAR))
-    members = close.select("leader", "clause", "n", "d", "e").distinct()
-    strong = members.groupBy("leader").agg(F.sum("n").alias("n"), F.sum("d").alias("d"), F.sum("e").alias("e")).where((F.col("d") >= REPEATS) & (F.col("d") >= UNRELATED * F.col("e")))
+    maybe = _unrelated(sized).select("leader")
+    # prompts like the most frequent one count with it: variants of a sound response come from variants of a prompt
+    new = held.join(maybe, "leader").join(sized.select("leader", "lang", "e", "_first"), ["leader", "lang"])
+    apart = (F.col("prompt") == F.col("_first")) | (_alike(F.col("prompt"), F.col("_first")) < RELATED)
+    strong = _unrelated(new.groupBy("leader", "lang").agg(F.sum(apart.cast("int")).alias("d"), F.first("e").alias("e")))
     return members.join(strong.select("leader"), "leader").select("clause").distinct()
 
 
+def _unrelated(counts: DataFrame) -> DataFrame:
+    """(leader) of the clusters with about as many new prompt openings as random pairs have; counts: one row a leader and language."""
+    both = counts.groupBy("leader").agg(F.sum(F.col("d") - 1).alias("d"), F.sum(F.col("e") - 1).alias("e"))
+    return both.where((F.col("d") >= REPEATS) & (F.col("d") >= UNRELATED * F.col("e")))
+
+
 def broken_pairs(df: DataFrame, key: str, prompt: str, response: str, group: list[str], model: langid.Model) -> DataFrame:
     """(key, defect) of every defective pair."""
     found = session.written(facts(df, key, prompt, response, group, model))  # used several times

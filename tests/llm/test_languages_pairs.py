@@ -103,3 +103,14 @@ def test_refusals_of_a_skewed_table(spark):
     prompts = [openings[0]] * 30 + openings[1:] * 2
     sound = [(said[openings.index(p)], "zh", p) for p in prompts * 9]
     assert templates_of(spark, sound + [("icannothelpwiththis", "zh", p) for p in prompts]) == {"icannothelpwiththis"}
+
+
+def test_variants_of_a_refusal_count_together(spark):
+    """Variants that occur once each are one template; variants of a sound response come from variants of a prompt."""
+    openings = ["".join(chr(0x4E00 + 7 * (97 * k + j)) for j in range(9)) for k in range(20)]
+    refusals = [f"iamsorrybuticannothelpyouwiththetranslationofthistextdear{x}" for x in "abcdefgh"]
+    sound = [f"thefittermovesthepumpfromthemainhalltothefarendofthestation{x}" for x in "abcdefgh"]
+    rows = [(c, "zh", p) for c, p in zip(refusals, openings, strict=False)]
+    rows += [(c, "zh", "安装工把水泵从主车间移到车站" + x) for c, x in zip(sound, "甲乙丙丁戊己庚辛", strict=True)]
+    rows += [(f"{chr(97 + k)}{chr(100 + k)}xq" * 4, "zh", p) for k, p in enumerate(openings) for _ in range(3)]
+    assert templates_of(spark, rows) == set(refusals)
