@@ -134,7 +134,9 @@ def _facts(sources: pa.Array, targets: pa.Array, model: langid.Model) -> list[pa
     wide, narrow = np.bincount(u.row, u.wide, 2 * n)[n:], np.bincount(u.row, u.letters, 2 * n)[n:]
     not_zh = (narrow >= 4) & (narrow > 4 * wide) | (count[n:][np.arange(n), ja] * 2 > count[n:].sum(1)) & np.array([bool(_KANA.search(x)) for x in folded[n:]], bool)
     readable = known[:n] & ((narrow + wide) >= 2)
-    wrong = readable & np.where(to_en, not_en * 2 > np.maximum(count[n:].sum(1), 1), not_zh) & ~han
+    no_en = not_en * 2 > np.maximum(count[n:].sum(1), 1)
+    foreign = np.isin(langs[main[n:]], ["ru", "th"]) & known[n:]  # told by the script
+    wrong = readable & np.where(han, (no_en | foreign) & not_zh, np.where(to_en, no_en, not_zh))  # of ideographs alone: neither English nor Chinese
     usual = {j: LETTERS_FOR_ONE.get(x, 1.0) for j, x in enumerate(model.langs)}
     empty, copy, open_end, related, sentence, first, second, prompt = [], [], [], [], [], [], [], []
     for i in range(n):

@@ -114,3 +114,14 @@ def test_variants_of_a_refusal_count_together(spark):
     rows += [(c, "zh", "安装工把水泵从主车间移到车站" + x) for c, x in zip(sound, "甲乙丙丁戊己庚辛", strict=True)]
     rows += [(f"{chr(97 + k)}{chr(100 + k)}xq" * 4, "zh", p) for k, p in enumerate(openings) for _ in range(3)]
     assert templates_of(spark, rows) == set(refusals)
+
+
+def test_wrong_language_of_ideographs_alone(model):
+    """Whether Japanese or Chinese, a prompt of ideographs is answered in English or Chinese."""
+    cases = [
+        ("契約書", "Der Vertrag wird von dem Lieferanten unterschrieben und geprüft.", True), ("圧力計", "Манометр", True), ("変圧器", "หม้อแปลงไฟฟ้า", True), ("契約書", "ケーブルをけんさする。", True),
+        ("契約書", "The contract is signed and checked by the supplier.", False), ("契約書", "Agreement", False), ("圧力計", "压力表", False), ("変圧器", "變壓器", False), ("契約書", "AB-12", False),
+    ]
+    sides = [cs.flat(pa.array(list(x), pa.string())) for x in list(zip(*cases, strict=True))[:2]]
+    assert set(main_of(model, sides[0].to_pylist())) == {"ja"}
+    assert pairs._facts(*sides, model)[3].to_pylist() == [c[2] for c in cases]
