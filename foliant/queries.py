@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from foliant.functions import text as T
 from foliant.operators import align, merge, ordered, segments, terms
 from foliant.plans import requests
+from foliant.session import written
 from foliant.sources import sinks
 
 QUERIES: dict = {}
@@ -303,11 +304,25 @@ def position_lookup(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query(f"WITH {_RECORDS} SELECT doc_id, name, status, progress, updated_at, CAST(row_number() OVER (ORDER BY updated_at DESC, doc_id) AS INTEGER) AS place FROM r QUALIFY place <= 50")
 def recent_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """The 50 documents saved last (a top-k report)."""
+    """The 50 documents saved last, as its SQL has it; listed_documents has all of them."""
     top = _records(spark, folder).orderBy(F.desc("updated_at"), "doc_id").limit(50)
     return top.select("doc_id", "name", "status", "progress", "updated_at", F.row_number().over(Window.orderBy(F.desc("updated_at"), "doc_id")).alias("place"))
 
 
+@_query(f"WITH {_RECORDS} SELECT doc_id, name, status, progress, updated_at, row_number() OVER (ORDER BY updated_at DESC, doc_id) AS place FROM r")
+def listed_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents, the one saved last first, with their place.
+
+    The rows are sorted by ranges and written once; a place is the place in the range and the counts of the ranges before.
+    """
+    rows = _records(spark, folder).select("doc_id", "name", "status", "progress", "updated_at")
+    ranges = written(rows.orderBy(F.desc("updated_at"), "doc_id").withColumn("_range", F.spark_partition_id()))
+    counts = ranges.groupBy("_range").agg(F.count("*").alias("_n"))  # one row a range
+    before = counts.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    inner = F.row_number().over(Window.partitionBy("_range").orderBy(F.desc("updated_at"), "doc_id"))
+    return ranges.withColumn("_at", inner).join(F.broadcast(before), "_range").select(*rows.columns, (F.col("_before") + F.col("_at")).alias("place"))
+
+
 @_query(f"WITH {_SEGMENTS} SELECT doc_id, ordinal, source, coalesce(translation, '') AS translation FROM s")
 def bilingual_export(spark: SparkSession, folder: str) -> DataFrame:
     """K02."""

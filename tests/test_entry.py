@@ -36,3 +36,16 @@ def test_entry(spark):
 @pytest.mark.parametrize("name", sorted(set(core.QUERIES) - set(core.SQL)))
 def test_other_queries_run(spark, name):
     assert entry.queries()[name](spark, DATA).count() > 0
+
+
+def test_all_documents_are_listed(spark):
+    """More ranges than one, and no limit."""
+    folder = "/root/testdata/sf0.01"
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = entry.queries()["listed_documents"](spark, folder).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    ids = {r.doc_id for r in spark.read.parquet(f"{folder}/doc_records.parquet").select("doc_id").collect()}
+    assert {r.doc_id for r in rows} == ids and len(ids) > 50
+    assert sorted(rows, key=lambda r: r.place) == sorted(rows, key=lambda r: (-r.updated_at.timestamp(), r.doc_id)) and sorted(r.place for r in rows) == list(range(1, len(rows) + 1))
