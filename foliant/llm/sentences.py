@@ -31,7 +31,7 @@ HIDDEN = "\\x{ad}\\x{200b}-\\x{200f}\\x{2060}-\\x{2064}\\x{feff}"
 LINE = "\\n\\r\\x0b\\x0c\\x{85}\\x{2028}\\x{2029}"
 UNSEEN = "".join(map(chr, [0xAD, *range(0x200B, 0x2010), *range(0x2060, 0x2065), 0xFEFF]))
 #: Placeholders: a masked terminator, one inside a quotation, and the cut marker.
-MASKED, QUOTED, CUT = "\ue000", "\ue001", "\ue002"
+MASKED, QUOTED, CUT, TOLD = "\ue000", "\ue001", "\ue002", "\ue003"  # TOLD: in a quotation behind a colon
 
 #: Abbreviations that never end a sentence (they stand before a name, a number or a word).
 ABBREVIATIONS = (
@@ -56,7 +56,9 @@ _DOT = "[.．]"
 _END = ".．!?。！？…"
 _CJK = "\\x{2e80}-\\x{2fdf}\\x{3005}\\x{3040}-\\x{30ff}\\x{3400}-\\x{4dbf}\\x{4e00}-\\x{9fff}\\x{f900}-\\x{faff}\\x{20000}-\\x{323af}"
 _THAI = "\\x{e01}-\\x{e5b}"
-_IN_QUOTES = f"[^{_OPEN}{_SHUT}{LINE}]{{0,200}}"
+_IN_QUOTES = f"[^{_OPEN}{_SHUT}{LINE}]*+"
+#: A terminator in a quotation, from its opening mark or the terminator before; $1 is what stands before it.
+_QUOTED_END = f"[{_OPEN}](?={_IN_QUOTES}[{_SHUT}])|(?!^)\\G)[^{_OPEN}{_SHUT}{LINE}{_END}]*+)[{_END}]"
 
 
 def _letter(ch: str) -> str:
@@ -104,7 +106,8 @@ def rules(z: str) -> tuple[list[tuple], str, str]:
         ('"', f'"(?={many}[^{SPACE}])(?<=(?m:^|[{SPACE}{HIDDEN}(\\[（：:—–])")', "“"),
         ('"', '"', "”"),
         (f"{_DOT}", f"{_DOT}(?:{'|'.join(dots)})", MASKED),
-        (f"[{_SHUT}]", f"[{_END}](?={_IN_QUOTES}[{_SHUT}])(?<=[{_OPEN}]{_IN_QUOTES}.)", QUOTED),
+        (f"[:：]{gap}?[{_OPEN}]", f"((?:[:：]{gap}?{_QUOTED_END}", f"$1{TOLD}"),
+        (f"[{_SHUT}]", f"((?:{_QUOTED_END}", f"$1{QUOTED}"),
     ]
     more = f"(?:{many}[{_END}])*"
     quoted = f"{many}[{SPACE}]?[{_SHUT}]{_CLOSE}"
@@ -117,12 +120,12 @@ def rules(z: str) -> tuple[list[tuple], str, str]:
         f"[!?](?<=[{_CJK}]{z}.){more}{_CLOSE}",
         f"[.．!?](?<=[\\p{{Ll}}\\p{{N}})”]{z}.){more}{_CLOSE}(?={many}\\p{{Lu}}{many}[\\p{{Ll}}{SPACE}{MASKED}'’])",
         f"…(?:{many}…)*{_CLOSE}(?={start})(?!{many}(?:{'|'.join(z.join(w) for w in GO_ON.split())}))",
-        f"{QUOTED}{quoted}(?=[{SPACE}]+{start})(?![{SPACE}]+(?:AND|IS|EST|UND|Y)\\b)",
-        f"{QUOTED}(?={quoted})(?<=[:：]{gap}?[{_OPEN}]{_IN_QUOTES}.){quoted}(?={start})(?!{many}(?:{'|'.join(z.join(w) for w in GO_ON_QUOTED.split())}))",
+        f"[{QUOTED}{TOLD}]{quoted}(?=[{SPACE}]+{start})(?![{SPACE}]+(?:AND|IS|EST|UND|Y)\\b)",
+        f"{TOLD}{quoted}(?={start})(?!{many}(?:{'|'.join(z.join(w) for w in GO_ON_QUOTED.split())}))",
     ]
     blank = "[ \\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{202f}\\x{205f}\\x{3000}]"
     thai = f"{blank}(?<=[{_THAI}]{z}.){blank}*(?={many}[{_THAI}])"
-    return mask, f"(?=[{LINE}{_END}{QUOTED}])(?:{'|'.join(ends)})", thai
+    return mask, f"(?=[{LINE}{_END}{QUOTED}{TOLD}])(?:{'|'.join(ends)})", thai
 
 
 PLAIN_RULES, HIDDEN_RULES = rules(""), rules(f"[{HIDDEN}]{{0,2}}")

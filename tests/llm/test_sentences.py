@@ -43,3 +43,12 @@ def test_positions(spark):
 def test_many_sentences(spark, n):
     df = spark.createDataFrame([(1, "Ab c. " * n)], "seq bigint, source string")
     assert sentences.sentence_units(df, "seq", ["source"]).count() == n
+
+
+def test_long_quotations(spark):
+    """A quotation of any length within a sentence is not cut, nor are the terminators in it lost behind it."""
+    long = "The pump runs. The fitter waits. " * 12 + "It stops."
+    texts = [f"He said “{long}” and left. She stayed.", f"Er sagte „{long}“ und ging. Sie blieb.", f"他说：“{'水泵运行。' * 60}”她离开了。"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    got = {r.k: r.sentences for r in sentences.with_sentences(df, "t").select("k", "sentences").collect()}
+    assert [len(got[k]) for k in range(3)] == [2, 2, 2] and [got[k][1] for k in range(3)] == ["She stayed.", "Sie blieb.", "她离开了。"]
