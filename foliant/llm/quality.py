@@ -41,6 +41,8 @@ LINES = ["lines", "marked", "short", "pipe", "comma", "semicolon", "tab", "gap",
 LINE = ["visible", "words", "thai", "pipes", "commas", "semicolons", "tabs", "gaps", "ends", "marked", "ended", "solid", "lead", "trail", "first_run", "last_run", "hash", "length"]
 WORD = ["length", "hash", "upper", "lower", "digits", "hex"]
 BITS = 1024
+#: Sums over windows of CHUNK characters, so that the length of a document does not matter: different words, and the number up to which they are repetition.
+VARIETY = ["varied", "least"]
 _B = np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
 
 
@@ -225,9 +227,11 @@ def partials(cps: np.ndarray, off: np.ndarray, open_left: np.ndarray, open_right
     flags = _line_flags(L)
     for k, name in enumerate(LINES):
         out[name] = np.bincount(lrow[lclosed], flags[lclosed, k], n).astype(np.int64)
-    lbits = np.zeros((n, BITS), bool)
     solid = lclosed & (L["visible"] > 0)
-    lbits[lrow[solid], pick(L["hash"][solid])] = True
+    hashes, srow = L["hash"][solid].astype(np.uint64).view(np.int64), lrow[solid]
+    order = np.lexsort((hashes, srow))
+    hashes, srow = hashes[order], srow[order]
+    new = np.r_[True, (hashes[1:] != hashes[:-1]) | (srow[1:] != srow[:-1])][: len(hashes)]
 
     def fragment(D: dict, cols: list[str], rows: np.ndarray, hit: np.ndarray) -> np.ndarray:
         res = np.zeros((n, len(cols)), np.int64)
@@ -235,7 +239,7 @@ def partials(cps: np.ndarray, off: np.ndarray, open_left: np.ndarray, open_right
             res[rows[hit], k] = D[c][hit].astype(np.uint64).view(np.int64) if c == "hash" else D[c][hit]
         return res
 
-    out |= {"bits": bits, "line_bits": lbits, "has_break": np.bincount(row[cut], minlength=n) > 0, "all_word": (np.bincount(wrow[left & right], minlength=n) > 0) | (np.diff(off) == 0)}
+    out |= {"bits": bits, "seen_lines": hashes[new], "distinct_lines": np.bincount(srow[new], minlength=n), "has_break": np.bincount(row[cut], minlength=n) > 0, "all_word": (np.bincount(wrow[left & right], minlength=n) > 0) | (np.diff(off) == 0)}
     out |= {"head_line": fragment(L, LINE, lrow, lleft), "tail_line": fragment(L, LINE, lrow, lright & ~lleft), "head_word": fragment(W, WORD, wrow, left), "tail_word": fragment(W, WORD, wrow, right & ~left)}
     return out
 
@@ -274,13 +278,14 @@ def _numbered(low: np.ndarray, kind: np.ndarray, f: np.ndarray, stop: np.ndarray
     return box | ((one | letter) & np.isin(close, [41, 93, 0xFF09])) | (one & np.isin(close, [46, 0x3001]) & (after == 32))
 
 
-SCHEMA = ", ".join([*(f"{c} bigint" for c in [*CHARS, *LINES]), "bits binary", "line_bits binary", "has_break boolean", "all_word boolean", *(f"{c} array<bigint>" for c in ("head_line", "tail_line", "head_word", "tail_word"))])
+SCHEMA = ", ".join([*(f"{c} bigint" for c in [*CHARS, *LINES]), "bits binary", "seen_lines array<bigint>", "has_break boolean", "all_word boolean", *(f"{c} array<bigint>" for c in ("head_line", "tail_line", "head_word", "tail_word"))])
 
 
 def _rows(p: dict[str, np.ndarray]) -> list[pa.Array]:
     lists = lambda x: pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.int64()))
     packed = lambda x: pa.array([bytes(r) for r in np.packbits(x, axis=1)], pa.binary())
-    return [*(pa.array(p[c]) for c in [*CHARS, *LINES]), packed(p["bits"]), packed(p["line_bits"]), pa.array(p["has_break"]), pa.array(p["all_word"]), *(lists(p[c]) for c in ("head_line", "tail_line", "head_word", "tail_word"))]
+    seen = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(p["distinct_lines"])].astype(np.int32)), pa.array(p["seen_lines"]))
+    return [*(pa.array(p[c]) for c in [*CHARS, *LINES]), packed(p["bits"]), seen, pa.array(p["has_break"]), pa.array(p["all_word"]), *(lists(p[c]) for c in ("head_line", "tail_line", "head_word", "tail_word"))]
 
 
 def _line_of(v: list[int]) -> dict[str, np.ndarray]:
@@ -317,7 +322,7 @@ def _close_line(s: dict, v: list[int]) -> None:
     if v[0] > 0:
         for name, x in zip(LINES, _line_flags(_line_of(v))[0], strict=True):
             s[name] += int(x)
-        s["line_bits"] = _set_bit(s["line_bits"], v[LINE.index("hash")])
+        s["seen_lines"] = [*s["seen_lines"], v[LINE.index("hash")]]
 
 
 def _close_word(s: dict, v: list[int], common: set[int]) -> None:
@@ -335,7 +340,8 @@ def _close_word(s: dict, v: list[int], common: set[int]) -> None:
 def merge(a: dict, b: dict, common: set[int]) -> dict:
     """The partial of two neighbouring chunks (a before b)."""
     s = {c: a[c] + b[c] for c in [*CHARS, *LINES]}
-    s |= {c: bytes(x | y for x, y in zip(a[c], b[c], strict=True)) for c in ("bits", "line_bits")}
+    s["bits"] = bytes(x | y for x, y in zip(a["bits"], b["bits"], strict=True))
+    s |= {c: a[c] + b[c] for c in ("seen_lines", *VARIETY)}
     s |= {"has_break": a["has_break"] or b["has_break"], "all_word": a["all_word"] and b["all_word"]}
     word = lambda x, y: [x[0] + y[0], _signed(join_hash(x[1] % 2**64, x[0], y[1] % 2**64)), *(p + q for p, q in zip(x[2:], y[2:], strict=True))]
     s["head_line"], s["tail_line"], s["head_word"], s["tail_word"] = a["head_line"], b["tail_line"], a["head_word"], b["tail_word"]
@@ -364,16 +370,19 @@ def closed(s: dict, common: set[int]) -> dict:
     return s
 
 
+def _variety(bits: np.ndarray, words: np.ndarray, thai: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """VARIETY of windows of at most CHUNK characters: their different words, told by the bits set, and how many the same words over and over would have."""
+    return -BITS * np.log1p(-np.minimum(bits, BITS - 1) / BITS), 2.0 * np.sqrt(np.maximum(words + np.floor(thai / 4), 1))
+
+
 STATS = "words bigint, mean_word_length double, symbol_ratio double, end_share double, common_share double, lines bigint, kind string"
 
 
 def verdict(s: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """Ratios and verdicts from arrays of merged counts (of BITS only the number of bits set: distinct, distinct_lines)."""
+    """Ratios and verdicts from arrays of merged counts (with VARIETY and the exact number of different lines: distinct_lines)."""
     f = {k: np.asarray(v, np.float64) for k, v in s.items()}
     words = f["words"] + np.floor(f["thai"] / 4)
     vis, lines, w = np.maximum(f["visible"], 1), np.maximum(f["lines"], 1), np.maximum(words, 1)
-    estimate = lambda set_bits: -BITS * np.log1p(-np.minimum(set_bits, BITS - 1) / BITS)
-    distinct, distinct_lines = estimate(f["distinct"]), estimate(f["distinct_lines"])
     cells = np.maximum.reduce([f[c] for c in ("pipe", "comma", "semicolon", "tab", "gap")])
     table = (cells >= 0.6 * lines) & (f["lines"] >= 2)
     items = np.where(f["thai"] > 0.5 * f["letters"], (f["visible"] <= 25 * lines) | (f["marked"] >= 0.6 * lines), f["spoken"] <= 0.2 * lines)
@@ -386,8 +395,8 @@ def verdict(s: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
         | ((f["letters"] + f["digits"] < 0.45 * vis) & ~table & ~listing)
         | (f["mixed_words"] >= 0.2 * w)
         | ((f["hex_words"] >= 0.7 * w) & (words >= 8))
-        | ((words >= 40) & (distinct <= 2.0 * np.sqrt(w)) & ~table)
-        | ((f["lines"] >= 6) & (distinct_lines <= 0.2 * lines))
+        | ((words >= 40) & (f["varied"] <= f["least"]) & ~table)
+        | ((f["lines"] >= 6) & (f["distinct_lines"] <= 0.2 * lines))
     )
     kind = np.where(f["visible"] == 0, "blank", np.where(junk, "junk", np.where(table, "table", np.where(listing, "list", "prose"))))
     null = lambda x, ok: np.where(ok, x, np.nan)
@@ -420,14 +429,14 @@ def statistics(df: DataFrame, key: str, text: str, common_words: frozenset[str],
                 p = partials(cps, off, cut, cut, common, after)
                 for k, ahead in after.items():
                     p["common"][k] += _across(text_[i + k].as_py(), ahead, common)
-                p["distinct"], p["distinct_lines"] = p["bits"].sum(1), p["line_bits"].sum(1)
+                p["varied"], p["least"] = _variety(p["bits"].sum(1), p["words"], p["thai"])
                 done = verdict(p)
                 one = pa.array(n_[i:j] > 1)
-                p["bits"], p["line_bits"] = p["bits"] & (n_[i:j] > 1)[:, None], p["line_bits"] & (n_[i:j] > 1)[:, None]
+                p["bits"] = p["bits"] & (n_[i:j] > 1)[:, None]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), b.column(2).slice(i, j - i), *(_null(x, one) for x in _rows(p)), *(pa.array(done[c], from_pandas=True) for c in stats)], [*names, *(f"_{c}" for c in stats)])
 
     made = source.mapInArrow(count, f"`{key}` {kind}, _n int, _no int, {SCHEMA}, " + ", ".join(f"_{x}" for x in STATS.split(", ")))
-    return _finish(made, key, kind, frozenset(hash_of(w) for w in common), stats)
+    return _finish(made, key, kind, frozenset(hash_of(w) for w in common), stats, max(1, CHUNK // chunk))
 
 
 def _unhidden(text: str) -> str:
@@ -447,7 +456,7 @@ def _null(x: pa.Array, keep: pa.Array) -> pa.Array:
     return pa.compute.if_else(keep, x, pa.scalar(None, x.type))
 
 
-def _finish(made: DataFrame, key: str, kind: str, common: frozenset[int], stats: list[str]) -> DataFrame:
+def _finish(made: DataFrame, key: str, kind: str, common: frozenset[int], stats: list[str], window: int) -> DataFrame:
     import pandas as pd
 
     # one struct, so that the branches below share one exchange and the texts are counted once
@@ -457,23 +466,45 @@ def _finish(made: DataFrame, key: str, kind: str, common: frozenset[int], stats:
     fields = [x.strip().split(" ")[0] for x in SCHEMA.split(", ")]
     hashes = set(common)
 
-    def fold(pdf: pd.DataFrame) -> dict:
-        rows = [{k: [int(x) for x in v] if isinstance(v, np.ndarray) else v for k, v in r.items()} for r in pdf.sort_values("_no").to_dict("records")]
-        state = rows[0]
-        for r in rows[1:]:
+    size = window * -(-FAN // window)  # a run has whole windows
+    state_of = f"`{key}` {kind}, _n int, _no int, {SCHEMA}, " + ", ".join(f"{c} double" for c in VARIETY)
+
+    def rows(pdf: pd.DataFrame) -> list[dict]:
+        """The partials in order; the lines seen in them have been handed on."""
+        made = [{k: [int(x) for x in v] if isinstance(v, np.ndarray) else v for k, v in r.items()} for r in pdf.sort_values("_no").to_dict("records")]
+        return [{**dict.fromkeys(VARIETY, 0.0), **r, "seen_lines": []} for r in made]
+
+    def fold(parts: list[dict]) -> dict:
+        state = parts[0]
+        for r in parts[1:]:
             state = merge(state, r, hashes)
         return state
 
+    def varied(state: dict) -> dict:
+        return dict(zip(VARIETY, map(float, _variety(sum(bin(x).count("1") for x in state["bits"]), state["words"], state["thai"])), strict=True))
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        state = fold(pdf)
-        return pd.DataFrame([{key: pdf[key].iloc[0], "_n": pdf["_n"].iloc[0], "_no": pdf["_no"].min() // FAN, **{c: state[c] for c in fields}}])
+        parts, whole = rows(pdf), pdf["_n"].iloc[0] <= window
+        windows = [fold([p for p in parts if p["_no"] // window == w]) for w in sorted({p["_no"] // window for p in parts})]
+        state = fold(windows if whole else [{**w, **varied(w)} for w in windows])
+        return pd.DataFrame([{key: pdf[key].iloc[0], "_n": pdf["_n"].iloc[0], "_no": pdf["_no"].min() // size, **{c: state[c] for c in [*fields, *VARIETY]}}])
 
     def last(pdf: pd.DataFrame) -> pd.DataFrame:
-        state = closed(fold(pdf), hashes)
-        state["distinct"], state["distinct_lines"] = (sum(bin(x).count("1") for x in state[c]) for c in ("bits", "line_bits"))
-        done = verdict({c: np.array([state[c]]) for c in [*CHARS, *LINES, "distinct", "distinct_lines"]})
-        return pd.DataFrame([{key: pdf[key].iloc[0], **{c: done[c][0] for c in stats}}])
+        state = closed(fold(rows(pdf)), hashes)
+        if pdf["_n"].iloc[0] <= window:
+            state |= varied(state)
+        return pd.DataFrame([{key: pdf[key].iloc[0], "_n": pdf["_n"].iloc[0], "_no": 0, **{c: state[c] for c in [*fields, *VARIETY]}}])
+
+    def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            done = verdict({c: pdf[c].to_numpy() for c in [*CHARS, *LINES, *VARIETY, "distinct_lines"]})
+            yield pd.DataFrame({key: pdf[key], **{c: done[c] for c in stats}})
 
     long = once.where("_n > 1").select(key, "_n", "_no", *fields)
-    runs = long.groupBy(key, F.floor(F.col("_no") / FAN).alias("_run")).applyInPandas(run, f"`{key}` {kind}, _n int, _no int, {SCHEMA}")
-    return small.unionByName(runs.groupBy(key).applyInPandas(last, f"`{key}` {kind}, {STATS}"))
+    runs = long.groupBy(key, F.floor(F.col("_no") / size).alias("_run")).applyInPandas(run, state_of)
+    ends = runs.groupBy(key).applyInPandas(last, state_of)
+    # different lines, exactly: those within chunks, and those put together from several
+    lines = [x.select(key, F.explode("seen_lines").alias("_line")) for x in (long, runs, ends)]
+    counts = lines[0].unionByName(lines[1]).unionByName(lines[2]).distinct().groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("distinct_lines"))
+    full = ends.join(counts, F.col(key).eqNullSafe(F.col("_key")), "left").select(key, *CHARS, *LINES, *VARIETY, F.coalesce("distinct_lines", F.lit(0)).alias("distinct_lines"))
+    return small.unionByName(full.mapInPandas(judge, f"`{key}` {kind}, {STATS}"))

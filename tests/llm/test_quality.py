@@ -49,3 +49,13 @@ def test_chunks_do_not_matter(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert quality.statistics(df, "doc_id", "text", COMMON).count() == 0
+
+
+def test_length_is_no_repetition(spark):
+    """Long documents of different lines or words are no junk; lines and words repeated over many chunks are."""
+    rng = random.Random(8)
+    table = "".join(f"{k}|{k * 7}|x{k}\n" for k in range(40_000))
+    prose = "".join(chr(0x4E00 + rng.randrange(2_000)) + ("。\n" if k % 40 == 39 else "") for k in range(1_200_000))
+    page = "".join(f"The fitter of hall {k} checks pump {k * 3} and the crew moves on.\n" for k in range(400))
+    got = run(spark, [table, prose, page * 6, "pump valve " * 20_000])
+    assert [got[k].kind for k in range(4)] == ["table", "prose", "junk", "junk"]
