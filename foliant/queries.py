@@ -207,14 +207,14 @@ def parts_reassembly(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query()
 def request_json(spark: SparkSession, folder: str) -> DataFrame:
-    """Bounded requests of the segments of each document as JSON."""
+    """Bounded requests of the segments of each document, their segments as JSON."""
     rows = requests.parts(_segments(spark, folder).where("length(source) > 0"), ["doc_id", "ordinal", "segment_id"], "source")
     return requests.requests(rows, "doc_id", "ordinal")
 
 
 @_query()
 def answered(spark: SparkSession, folder: str) -> DataFrame:
-    """Requests answered by a stand-in translator, parsed and merged into unlocked segments."""
+    """Requests answered by a stand-in translator, parsed and merged into unlocked segments."""
     def stand_in(payload: str) -> str:
         import json
 
