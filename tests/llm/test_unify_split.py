@@ -67,7 +67,8 @@ def test_same_look_pairs(spark):
 
 def _cuts(text, **k):
     low = np.minimum(np.array([ord(c) for c in text], np.uint32), 0xFFFF)
-    return splitting.cuts(low, **k), splitting.longest_run(low)
+    (ends, kinds) = splitting.cuts(low, **k)
+    return (ends, kinds), splitting.runs_at(low, ends)
 
 
 def test_splitting_properties():
@@ -78,22 +79,35 @@ def test_splitting_properties():
         limit, overlap = rng.choice([(120, 10), (300, 50), (1200, 100)])
         if len(text) <= limit:
             continue
-        (ends, kinds), run = _cuts(text, limit=limit, overlap=overlap)
+        (ends, kinds), runs = _cuts(text, limit=limit, overlap=overlap)
         starts = np.r_[0, ends[:-1] - overlap]
         assert ends[-1] == len(text) and (np.diff(ends) > 0).all() and (ends - starts).max() <= limit and (starts >= 0).all()
-        assert run == max(map(len, re.split(r"[\s.,;:!?。，；：！？、…]", text)))
+        run = max(map(len, re.split(r"[\s.,;:!?。，；：！？、…]", text)))
+        assert (run > limit) == (max([0, *runs[kinds == 5]]) > limit)
         for e, k in zip(ends[:-1], kinds[:-1], strict=True):
             before = text[e - 1]
-            assert {0: before.isspace(), 1: before in ".!?。！？…" or before.isspace(), 2: True, 3: before.isspace(), 4: True}[int(k)]
+            assert {0: before.isspace(), 1: before in ".!?。！？…" or before.isspace(), 2: True, 3: before.isspace(), 4: before in ".,;:!?", 5: True}[int(k)]
         if run < limit - 2 * overlap - 2:
-            assert 4 not in kinds
+            assert 5 not in kinds
 
 
 def test_splitting_prefers_lines_and_sentences():
     (ends, kinds), _ = _cuts(("Ein Satz mit Wort, hier. " * 3 + "\n") * 40, limit=200, overlap=20)
-    assert set(kinds) <= {0, 5}
+    assert set(kinds) <= {0, 6}
     (ends, kinds), _ = _cuts("x" * 5000)
-    assert set(kinds) == {4, 5}
+    assert set(kinds) == {5, 6}
+
+
+@pytest.mark.parametrize("limit", [120, 150, 200, 400, 1200, 5000])
+def test_no_cut_inside_words(limit):
+    """At any limit: where spaces or marks are within reach, none is cut elsewhere."""
+    overlap = limit // 12
+    sentence = "word " * 38 + "then. "
+    for text in (sentence * 120, "word " * 4000, "a/b.c,d:e" * 2000, ("x" * 90 + " ") * 200):
+        (ends, kinds), _ = _cuts(text, limit=limit, overlap=overlap)
+        starts = np.r_[0, ends[:-1] - overlap]
+        assert ends[-1] == len(text) and (ends - starts).max() <= limit and (np.diff(starts) > 0).all()
+        assert 5 not in kinds
 
 
 def test_split_rows(spark):
@@ -105,4 +119,6 @@ def test_split_rows(spark):
         assert r.text == text[r.seq][r.start_char : r.end_char] and len(r.text) <= 1200
     assert {r.seq for r in out} == {1, 2, 5, 6}
     assert sorted(map(tuple, splitting.oversized(df, "seq", "source").collect())) == [(1, "hard"), (5, "soft")]
+    edge = spark.createDataFrame([(1, "x" * 1200 + " y"), (2, "x" * 1201 + " y"), (3, "a " * 700 + "x" * 1150 + " b"), (4, "u.v/" * 400)], "seq bigint, source string")
+    assert sorted(map(tuple, splitting.oversized(edge, "seq", "source").collect())) == [(1, "soft"), (2, "hard"), (3, "soft"), (4, "soft")]
     assert splitting.split(df.where("false"), "seq", "source").count() == 0
