@@ -38,9 +38,8 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
     """The container of every document, or piece of one, measured in tokens."""
-    docs = _read(spark, folder, "documents")
-    sizes = tokens.token_ids(docs, "doc_id", "text", "tokens", counts_only=True)
-    return packing.containers(sizes, "doc_id", "tokens", items=docs.count())
+    sizes = tokens.token_ids(_read(spark, folder, "documents"), "doc_id", "text", "tokens", counts_only=True)
+    return packing.containers(sizes, "doc_id", "tokens")
 
 
 def _common_words(spark: SparkSession, folder: str, most: int = 100_000) -> frozenset[str]:

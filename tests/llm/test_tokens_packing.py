@@ -57,6 +57,23 @@ def test_pack_fills_and_never_overflows():
         assert np.bincount(step).max(initial=0) <= packing.STEP
 
 
+def test_tiers_decide():
+    """Each tier packs windows of its own size, and such a window stays together in a long one's gap; best fit alone would part it."""
+    assert packing.tiers() == [2048, 512, 128, 32, 8]
+    sizes = np.array([1548, 1698, 350, 150])  # gaps of 500 and 350; the window of 350 + 150 fills the first gap
+    assert packing.pack(sizes).tolist() == [0, 1, 0, 0] or packing.pack(sizes).tolist() == [1, 0, 1, 1]
+    plain = packing.windows(sizes, 2048)
+    assert plain[2] == plain[1] and plain[2] != plain[0]
+    rng = np.random.default_rng(3)
+    other = 0
+    for n in (50, 500, 5000):
+        for sizes in (rng.integers(1, 2049, n), rng.integers(1, 600, n), np.exp(rng.normal(5, 1.5, n)).astype(int).clip(1, 2048)):
+            box = packing.pack(sizes)
+            other += (box != packing.windows(sizes, 2048)).any()
+            assert np.bincount(box, sizes).max() <= 2048 and box.max() + 1 <= 1.005 * (packing.windows(sizes, 2048).max() + 1) + 1
+    assert other >= 6
+
+
 def test_containers(spark):
     rng = random.Random(2)
     rows = [(i, rng.choice([0, 3, 700, 1500, 2048, 2049, 6000, 5 * 2048])) for i in range(500)] + [(3, 700), (900, None), (None, 5)]
