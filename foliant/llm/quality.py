@@ -1,18 +1,18 @@
 """Per-document text quality statistics and the verdict prose, list, table or junk (problem 8).
 
-Huge documents are split into chunks of ``CHUNK`` characters. Every chunk yields associative partial counts,
-made on code point arrays: counts of characters, words and lines that lie wholly inside, and the open word and
-line at either end as fragments. ``merge`` joins two neighbouring partials (it is associative): the last
-fragment of one and the first of the next become one word or line, which is then counted or stays open.
-Partials are merged in a tree (within runs of ``FAN`` chunks, then over the runs of a document), and the ratios
-and rule outcomes are derived from the merged counts; a document of one chunk needs no shuffle.
+Huge documents are split into chunks of ``CHUNK`` characters, cut at byte offsets of the batch without a copy of
+the text. Every chunk yields associative partial counts, made on code point arrays: counts of characters, words
+and lines that lie wholly inside, and the open word and line at either end as fragments. ``merge`` joins two
+neighbouring partials (it is associative): the last fragment of one and the first of the next become one word or
+line, which is then counted or stays open. Partials are merged in a tree: runs of ``FAN`` chunks where they are
+counted, then the runs of a document, whose states alone are shuffled; as a value has at most 2 GB, a document has
+at most some 2,000 runs. The ratios and rule outcomes are derived from the merged counts.
 
 Words are runs of letters, digits and marks; every ideograph or kana is a word, and Thai counts a word for four
 characters, as it is written without spaces.
 
 Edge cases: a null, empty or blank text has zero counts, null ratios and the verdict ``blank``; length is not
-limited; repeated rows of a one-chunk document repeat the result unless ``statistics`` is told the key is to
-count once (the default).
+limited; repeated rows of a key count once; different lines are counted exactly.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from foliant.llm import charspace as cs
 
 CHUNK, FAN = 16_384, 64
-#: Characters of the next chunk looked at for words of scripts without spaces that begin before its start.
+#: Visible characters of the next chunk looked at for numbers of items; for common words as many as the longest has.
 AHEAD = 15
 SPACE, BREAK, LETTER, CJK, THAI, DIGIT, SIGN, HIDDEN, BROKEN = range(9)
 #: Marks that end a sentence or a line of prose, closing marks behind them, and marks of list items.
@@ -114,14 +114,13 @@ def _line_flags(L: dict[str, np.ndarray]) -> np.ndarray:
 
 
 def partials(cps: np.ndarray, off: np.ndarray, open_left: np.ndarray, open_right: np.ndarray, common: frozenset[str], after: dict[int, str]) -> dict[str, np.ndarray]:
-    """Partial counts of each chunk; open_left/right: whether a word or line may go on there; after: how it goes on behind a chunk."""
+    """Partial counts of each chunk; open_left/right: whether a word or line may go on there; after: the visible characters behind a chunk."""
     t, n = _chars(), len(off) - 1
     kind, chars = _kinds()[cps], np.diff(off)
     seen = kind != HIDDEN  # hidden characters count as characters only
     if not seen.all():
         off = np.r_[0, np.cumsum(seen)][off]
         cps, kind = cps[seen], kind[seen]
-    after = {k: _unhidden(text) for k, text in after.items()}
     low = np.minimum(t["lower"][cps], 0xFFFF)
     at = np.flatnonzero(np.diff(off) > 0)
     heads, tails = off[:-1], off[1:]
@@ -278,14 +277,22 @@ def _numbered(low: np.ndarray, kind: np.ndarray, f: np.ndarray, stop: np.ndarray
     return box | ((one | letter) & np.isin(close, [41, 93, 0xFF09])) | (one & np.isin(close, [46, 0x3001]) & (after == 32))
 
 
-SCHEMA = ", ".join([*(f"{c} bigint" for c in [*CHARS, *LINES]), "bits binary", "seen_lines array<bigint>", "has_break boolean", "all_word boolean", *(f"{c} array<bigint>" for c in ("head_line", "tail_line", "head_word", "tail_word"))])
+#: What a run of chunks hands on: counts, bits, hashes of the lines closed in it, and its open ends.
+STATE = ", ".join([*(f"{c}: bigint" for c in [*CHARS, *LINES]), "bits: binary", "seen_lines: array<bigint>", "has_break: boolean", "all_word: boolean", *(f"{c}: array<bigint>" for c in ("head_line", "tail_line", "head_word", "tail_word")), *(f"{c}: double" for c in VARIETY)])
 
 
-def _rows(p: dict[str, np.ndarray]) -> list[pa.Array]:
-    lists = lambda x: pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.int64()))
-    packed = lambda x: pa.array([bytes(r) for r in np.packbits(x, axis=1)], pa.binary())
-    seen = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(p["distinct_lines"])].astype(np.int32)), pa.array(p["seen_lines"]))
-    return [*(pa.array(p[c]) for c in [*CHARS, *LINES]), packed(p["bits"]), seen, pa.array(p["has_break"]), pa.array(p["all_word"]), *(lists(p[c]) for c in ("head_line", "tail_line", "head_word", "tail_word"))]
+def _state(p: dict[str, np.ndarray], k: int, lines: np.ndarray) -> dict:
+    """The partial of one chunk of a batch as a state of merge(); the bits are one number, the lines a list of arrays."""
+    s = {c: int(p[c][k]) for c in [*CHARS, *LINES]}
+    s |= {"bits": int.from_bytes(np.packbits(p["bits"][k]).tobytes(), "big"), "seen_lines": [lines], **dict.fromkeys(VARIETY, 0.0), "has_break": bool(p["has_break"][k]), "all_word": bool(p["all_word"][k])}
+    return s | {c: p[c][k].tolist() for c in ("head_line", "tail_line", "head_word", "tail_word")}
+
+
+def _fold(parts: list[dict], common: set[int]) -> dict:
+    """The partials of neighbours in order, merged by halves."""
+    while len(parts) > 1:
+        parts = [merge(parts[i], parts[i + 1], common) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
+    return parts[0]
 
 
 def _line_of(v: list[int]) -> dict[str, np.ndarray]:
@@ -311,18 +318,16 @@ def _signed(x: int) -> int:
     return x - 2**64 if x >= 2**63 else x
 
 
-def _set_bit(bits: bytes, value: int) -> bytes:
-    k = ((value % 2**64) * 0xD6E8FEB86659FD93 % 2**64) >> 54
-    out = bytearray(bits)
-    out[k // 8] |= 128 >> k % 8
-    return bytes(out)
+def _bit(value: int) -> int:
+    """The bit of a word's hash, as partials() sets it."""
+    return 1 << (BITS - 1 - (((value % 2**64) * 0xD6E8FEB86659FD93 % 2**64) >> 54))
 
 
 def _close_line(s: dict, v: list[int]) -> None:
     if v[0] > 0:
         for name, x in zip(LINES, _line_flags(_line_of(v))[0], strict=True):
             s[name] += int(x)
-        s["seen_lines"] = [*s["seen_lines"], v[LINE.index("hash")]]
+        s["seen_lines"] = [*s["seen_lines"], np.array([v[LINE.index("hash")]], np.int64)]
 
 
 def _close_word(s: dict, v: list[int], common: set[int]) -> None:
@@ -334,13 +339,13 @@ def _close_word(s: dict, v: list[int], common: set[int]) -> None:
         s["long_words"] += length >= 20
         s["hex_words"] += length == 2 and hexa == 2
         s["mixed_words"] += length >= 12 and upper > 1 and lower > 1
-        s["bits"] = _set_bit(s["bits"], value)
+        s["bits"] |= _bit(value)
 
 
 def merge(a: dict, b: dict, common: set[int]) -> dict:
     """The partial of two neighbouring chunks (a before b)."""
     s = {c: a[c] + b[c] for c in [*CHARS, *LINES]}
-    s["bits"] = bytes(x | y for x, y in zip(a["bits"], b["bits"], strict=True))
+    s["bits"] = a["bits"] | b["bits"]
     s |= {c: a[c] + b[c] for c in ("seen_lines", *VARIETY)}
     s |= {"has_break": a["has_break"] or b["has_break"], "all_word": a["all_word"] and b["all_word"]}
     word = lambda x, y: [x[0] + y[0], _signed(join_hash(x[1] % 2**64, x[0], y[1] % 2**64)), *(p + q for p, q in zip(x[2:], y[2:], strict=True))]
@@ -375,6 +380,8 @@ def _variety(bits: np.ndarray, words: np.ndarray, thai: np.ndarray) -> tuple[np.
     return -BITS * np.log1p(-np.minimum(bits, BITS - 1) / BITS), 2.0 * np.sqrt(np.maximum(words + np.floor(thai / 4), 1))
 
 
+#: Counts a verdict is made of.
+_JUDGED = [*CHARS, *LINES, *VARIETY, "distinct_lines"]
 STATS = "words bigint, mean_word_length double, symbol_ratio double, end_share double, common_share double, lines bigint, kind string"
 
 
@@ -404,107 +411,171 @@ def verdict(s: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     return {"words": words.astype(np.int64), "mean_word_length": null(word_chars / w, words > 0), "symbol_ratio": null(signs, f["visible"] > 0), "end_share": null(f["ended"] / lines, f["lines"] > 0), "common_share": null(f["common"] / w, words > 0), "lines": f["lines"].astype(np.int64), "kind": kind}
 
 
+def _cut(texts: pa.Array, chunk: int) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Chunks of at most ``chunk`` characters as views of the texts' bytes, with the row, the number and the count of chunks of each."""
+    off = cs.byte_offsets(texts)
+    data = texts.buffers()[2]
+    cuts = [off]
+    for r in np.flatnonzero(np.diff(off) > chunk):  # bytes are at least as many as characters
+        at, seen = int(off[r]), 0
+        while at < off[r + 1]:  # in blocks, so that nothing as large as the text is made
+            end = min(int(off[r + 1]), at + (1 << 20))
+            heads = np.flatnonzero((np.frombuffer(data.slice(at, end - at), np.uint8) & 0xC0) != 0x80)
+            first = -seen % chunk
+            own = heads[first::chunk] + at
+            cuts.append(own[own > off[r]])
+            seen, at = seen + len(heads), end
+    ends = np.sort(np.concatenate(cuts), kind="stable") if len(cuts) > 1 else off
+    row = np.searchsorted(off, ends[:-1], "right") - 1
+    if len(cuts) == 1:
+        row = np.arange(len(texts))  # empty texts share their offset
+    else:  # an empty text has one chunk too: offsets come as often as rows begin there
+        repeats = np.arange(len(ends) - 1) - np.searchsorted(ends, ends[:-1], "left")
+        lowest = np.searchsorted(off, ends[:-1], "left")
+        row = np.where(off[np.minimum(lowest, len(off) - 1)] == ends[:-1], lowest + repeats, row)
+    first = np.searchsorted(row, np.arange(len(texts)), "left")
+    number = np.arange(len(row)) - first[row]
+    pieces = pa.LargeStringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends.astype(np.int64)), data)
+    return pieces, row, number, np.bincount(row, minlength=len(texts))[row]
+
+
+def _visible_after(pieces: pa.Array, k: int, most: int) -> str:
+    """The next ``most`` visible characters behind a chunk of a text cut up, fewer at its end."""
+    out = ""
+    while len(out) < most and (k := k + 1) < len(pieces):
+        text = pieces[k].as_py()
+        width = most
+        while len(own := _unhidden(text[:width])) + len(out) < most and width < len(text):
+            width *= 4
+        out += own
+    return out[:most]
+
+
 def statistics(df: DataFrame, key: str, text: str, common_words: frozenset[str], chunk: int = CHUNK) -> DataFrame:
     """(key, words, mean_word_length, symbol_ratio, end_share, common_share, lines, kind) of each document.
 
     common_words: a fixed list of frequent words in lower case (its size is the caller's bound, here 181).
     """
     kind = dict(df.dtypes)[key]
-    common = frozenset(common_words)
-    size = F.coalesce(F.length(text), F.lit(0))
-    number = F.greatest(F.lit(1), F.ceil(size / chunk)).cast("int")
-    pieces = F.when(number == 1, F.array(F.coalesce(F.col(text), F.lit("")))).otherwise(F.transform(F.sequence(F.lit(0), number - 1), lambda i: F.substring(F.col(text), i * chunk + 1, chunk)))
-    after = F.when(number > F.col("_no") + 1, F.substring(F.col(text), (F.col("_no") + 1) * chunk + 1, AHEAD))
-    source = df.select(F.col(key), F.col(text), number.alias("_n"), F.posexplode(pieces).alias("_no", "_piece")).select(key, "_n", "_no", "_piece", after.alias("_after"))
+    common = frozenset(w for w in common_words if w)
+    hashes = frozenset(hash_of(w) for w in common)
+    window = max(1, CHUNK // chunk)
+    size = window * -(-FAN // window)  # chunks of a run, which has whole windows
+    ahead = max([AHEAD, *map(len, common)])
     stats = [x.split(" ")[0] for x in STATS.split(", ")]
-    names = [key, "_n", "_no", *(x.strip().split(" ")[0] for x in SCHEMA.split(", "))]
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    state_type = _arrow_state()
+
+    def flat(texts: pa.Array) -> Iterator[tuple[np.ndarray, pa.Array, dict[str, np.ndarray]]]:
+        """Rows, run states (null for documents of one run) and results (for those) of a batch, in pieces of about 512 KB."""
+        pieces, row, number, count = _cut(texts, chunk)
+        last = number == count - 1
+        held: list[dict] = []
+        for i, j in cs.slices(pieces, 1 << 19):
+            cps, off = cs.codepoints(pieces.slice(i, j - i))
+            inner = np.flatnonzero(~last[i:j])
+            after = {int(k): _visible_after(pieces.slice(i + k, count[i + k] - number[i + k]), 0, ahead) for k in inner}
+            cut = count[i:j] > 1  # the ends of a document cut up are open, until its partials are merged
+            p = partials(cps, off, cut, cut, common, after)
+            for k, text_ in after.items():
+                p["common"][k] += _across(cps[off[k] : off[k + 1]], text_, common, ahead)
+            p["varied"], p["least"] = _variety(p["bits"].sum(1), p["words"], p["thai"])
+            whole = np.flatnonzero(~cut)
+            done = verdict({c: v[whole] for c, v in p.items() if c in _JUDGED})
+            rows, numbers, runs = [row[i:j][whole]], [np.zeros(len(whole), np.int64)], [np.ones(len(whole), np.int64)]
+            states: list[dict | None] = [None] * len(whole)
+            results = [done]
+            seen = np.r_[0, np.cumsum(p["distinct_lines"])]
+            for k in np.flatnonzero(cut):
+                held.append(_state(p, k, p["seen_lines"][seen[k] : seen[k + 1]]))
+                at, n = int(number[i + k]), int(count[i + k])
+                if (at + 1) % size and at + 1 < n:
+                    continue
+                run = _run_state(held, window, set(hashes), n <= window)
+                held = []
+                rows.append(row[i + k : i + k + 1]), numbers.append(np.array([at // size])), runs.append(np.array([-(-n // size)]))
+                if n <= size:
+                    state = _whole(run, set(hashes), n <= window)
+                    results.append(verdict({c: np.array([state[c]]) for c in _JUDGED}))
+                    states.append(None)
+                else:
+                    states.append({**run, "bits": run["bits"].to_bytes(BITS // 8, "big"), "seen_lines": np.unique(np.concatenate(run["seen_lines"]))})
+                    results.append(dict.fromkeys(stats, np.array([None])))
+            merged = [pa.array(np.concatenate([r[c] if r[c].dtype != object else np.array([np.nan]) for r in results]) if c != "kind" else np.concatenate([r[c].astype(object) for r in results]), from_pandas=True) for c in stats]
+            yield np.concatenate(rows), [pa.array(np.concatenate(numbers).astype(np.int32)), pa.array(np.concatenate(runs).astype(np.int32)), pa.array(states, state_type)], merged
+
+    def count_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64() if x.endswith("bigint") else pa.string() if x.endswith("string") else pa.float64() for x in STATS.split(", ")]
         for b in batches:
-            text_, n_, no_ = cs.flat(b.column(3)), b.column(1).to_numpy(), b.column(2).to_numpy()
-            for i, j in cs.slices(text_, 1 << 19):
-                cps, off = cs.codepoints(text_.slice(i, j - i))
-                after = {int(k): b.column(4)[i + int(k)].as_py() or "" for k in np.flatnonzero(no_[i:j] < n_[i:j] - 1)}
-                cut = n_[i:j] > 1  # the ends of a document cut up are open too, until its partials are merged
-                p = partials(cps, off, cut, cut, common, after)
-                for k, ahead in after.items():
-                    p["common"][k] += _across(text_[i + k].as_py(), ahead, common)
-                p["varied"], p["least"] = _variety(p["bits"].sum(1), p["words"], p["thai"])
-                done = verdict(p)
-                one = pa.array(n_[i:j] > 1)
-                p["bits"] = p["bits"] & (n_[i:j] > 1)[:, None]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), b.column(2).slice(i, j - i), *(_null(x, one) for x in _rows(p)), *(pa.array(done[c], from_pandas=True) for c in stats)], [*names, *(f"_{c}" for c in stats)])
-
-    made = source.mapInArrow(count, f"`{key}` {kind}, _n int, _no int, {SCHEMA}, " + ", ".join(f"_{x}" for x in STATS.split(", ")))
-    return _finish(made, key, kind, frozenset(hash_of(w) for w in common), stats, max(1, CHUNK // chunk))
+            for rows, ints, merged in flat(cs.flat(b.column(1))):
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), *ints, *(x.cast(t) for x, t in zip(merged, kinds, strict=True))], ["_key", "_run", "_runs", "_state", *stats])
 
+    made = df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInArrow(count_, f"_key {kind}, _run int, _runs int, _state struct<{STATE}>, {STATS}")
+    return _finish(made, kind, hashes, stats).withColumnRenamed("_key", key)
 
-def _unhidden(text: str) -> str:
-    return "".join(c for c in text if _kinds()[ord(c)] != HIDDEN)
 
+def _arrow_state() -> pa.DataType:
+    kinds = {"bigint": pa.int64(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64()), "boolean": pa.bool_(), "double": pa.float64()}
+    return pa.struct([(name, kinds[t]) for name, t in (x.split(": ") for x in STATE.split(", "))])
 
-def _across(text: str, after: str, common: frozenset[str]) -> int:
-    """Common words of scripts without spaces that lie across the end of a chunk."""
-    tail = _unhidden(text[-4 * AHEAD :])[-AHEAD:].lower()
-    both, n = tail + _unhidden(after).lower(), len(tail)
-    spaced = lambda w: w[0].isascii() or _kinds()[ord(w[0])] not in (CJK, THAI)
-    return sum(both.startswith(w, i) for w in common if len(w) > 1 and not spaced(w) for i in range(max(0, n - len(w) + 1), n))
 
+def _varied(state: dict) -> dict:
+    """VARIETY of a state of one window."""
+    return dict(zip(VARIETY, (float(x) for x in _variety(np.float64(state["bits"].bit_count()), state["words"], state["thai"])), strict=True))
 
-def _null(x: pa.Array, keep: pa.Array) -> pa.Array:
-    """x where keep holds, else null: a one-chunk document hands over its result only."""
-    return pa.compute.if_else(keep, x, pa.scalar(None, x.type))
 
+def _run_state(parts: list[dict], window: int, common: set[int], whole: bool) -> dict:
+    """A run of chunks merged; VARIETY is summed over its windows, but for a document within one window, which is still open."""
+    windows = [_fold(parts[i : i + window], common) for i in range(0, len(parts), window)]
+    return _fold(windows if whole else [{**w, **_varied(w)} for w in windows], common)
 
-def _finish(made: DataFrame, key: str, kind: str, common: frozenset[int], stats: list[str], window: int) -> DataFrame:
-    import pandas as pd
 
-    # one struct, so that the branches below share one exchange and the texts are counted once
-    rest = [c for c in made.columns if c not in (key, "_no")]
-    once = made.groupBy(key, "_no").agg(F.first(F.struct(*rest)).alias("_row")).select(key, "_no", *(F.col(f"_row.{c}").alias(c) for c in rest))
-    small = once.where("_n = 1").select(key, *(F.col(f"_{c}").alias(c) for c in stats))
-    fields = [x.strip().split(" ")[0] for x in SCHEMA.split(", ")]
-    hashes = set(common)
+def _whole(state: dict, common: set[int], one_window: bool) -> dict:
+    """A document's counts, closed, with VARIETY and the number of different lines."""
+    state = closed(state, common)
+    if one_window:
+        state |= _varied(state)
+    return state | {"distinct_lines": len(np.unique(np.concatenate(state["seen_lines"])))}
 
-    size = window * -(-FAN // window)  # a run has whole windows
-    state_of = f"`{key}` {kind}, _n int, _no int, {SCHEMA}, " + ", ".join(f"{c} double" for c in VARIETY)
 
-    def rows(pdf: pd.DataFrame) -> list[dict]:
-        """The partials in order; the lines seen in them have been handed on."""
-        made = [{k: [int(x) for x in v] if isinstance(v, np.ndarray) else v for k, v in r.items()} for r in pdf.sort_values("_no").to_dict("records")]
-        return [{**dict.fromkeys(VARIETY, 0.0), **r, "seen_lines": []} for r in made]
+def _unhidden(text: str) -> str:
+    return "".join(c for c in text if _kinds()[ord(c)] != HIDDEN)
 
-    def fold(parts: list[dict]) -> dict:
-        state = parts[0]
-        for r in parts[1:]:
-            state = merge(state, r, hashes)
-        return state
 
-    def varied(state: dict) -> dict:
-        return dict(zip(VARIETY, map(float, _variety(sum(bin(x).count("1") for x in state["bits"]), state["words"], state["thai"])), strict=True))
+def _across(own: np.ndarray, after: str, common: frozenset[str], most: int) -> int:
+    """Common words of scripts without spaces that lie across the end of a chunk."""
+    width = 4 * most
+    while len(tail := _unhidden("".join(map(chr, own[-width:])))) < most and width < len(own):
+        width *= 4
+    tail = tail[-most:].lower()
+    both, n = tail + after.lower(), len(tail)
+    spaced = lambda w: w[0].isascii() or _kinds()[ord(w[0])] not in (CJK, THAI)
+    return sum(both.startswith(w, i) for w in common if len(w) > 1 and not spaced(w) for i in range(max(0, n - len(w) + 1), n))
+
+
+def _finish(made: DataFrame, kind: str, common: frozenset[int], stats: list[str]) -> DataFrame:
+    """Results of documents of one run, each key once, and of the others from the states of their runs."""
+    import pandas as pd
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts, whole = rows(pdf), pdf["_n"].iloc[0] <= window
-        windows = [fold([p for p in parts if p["_no"] // window == w]) for w in sorted({p["_no"] // window for p in parts})]
-        state = fold(windows if whole else [{**w, **varied(w)} for w in windows])
-        return pd.DataFrame([{key: pdf[key].iloc[0], "_n": pdf["_n"].iloc[0], "_no": pdf["_no"].min() // size, **{c: state[c] for c in [*fields, *VARIETY]}}])
+    rest = ["_runs", "_state", *stats]
+    once = made.groupBy("_key", "_run").agg(F.first(F.struct(*rest)).alias("_row")).select("_key", "_run", *(F.col(f"_row.{c}").alias(c) for c in rest))
+    small = once.where("_runs = 1").select("_key", *stats)
+    long = once.where("_runs > 1").select("_key", "_run", "_state.*")
+    lists = ("head_line", "tail_line", "head_word", "tail_word")
 
     def last(pdf: pd.DataFrame) -> pd.DataFrame:
-        state = closed(fold(rows(pdf)), hashes)
-        if pdf["_n"].iloc[0] <= window:
-            state |= varied(state)
-        return pd.DataFrame([{key: pdf[key].iloc[0], "_n": pdf["_n"].iloc[0], "_no": 0, **{c: state[c] for c in [*fields, *VARIETY]}}])
+        parts = [{**r, "bits": int.from_bytes(r["bits"], "big"), "seen_lines": [], **{c: [int(x) for x in r[c]] for c in lists}} for r in pdf.sort_values("_run").to_dict("records")]
+        state = closed(_fold(parts, set(common)), set(common))
+        return pd.DataFrame([{"_key": pdf["_key"].iloc[0], "seen_lines": [int(x[0]) for x in state["seen_lines"]], **{c: state[c] for c in [*CHARS, *LINES, *VARIETY]}}])
 
     def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            done = verdict({c: pdf[c].to_numpy() for c in [*CHARS, *LINES, *VARIETY, "distinct_lines"]})
-            yield pd.DataFrame({key: pdf[key], **{c: done[c] for c in stats}})
-
-    long = once.where("_n > 1").select(key, "_n", "_no", *fields)
-    runs = long.groupBy(key, F.floor(F.col("_no") / size).alias("_run")).applyInPandas(run, state_of)
-    ends = runs.groupBy(key).applyInPandas(last, state_of)
-    # different lines, exactly: those within chunks, and those put together from several
-    lines = [x.select(key, F.explode("seen_lines").alias("_line")) for x in (long, runs, ends)]
-    counts = lines[0].unionByName(lines[1]).unionByName(lines[2]).distinct().groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("distinct_lines"))
-    full = ends.join(counts, F.col(key).eqNullSafe(F.col("_key")), "left").select(key, *CHARS, *LINES, *VARIETY, F.coalesce("distinct_lines", F.lit(0)).alias("distinct_lines"))
-    return small.unionByName(full.mapInPandas(judge, f"`{key}` {kind}, {STATS}"))
+            done = verdict({c: pdf[c].to_numpy() for c in _JUDGED})
+            yield pd.DataFrame({"_key": pdf["_key"], **{c: done[c] for c in stats}})
+
+    counts_of = ", ".join([*(f"{c} bigint" for c in [*CHARS, *LINES]), *(f"{c} double" for c in VARIETY)])
+    ends = long.groupBy("_key").applyInPandas(last, f"_key {kind}, seen_lines array<bigint>, {counts_of}")
+    # different lines, exactly: those within runs, and those put together from several
+    lines = [x.select("_key", F.explode("seen_lines").alias("_line")) for x in (long, ends)]
+    counts = lines[0].unionByName(lines[1]).distinct().groupBy(F.col("_key").alias("_same")).agg(F.count("*").alias("distinct_lines"))
+    full = ends.join(counts, F.col("_key").eqNullSafe(F.col("_same")), "left").select("_key", *CHARS, *LINES, *VARIETY, F.coalesce("distinct_lines", F.lit(0)).alias("distinct_lines"))
+    return small.unionByName(full.mapInPandas(judge, f"_key {kind}, {STATS}"))

@@ -1,8 +1,10 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
+from foliant.llm import charspace as cs
 from foliant.llm import quality
 
 COMMON = frozenset("the of and in 的 在 から ที่ และ".split())
@@ -59,3 +61,31 @@ def test_length_is_no_repetition(spark):
     page = "".join(f"The fitter of hall {k} checks pump {k * 3} and the crew moves on.\n" for k in range(400))
     got = run(spark, [table, prose, page * 6, "pump valve " * 20_000])
     assert [got[k].kind for k in range(4)] == ["table", "prose", "junk", "junk"]
+
+
+def test_cut_by_bytes():
+    """Chunks of any texts, empty ones included, are those of slicing by characters."""
+    rng = random.Random(4)
+    for chunk in (1, 3, 50):
+        texts = [rng.choice(["", "a", "é中𠮷" * rng.randrange(40), "x" * rng.randrange(200), "", "​​"]) for _ in range(60)]
+        pieces, row, number, count = quality._cut(cs.flat(pa.array(texts)), chunk)
+        want = [(r, n, t[i : i + chunk]) for r, t in enumerate(texts) for n, i in enumerate(range(0, max(len(t), 1), chunk))]
+        assert list(zip(row.tolist(), number.tolist(), pieces.to_pylist(), strict=True)) == want
+        assert all(count[i] == -(-max(len(texts[r]), 1) // chunk) for i, (r, _, _) in enumerate(want))
+
+
+def test_hidden_characters_between_chunks(spark):
+    """Words go on behind any number of hidden characters and in chunks of one character."""
+    long = frozenset({"การเปลี่ยนแปลงอย่างต่อเนื่อง", "the"})
+    texts = ["ก" + "​" * 300 + "ารเปลี่ยนแปลงอย่างต่อเนื่อง", "การเปลี่ยนแปลงอย่างต่อเนื่อง th" + "​" * 90 + "e end\n1" + "​" * 70 + "2. item", "​" * 200]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    whole = sorted(map(tuple, quality.statistics(df, "doc_id", "text", long).collect()))
+    assert [r[5] for r in whole] == [pytest.approx(x) if x is not None else None for x in (whole[0][5], whole[1][5], None)]
+    for chunk in (1, 4, 64):
+        assert sorted(map(tuple, quality.statistics(df, "doc_id", "text", long, chunk=chunk).collect())) == whole
+
+
+def test_many_different_lines_in_many_runs(spark):
+    text = "".join(f"The fitter of hall {k} checks pump {k * 3} and the crew of {k % 97} moves on.\n" for k in range(400_000))
+    got = run(spark, [text, None, "pump"])
+    assert got[0].lines == 400_000 and got[0].kind == "prose" and got[0].words == text.count(" ") + 400_000 and got[1].kind == "blank" and got[2].words == 1
