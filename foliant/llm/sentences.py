@@ -12,8 +12,10 @@ with a terminator a new unit starts if a new sentence does. In Thai, white space
 separates. Semicolons, colons and dashes end nothing.
 
 Edge cases: a null or empty text, and one without visible characters, has no unit; a text without a terminator
-is one unit; positions count code points, so characters outside the BMP count once; length is not limited.
-Characters of the private use area U+E000 to U+E004 in the input are taken as letters and never end a unit.
+is one unit; positions count code points, so characters outside the BMP count once; length is not limited, and
+positions are sums over blocks, so time grows in proportion to it. The placeholders U+E000 to U+E003 in the input
+are exchanged for another private character first, so they end nothing and move nothing. Runs of hidden
+characters longer than words are matched across are shortened before and their lengths added to the positions.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ LINE = "\\n\\r\\x0b\\x0c\\x{85}\\x{2028}\\x{2029}"
 UNSEEN = "".join(map(chr, [0xAD, *range(0x200B, 0x2010), *range(0x2060, 0x2065), 0xFEFF]))
 #: Placeholders: a masked terminator, one inside a quotation, and the cut marker.
 MASKED, QUOTED, CUT, TOLD = "\ue000", "\ue001", "\ue002", "\ue003"  # TOLD: in a quotation behind a colon
+#: What stands for these characters of the input, and hidden characters in a row that patterns look across.
+OTHER, ACROSS = "\ue010", 2
 
 #: Abbreviations that never end a sentence (they stand before a name, a number or a word).
 ABBREVIATIONS = (
@@ -88,9 +92,8 @@ def rules(z: str) -> tuple[list[tuple], str, str]:
     """
     many, gap = (f"[{HIDDEN}]*", f"[{SPACE}{HIDDEN}]") if z else ("", f"[{SPACE}]")
     start = f"{many}(?:(?:[“‘（【(\\[¿¡„「『]|«[{SPACE}]?)*{many}[\\p{{Lu}}\\p{{N}}\\p{{So}}{_CJK}{_THAI}])"
-    number = f"(?:[\\p{{N}}{HIDDEN}]{{1,6}}{_DOT})"
+    number = f"[\\p{{N}}{HIDDEN}]++"
     dots = [
-        f"(?={gap})(?<=(?m:^)[{SPACE}{HIDDEN}]{{0,6}}{number}?{number}?{number})",  # number of a heading
         f"(?={many}[\\p{{Ll}}\\p{{N}}])",  # decimals, versions, URLs, names of files
         f"(?={gap}*{start})(?<=(?<![\\p{{L}}\\p{{N}}]{z})(?:{_any(ABBREVIATIONS, z)}|ﬁ{z}g){z}.)",
         f"(?={many}[{SPACE}]?{many}\\p{{L}}{{1,2}}{many}{_DOT})(?<=(?<!\\p{{L}}{z})(?:{'|'.join(map(_letter, 'zdupieт'))}){z}.)",  # the inner point of z. B.
@@ -105,6 +108,7 @@ def rules(z: str) -> tuple[list[tuple], str, str]:
         ("„", f"„({_IN_QUOTES})[“”]", "“$1”"),
         ('"', f'"(?={many}[^{SPACE}])(?<=(?m:^|[{SPACE}{HIDDEN}(\\[（：:—–])")', "“"),
         ('"', '"', "”"),
+        (f"(?m:^)[{SPACE}{HIDDEN}]*+\\p{{N}}", f"(?m:^)([{SPACE}{HIDDEN}]*+(?:{number}{_DOT})*?{number}){_DOT}(?={gap})", f"$1{MASKED}"),  # number of a heading
         (f"{_DOT}", f"{_DOT}(?:{'|'.join(dots)})", MASKED),
         (f"[:：]{gap}?[{_OPEN}]", f"((?:[:：]{gap}?{_QUOTED_END}", f"$1{TOLD}"),
         (f"[{_SHUT}]", f"((?:{_QUOTED_END}", f"$1{QUOTED}"),
@@ -114,7 +118,7 @@ def rules(z: str) -> tuple[list[tuple], str, str]:
     ends = [
         f"\\r\\n|[{LINE}]",
         f"[。！？]{more}{_CLOSE}",
-        f"[.．!?…]{more}{_CLOSE}(?=[{SPACE}]{gap}*{start})",
+        f"[.．!?…]{more}{_CLOSE}(?={many}[{SPACE}]{gap}*{start})",
         f"[.．!?](?={many}[{_CJK}])",
         f"{_DOT}(?!{many}{_DOT})(?<=[{_CJK}）”]{z}.){_CLOSE}(?!{many}{MASKED})",
         f"[!?](?<=[{_CJK}]{z}.){more}{_CLOSE}",
@@ -128,7 +132,7 @@ def rules(z: str) -> tuple[list[tuple], str, str]:
     return mask, f"(?=[{LINE}{_END}{QUOTED}{TOLD}])(?:{'|'.join(ends)})", thai
 
 
-PLAIN_RULES, HIDDEN_RULES = rules(""), rules(f"[{HIDDEN}]{{0,2}}")
+PLAIN_RULES, HIDDEN_RULES = rules(""), rules(f"[{HIDDEN}]{{0,{ACROSS}}}")
 
 
 def _step(only: str, pattern: str, by: str) -> Callable[[Column], Column]:
@@ -139,34 +143,101 @@ def _step(only: str, pattern: str, by: str) -> Callable[[Column], Column]:
     return run
 
 
-def marked(text: Column) -> Column:
-    """The text with the terminators that end nothing masked and a marker behind every unit."""
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), the value computed once however often f uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def marked(text: Column, ways: tuple | None = None) -> Column:
+    """The text with the terminators that end nothing masked and a marker behind every unit; ways: the rules, by the text where None."""
 
     def by(mask: list[tuple], ends: str, thai: str) -> Callable[[Column], Column]:
         def run(t: Column) -> Column:
             for rule in [*mask, (f"[{_THAI}]", thai, f"$0{CUT}")]:
-                t = F.element_at(F.transform(F.array(t), _step(*rule)), 1)  # a lambda, as the text is used more than once
+                t = _let(t, _step(*rule))
             return F.regexp_replace(t, ends, f"$0{CUT}")
 
         return run
 
-    both = F.transform(F.array(text), lambda t: F.when(t.rlike(f"[{HIDDEN}]"), by(*HIDDEN_RULES)(t)).otherwise(by(*PLAIN_RULES)(t)))
-    return F.element_at(both, 1)
+    own = [MASKED, QUOTED, CUT, TOLD]
+    taken = text.contains(own[0]) | text.contains(own[1]) | text.contains(own[2]) | text.contains(own[3])
+    free = F.when(taken, F.regexp_replace(text, f"[{''.join(own)}]", OTHER)).otherwise(text)
+    if ways:
+        return by(*ways)(free)
+    return _let(free, lambda t: F.when(t.rlike(f"[{HIDDEN}]"), by(*HIDDEN_RULES)(t)).otherwise(by(*PLAIN_RULES)(t)))
+
+
+#: Numbers summed one after the other; so are the sums of blocks of them.
+BLOCK = 128
+
+
+def _sums(lengths: Column, levels: int = 2) -> Column:
+    """Sums for _before(), of an array of any size: within blocks, and of the blocks before."""
+    zero = F.array(F.lit(0).cast("bigint"))
+    add = lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x))
+    if levels == 1:
+        return F.struct(F.aggregate(lengths, zero, add).alias("within"))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / BLOCK)), lambda k: F.aggregate(F.slice(lengths, (k * BLOCK + 1).cast("int"), F.lit(BLOCK)), zero, add))
+    return _let(blocks, lambda x: F.struct(x.alias("within"), _let(F.transform(x, lambda b: F.element_at(b, -1)), lambda t: _sums(t, levels - 1)).alias("before")))
+
+
+def _ends(lengths: Column) -> Column:
+    """The sum of the numbers up to each."""
+    return _let(_sums(lengths), lambda sums: F.transform(lengths, lambda n, i: _before(sums, i) + n))
+
+
+def _before(sums: Column, i: Column, levels: int = 2) -> Column:
+    """The sum of the numbers before place i."""
+    if levels == 1:
+        return F.get(sums["within"], i)
+    block = F.floor(i / BLOCK).cast("int")
+    return F.get(F.get(sums["within"], block), (i % BLOCK).cast("int")) + _before(sums["before"], block, levels - 1)
+
+
+def _spans(text: Column, ways: tuple) -> Column:
+    def unit(at: Column, piece: Column) -> Column:
+        start = at + F.length(piece) - F.length(F.ltrim(piece, F.lit(TRIM)))
+        return F.struct(start.alias("start_char"), (at + F.length(F.rtrim(piece, F.lit(TRIM)))).alias("end_char"))
+
+    seen = lambda piece: F.ltrim(piece, F.lit(TRIM + UNSEEN)) != ""
+    none = F.array().cast(UNITS)
+
+    def step(acc: Column, piece: Column) -> Column:
+        units = F.when(seen(piece), F.concat(acc["units"], F.array(unit(acc["at"], piece)))).otherwise(acc["units"])
+        return F.struct((acc["at"] + F.length(piece)).alias("at"), units.alias("units"))
+
+    def many(pieces: Column) -> Column:
+        """Of any number of pieces; an array grows by no more than a block."""
+        at = lambda sums: F.transform(pieces, lambda p, i: F.struct(p.alias("p"), _before(sums, i).alias("at")))
+        placed = _let(_sums(F.transform(pieces, lambda p: F.length(p).cast("bigint"))), at)
+        return F.transform(F.filter(placed, lambda x: seen(x["p"])), lambda x: unit(x["at"], x["p"]))
+
+    def units(pieces: Column) -> Column:
+        few = F.aggregate(pieces, F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("units")), step, lambda acc: acc["units"])
+        return F.when(F.size(pieces) <= BLOCK, few).otherwise(many(pieces))
+
+    return _let(F.split(marked(text, ways), CUT, -1), units)
+
+
+UNITS = "array<struct<start_char:bigint,end_char:bigint>>"
 
 
 def spans(text: Column) -> Column:
     """array<struct<start_char bigint, end_char bigint>>: the sentence units of a text, in order."""
-    pieces = F.split(marked(text), CUT, -1)
-    none = F.array().cast("array<struct<start_char:bigint,end_char:bigint>>")
-    first = F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("units"))
+    surplus = f"(?<=[{HIDDEN}]{{{ACROSS}}})[{HIDDEN}]+"
 
-    def step(acc: Column, piece: Column) -> Column:
-        start = acc["at"] + F.length(piece) - F.length(F.ltrim(piece, F.lit(TRIM)))
-        unit = F.struct(start.alias("start_char"), (start + F.length(F.trim(piece, F.lit(TRIM)))).alias("end_char"))
-        seen = F.trim(piece, F.lit(TRIM + UNSEEN)) != ""
-        return F.struct((acc["at"] + F.length(piece)).alias("at"), F.when(seen, F.concat(acc["units"], F.array(unit))).otherwise(acc["units"]).alias("units"))
+    def moved(t: Column, units: Column) -> Column:
+        """Units of a text of which long runs of hidden characters have been shortened, in the whole text."""
+        size = lambda x: F.transform(x, lambda r: F.length(r).cast("bigint"))
+        left = F.arrays_zip(_let(size(F.split(t, surplus, -1)), _ends).alias("at"), size(F.regexp_extract_all(t, F.lit(f"({surplus})"), F.lit(1))).alias("n"))
+        where = lambda runs, c: c + F.aggregate(runs, F.lit(0).cast("bigint"), lambda acc, r: acc + F.when(r["at"] <= c, F.coalesce(r["n"], F.lit(0))).otherwise(0))
+        return _let(left, lambda runs: F.transform(units, lambda u: F.struct(where(runs, u["start_char"]).alias("start_char"), where(runs, u["end_char"]).alias("end_char"))))
+
+    def hidden(t: Column) -> Column:
+        found = _spans(F.regexp_replace(t, surplus, ""), HIDDEN_RULES)
+        return _let(found, lambda units: F.when(t.rlike(f"[{HIDDEN}]{{{ACROSS + 1}}}"), moved(t, units)).otherwise(units))
 
-    return F.coalesce(F.aggregate(pieces, first, step, lambda acc: acc["units"]), none)
+    return F.coalesce(F.when(text.rlike(f"[{HIDDEN}]"), hidden(text)).otherwise(_spans(text, PLAIN_RULES)), F.array().cast(UNITS))
 
 
 def sentence_units(df: DataFrame, key: str, columns: list[str]) -> DataFrame:

@@ -52,3 +52,36 @@ def test_long_quotations(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
     got = {r.k: r.sentences for r in sentences.with_sentences(df, "t").select("k", "sentences").collect()}
     assert [len(got[k]) for k in range(3)] == [2, 2, 2] and [got[k][1] for k in range(3)] == ["She stayed.", "Sie blieb.", "她离开了。"]
+
+
+def test_placeholders_in_the_input(spark):
+    """The private characters used as markers end nothing in the input and move no position."""
+    text = "Ab c\ue002d e. Next \ue000one.\ue001\ue003 Last \ue002 one."
+    df = spark.createDataFrame([(1, text)], "k int, t string")
+    assert sentences.with_sentences(df, "t").first().sentences == ["Ab c\ue002d e.", "Next \ue000one.\ue001\ue003 Last \ue002 one."]
+
+
+def test_headings_of_any_depth(spark):
+    texts = ["1.2.3.4. Title", "   " * 5 + "1.2.3.4.5.6.7.8. Title of it", "12345678. Title", "Intro\n1.2.3.4. Title\nThe pump. It runs."]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    got = {r.k: len(r.sentences) for r in sentences.with_sentences(df, "t").select("k", "sentences").collect()}
+    assert [got[k] for k in range(4)] == [1, 1, 1, 4]
+
+
+def test_long_runs_of_hidden_characters(spark):
+    h = "\u200b"
+    plain = "D{0}r. Olmira left the hall.{0} The pump, No{0}. 20, runs.{0}\n{0}At 9{0} h. It stops{0}"
+    texts = [plain.format(h * n) for n in (0, 1, 2, 3, 40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    got = {r.k: r.sentences for r in sentences.with_sentences(df, "t").select("k", "sentences").collect()}
+    want = ["Dr. Olmira left the hall.", "The pump, No. 20, runs.", "At 9 h.", "It stops"]
+    assert all([x.replace(h, "").strip() for x in got[k]] == want for k in range(5))
+    assert all(got[k] == [x.replace(h, h * n) for x in got[1]] for k, n in ((2, 2), (3, 3), (4, 40)))
+
+
+def test_positions_of_many_units(spark):
+    """Sums over blocks of blocks are right at any number of units."""
+    for n in (1, 31, 32, 33, 1024, 1025, 40_000):
+        df = spark.createDataFrame([(1, "Ab c. " * n)], "seq bigint, source string")
+        got = sorted((r.start_char, r.end_char) for r in sentences.sentence_units(df, "seq", ["source"]).collect())
+        assert got == [(6 * i, 6 * i + 5) for i in range(n)]
