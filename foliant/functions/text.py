@@ -36,9 +36,20 @@ def join_two(a: Column, b: Column) -> Column:
 
 
 def join_lines(lines: Column) -> Column:
-    """Wrapped lines as one text; empty lines after the first are skipped, an empty list gives the empty text."""
-    rest = F.slice(lines, F.lit(2), F.greatest(F.size(lines), F.lit(1)))
-    return F.aggregate(rest, F.coalesce(F.get(lines, F.lit(0)), F.lit("")), join_two)
+    """Wrapped lines as one text; empty lines after the first are skipped, an empty list gives the empty text.
+
+    What stands between two lines depends on these alone, so each line is joined to what goes before it at once.
+    """
+    kept = F.filter(lines, lambda x, i: (F.length(x) > 0) | (i == 0))
+
+    def own(ls: Column) -> Column:
+        def gap(before: Column, line: Column) -> Column:
+            tight = F.right(before, F.lit(1)).rlike(rf"^[{JOINED}]$") & F.left(line, F.lit(1)).rlike(rf"^[{JOINED}]$")
+            return F.when(tight, "").otherwise(" ")
+
+        return F.array_join(F.transform(ls, lambda x, i: F.when(i == 0, x).otherwise(F.concat(gap(F.get(ls, i - 1), x), x))), "")
+
+    return F.element_at(F.transform(F.array(kept), own), 1)
 
 
 def paragraphs(text: Column) -> Column:
@@ -136,3 +147,27 @@ def safe_filename(name: Column) -> Column:
     """The last part of a path with characters unfit for names replaced, at most 180 characters, ``document`` if nothing is left."""
     base = F.regexp_replace(strip(F.regexp_extract(name, r"([^/\\]*)$", 1)), r"\x00", "")
     return F.coalesce(F.nullif(F.substring(F.regexp_replace(base, r'[<>:"/\\|?*]', "_"), 1, 180), F.lit("")), F.lit("document"))
+
+
+#: What states and languages are called.
+LANGUAGES = {"zh": "中文", "en": "English"}
+DOCUMENT_STATES = {"ready": "待翻译", "translating": "翻译中", "completed": "已完成", "error": "出错"}
+SEGMENT_STATES = {"empty": "", "queued": "等待翻译", "translating": "正在翻译…", "machine": "机器译文", "edited": "已编辑", "reviewed": "已审校"}
+
+
+def label(code: Column, names: dict[str, str], other: Column | None = None) -> Column:
+    """What a code is called; ``other``, or else the code, where it has no name."""
+    known = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))
+    return F.coalesce(F.element_at(known, code), code if other is None else other)
+
+
+def utc_stamp(moment: Column) -> Column:
+    """A timestamp as ISO 8601 text in UTC, to the second."""
+    utc = F.to_utc_timestamp(moment, F.current_timezone())
+    return F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+
+
+def error_class(code: Column) -> Column:
+    """Of a reject or status code: what is to be done about it."""
+    again = code.isin(408, 409, 425, 429) | code.between(500, 599)
+    return F.when(code.isin(0, 200, 202) | code.isNull(), "none").when(code.isin(413, 415, 422), "extraction").when(again, "retryable").otherwise("permanent")

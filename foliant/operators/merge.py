@@ -29,13 +29,6 @@ def upserted(base: DataFrame, changes: DataFrame, key: list[str], fields: list[s
     return out.withColumn("changed", changed).withColumns({c: F.coalesce(F.col(f"_{c}"), F.col(c)) for c in fields}).drop(*(f"_{c}" for c in fields))
 
 
-def guarded(base: DataFrame, results: DataFrame, key: list[str], overwrite: bool = False) -> DataFrame:
-    """base with ``translation`` from results where the row is not locked and, unless overwritten, has none yet."""
-    new = results.select(*key, F.col("text").alias("_text"))
-    free = ~F.coalesce(F.col("locked"), F.lit(False)) & (F.lit(overwrite) | (F.coalesce(F.length("translation"), F.lit(0)) == 0))
-    return base.join(new, key, "left").withColumn("applied", F.col("_text").isNotNull() & free).withColumn("translation", F.when(F.col("applied"), F.col("_text")).otherwise(F.col("translation"))).drop("_text")
-
-
 def sessions(log: DataFrame, key: list[str], ts: str, order: str, gap: str = "30 minutes") -> DataFrame:
     """(key, session_start, session_end, n, last_seq): edits of a key with no quiet period longer than ``gap`` between them."""
     stamped = log.dropDuplicates([order]).withColumn("_ts", F.col(ts).cast("timestamp"))

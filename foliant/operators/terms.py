@@ -35,8 +35,8 @@ def matches(texts: DataFrame, key: str, text: str, terms: DataFrame, term_key: s
     """(key, term_key): terms whose folded source occurs in the folded text, without word boundaries; each pair once.
 
     The number and size of the terms is checked: within the bounds an Aho-Corasick automaton goes to the tasks
-    and texts are scanned once, whatever the number of terms; beyond, texts and terms meet on the first
-    ``PREFIX`` characters and are compared then.
+    and texts are scanned once, whatever the number of terms; beyond, terms meet the beginnings of ``PREFIX``
+    characters in a text, and are compared with the text then. Sizing the terms is a job that runs when this is called.
     """
     kinds = dict(texts.dtypes) | {term_key: dict(terms.dtypes)[term_key]}
     folded = terms.select(F.col(term_key).alias("_t"), T.casefold(F.col(source)).alias("_s")).where(F.length("_s") > 0)
@@ -65,9 +65,12 @@ def matches(texts: DataFrame, key: str, text: str, terms: DataFrame, term_key: s
 
         out = hay.mapInPandas(scan, f"_k {kinds[key]}, _t {kinds[term_key]}")
     else:
+        # the beginnings meet without the text, which is attached to the pairs that may match and read again there
         heads = folded.withColumn("_head", F.left("_s", F.lit(PREFIX)))
         each = F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length("_x")), lambda i: F.transform(F.sequence(F.lit(1), F.lit(PREFIX)), lambda n: F.substring(F.col("_x"), i, n))))))
-        out = hay.where(F.length("_x") > 0).withColumn("_head", each).join(heads, "_head").where(F.contains("_x", "_s")).select("_k", "_t").distinct()
+        maybe = hay.where(F.length("_x") > 0).select("_k", each.alias("_head")).distinct().join(heads, "_head").select("_k", "_t", "_s")
+        asked = maybe.groupBy("_k").agg(F.collect_set(F.struct("_t", "_s")).alias("_asked"))  # of one text, at most the terms whose beginning it has
+        out = hay.join(asked, "_k").select("_k", F.explode(F.filter("_asked", lambda w: F.contains(F.col("_x"), w["_s"]))).alias("_w")).select("_k", "_w._t").distinct()
     return out.select(F.col("_k").alias(key), F.col("_t").alias(term_key))
 
 

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from foliant import engine
 from foliant.functions import text as T
-from foliant.operators import align, merge, ordered, segments, terms
+from foliant.operators import align, merge, ordered, segments, state, terms
 from foliant.plans import requests
 from foliant.session import written
-from foliant.sources import sinks
+from foliant.sources import readers, sinks
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -64,7 +65,7 @@ def _detect(x: str) -> str:
     return f"CASE WHEN length({visible}) = 0 OR {_count(x, _CJK)} >= greatest(2.0, {_count(x, 'A-Za-z')} * 0.18) THEN 'zh' ELSE 'en' END"
 
 
-_SEGMENTS = "s AS (SELECT doc_id, ordinal, segment_id, source, translation, status, locked FROM segments QUALIFY row_number() OVER (PARTITION BY doc_id, ordinal ORDER BY source DESC NULLS LAST, translation DESC NULLS LAST, locked DESC NULLS LAST) = 1)"
+_SEGMENTS = "s AS MATERIALIZED (SELECT doc_id, ordinal, segment_id, source, translation, status, locked FROM segments QUALIFY row_number() OVER (PARTITION BY doc_id, ordinal ORDER BY source DESC NULLS LAST, translation DESC NULLS LAST, locked DESC NULLS LAST) = 1)"
 _RECORDS = "r AS (SELECT DISTINCT * FROM doc_records QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY updated_at DESC) = 1)"
 
 
@@ -105,18 +106,23 @@ def line_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
     return segments.paragraph_rows(_read(spark, folder, "documents"), "doc_id", "text")
 
 
-_PACKED = rf"""t AS (SELECT doc_id, {_clean("coalesce(text, '')")} AS txt FROM documents),
+def _packed(texts: str = "SELECT doc_id, text AS own FROM documents", most: int = 1200) -> str:
+    """Tables t (doc_id, txt: the clean text) and p (doc_id, source, ordinal): the packed pieces of texts (doc_id, own)."""
+    return rf"""t AS (SELECT doc_id, {_clean("coalesce(own, '')")} AS txt FROM ({texts})),
 u AS (SELECT doc_id, txt, list_filter(list_transform(string_split(regexp_replace(regexp_replace(txt, '([。！？!?；;])', '\1' || chr(1), 'g'), '([.])([{_W}]+[A-Z0-9"''])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: {_strip('x')}), lambda x: length(x) > 0) AS sent FROM t WHERE length(txt) > 0),
-w AS (SELECT doc_id, [txt] AS pieces FROM u WHERE length(txt) <= 1200
+w AS (SELECT doc_id, [txt] AS pieces FROM u WHERE length(txt) <= {most}
 UNION ALL SELECT doc_id, CASE WHEN len(acc.res) + CAST(acc.cur <> '' AS INT) = 0 THEN [txt] WHEN acc.cur <> '' THEN list_append(acc.res, acc.cur) ELSE acc.res END
 FROM (SELECT doc_id, txt, list_reduce(list_transform(sent, lambda s: {{'cur': s, 'res': CAST([] AS VARCHAR[])}}), lambda a, e:
- CASE WHEN length(e.cur) > 1200 THEN {{'cur': '', 'res': list_concat(CASE WHEN a.cur <> '' THEN list_append(a.res, a.cur) ELSE a.res END, list_transform(range(0, CAST(ceil(length(e.cur) / 1200.0) AS BIGINT)), lambda i: substring(e.cur, 1 + i * 1200, 1200)))}}
+ CASE WHEN length(e.cur) > {most} THEN {{'cur': '', 'res': list_concat(CASE WHEN a.cur <> '' THEN list_append(a.res, a.cur) ELSE a.res END, list_transform(range(0, CAST(ceil(length(e.cur) / {most}.0) AS BIGINT)), lambda i: substring(e.cur, 1 + i * {most}, {most})))}}
  WHEN a.cur = '' THEN {{'cur': e.cur, 'res': a.res}}
- WHEN length(a.cur) + 1 + length(e.cur) <= 1200 THEN {{'cur': {_join('a.cur', 'e.cur')}, 'res': a.res}}
- ELSE {{'cur': e.cur, 'res': list_append(a.res, a.cur)}} END, {{'cur': '', 'res': CAST([] AS VARCHAR[])}}) AS acc FROM u WHERE length(txt) > 1200)),
+ WHEN length(a.cur) + 1 + length(e.cur) <= {most} THEN {{'cur': {_join('a.cur', 'e.cur')}, 'res': a.res}}
+ ELSE {{'cur': e.cur, 'res': list_append(a.res, a.cur)}} END, {{'cur': '', 'res': CAST([] AS VARCHAR[])}}) AS acc FROM u WHERE length(txt) > {most})),
 p AS (SELECT doc_id, unnest(pieces) AS source, generate_subscripts(pieces, 1) AS ordinal FROM w)"""
 
 
+_PACKED = _packed()
+
+
 @_query(f"WITH {_PACKED} SELECT doc_id, CAST(ordinal AS INTEGER) AS ordinal, printf('s%04d', ordinal) AS segment_id, source FROM p")
 def segment_pack(spark: SparkSession, folder: str) -> DataFrame:
     """Segments of at most 1,200 characters."""
@@ -137,11 +143,18 @@ def progress(spark: SparkSession, folder: str) -> DataFrame:
     return segments.coverage(_segments(spark, folder), "doc_id", "translation")
 
 
-def _batch_sql(lone: str) -> str:
-    return f"""WITH RECURSIVE {_SEGMENTS}, x AS (SELECT doc_id, ordinal, CAST(length(coalesce(source, '')) AS BIGINT) AS len, row_number() OVER (PARTITION BY doc_id ORDER BY ordinal) AS n FROM s),
+def _greedy(rows: str, lone: str = "1", items: int = 3, chars: int = 600) -> str:
+    """Recursive tables x and g: batch_no of rows (doc_id, ordinal, len) in order; lone: items the first one counts as."""
+    full = f"g.items >= {items} OR g.chars + x.len > {chars}"
+    return f"""x AS (SELECT doc_id, ordinal, CAST(len AS BIGINT) AS len, row_number() OVER (PARTITION BY doc_id ORDER BY ordinal) AS n FROM ({rows})),
 g AS (SELECT doc_id, ordinal, n, 0 AS batch_no, CAST({lone} AS BIGINT) AS items, len AS chars FROM x WHERE n = 1
-UNION ALL SELECT x.doc_id, x.ordinal, x.n, CASE WHEN g.items >= 3 OR g.chars + x.len > 600 THEN g.batch_no + 1 ELSE g.batch_no END, CASE WHEN g.items >= 3 OR g.chars + x.len > 600 THEN 1 ELSE g.items + 1 END, CASE WHEN g.items >= 3 OR g.chars + x.len > 600 THEN x.len ELSE g.chars + x.len END
-FROM g JOIN x ON x.doc_id = g.doc_id AND x.n = g.n + 1) SELECT doc_id, ordinal, CAST(batch_no AS INTEGER) AS batch_no FROM g"""
+UNION ALL SELECT x.doc_id, x.ordinal, x.n, CASE WHEN {full} THEN g.batch_no + 1 ELSE g.batch_no END, CASE WHEN {full} THEN 1 ELSE g.items + 1 END, CASE WHEN {full} THEN x.len ELSE g.chars + x.len END
+FROM g JOIN x ON x.doc_id = g.doc_id AND x.n = g.n + 1)"""
+
+
+def _batch_sql(lone: str) -> str:
+    rows = "SELECT doc_id, ordinal, length(coalesce(source, '')) AS len FROM s"
+    return f"WITH RECURSIVE {_SEGMENTS}, {_greedy(rows, lone)} SELECT doc_id, ordinal, CAST(batch_no AS INTEGER) AS batch_no FROM g"
 
 
 @_query(_batch_sql("1"))
@@ -172,7 +185,7 @@ _MATCH = f"t AS (SELECT term_id, file, row_no, lower({_strip('source')}) AS s FR
 
 @_query(f"WITH {_MATCH} SELECT doc_id, term_id FROM m")
 def term_match(spark: SparkSession, folder: str) -> DataFrame:
-    """Glossary terms in documents."""
+    """Glossary terms in documents (request_terms has those of each request)."""
     return terms.matches(_read(spark, folder, "documents"), "doc_id", "text", terms.normalized(_read(spark, folder, "terms")), "term_id")
 
 
@@ -205,25 +218,150 @@ def parts_reassembly(spark: SparkSession, folder: str) -> DataFrame:
     return requests.reassembled(done, ["doc"], "t", "en")
 
 
-@_query()
+_PART_ROWS = """y AS (SELECT doc_id, split_part(doc_id, '|', 1) AS doc, CAST(split_part(doc_id, '|', 2) AS BIGINT) AS o, split_part(doc_id, '|', 3) AS sid, ordinal AS part_no, max(ordinal) OVER (PARTITION BY doc_id) AS parts, source FROM p
+UNION ALL SELECT k, doc_id, ordinal, segment_id, 1, 1, source FROM own WHERE length(source) > 0 AND k NOT IN (SELECT doc_id FROM p)),
+z AS (SELECT doc AS doc_id, o, sid AS segment_id, part_no, CASE WHEN parts = 1 THEN sid ELSE sid || '__part' || printf('%04d', part_no) END AS part_id, source AS text, o * 100000 + part_no AS pos FROM y)"""
+_OWN = "own AS (SELECT doc_id || '|' || ordinal || '|' || segment_id AS k, doc_id, ordinal, segment_id, source FROM s WHERE length(source) > 0)"
+_REQUEST_SQL = f"""WITH RECURSIVE {_SEGMENTS}, {_OWN}, {_packed("SELECT k AS doc_id, source AS own FROM own", 6000)}, {_PART_ROWS}, {_greedy("SELECT doc_id, pos AS ordinal, length(text) AS len FROM z", chars=6000)}
+SELECT z.doc_id, CAST(batch_no AS INTEGER) AS request_no, count(*) AS n_items, CAST(sum(length(text)) AS BIGINT) AS n_chars, CAST(to_json({{'segments': list({{'id': part_id, 'text': text}} ORDER BY pos)}}) AS VARCHAR) AS payload
+FROM z JOIN g ON g.doc_id = z.doc_id AND g.ordinal = z.pos GROUP BY z.doc_id, batch_no"""
+
+
+@_query(_REQUEST_SQL)
 def request_json(spark: SparkSession, folder: str) -> DataFrame:
-    """Bounded requests of the segments of each document, their segments as JSON."""
+    """Bounded requests of the segments of each document, their segments as JSON."""
     rows = requests.parts(_segments(spark, folder).where("length(source) > 0"), ["doc_id", "ordinal", "segment_id"], "source")
     return requests.requests(rows, "doc_id", "ordinal")
 
 
-@_query()
-def answered(spark: SparkSession, folder: str) -> DataFrame:
-    """Requests answered by a stand-in translator, parsed and merged into unlocked segments."""
-    def stand_in(payload: str) -> str:
-        import json
+_FREE = "NOT coalesce(locked, false) AND NOT coalesce(status IN ('edited', 'reviewed'), false)"
+
+
+@_query(f"WITH {_SEGMENTS} SELECT doc_id, ordinal, segment_id, status FROM s WHERE {_FREE} AND length(coalesce(translation, '')) = 0")
+def pending_segments(spark: SparkSession, folder: str) -> DataFrame:
+    """segments a translation job takes up."""
+    return state.pending(_segments(spark, folder)).select("doc_id", "ordinal", "segment_id", "status")
+
+
+@_query(f"WITH {_SEGMENTS} SELECT doc_id, ordinal, CASE WHEN {_FREE} AND length(coalesce(translation, '')) = 0 THEN 'queued' ELSE status END AS status FROM s")
+def queued_segments(spark: SparkSession, folder: str) -> DataFrame:
+    """the state of segments once a job has begun."""
+    rows = _segments(spark, folder)
+    return state.queued(rows, state.pending(rows), ["doc_id", "ordinal"]).select("doc_id", "ordinal", "status")
+
+
+_EDITED = f"""l AS (SELECT DISTINCT seq, doc_id, segment_id, {_strip('source')} AS src, {_strip('translation')} AS tr, locked AS lk, reviewed AS rv FROM edits),
+i AS (SELECT doc_id, segment_id, -1 AS seq, coalesce(translation, '') AS tr, CAST(NULL AS BOOLEAN) AS rv FROM s UNION ALL SELECT doc_id, segment_id, seq, tr, rv FROM l),
+c AS (SELECT *, last_value(tr IGNORE NULLS) OVER (w ROWS UNBOUNDED PRECEDING) AS cur, last_value(tr IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM i WINDOW w AS (PARTITION BY doc_id, segment_id ORDER BY seq)),
+m AS (SELECT doc_id, segment_id, seq, CASE WHEN seq = -1 THEN NULL WHEN rv THEN 'reviewed' WHEN NOT rv THEN CASE WHEN cur <> '' THEN 'edited' ELSE 'empty' END WHEN tr IS NOT NULL AND tr <> prev THEN CASE WHEN tr <> '' THEN 'edited' ELSE 'empty' END END AS st FROM c),
+f AS (SELECT doc_id, segment_id, arg_max(st, seq) FILTER (st IS NOT NULL) AS st FROM m GROUP BY doc_id, segment_id),
+h AS (SELECT doc_id, segment_id, arg_max(src, seq) FILTER (src IS NOT NULL) AS src, arg_max(tr, seq) FILTER (tr IS NOT NULL) AS tr, arg_max(coalesce(rv, lk), seq) FILTER (coalesce(rv, lk) IS NOT NULL) AS lk FROM l GROUP BY doc_id, segment_id)"""
+
+
+@_query(f"WITH {_SEGMENTS}, {_EDITED} SELECT s.doc_id, s.ordinal, coalesce(h.src, s.source) AS source, coalesce(h.tr, s.translation) AS translation, coalesce(f.st, s.status) AS status, coalesce(h.lk, s.locked) AS locked FROM s LEFT JOIN h USING (doc_id, segment_id) LEFT JOIN f USING (doc_id, segment_id)")
+def edit_state(spark: SparkSession, folder: str) -> DataFrame:
+    """The segments after the whole edit log."""
+    return engine.apply_edits(_segments(spark, folder), _read(spark, folder, "edits")).select("doc_id", "ordinal", "source", "translation", "status", "locked")
+
+
+@_query(f"""WITH {_SEGMENTS}, n AS (SELECT doc_id, segment_id, arg_max({_strip('translation')}, seq) AS text FROM edits WHERE translation IS NOT NULL GROUP BY doc_id, segment_id),
+a AS (SELECT s.*, n.text, n.text IS NOT NULL AND {_FREE} AND length(coalesce(translation, '')) = 0 AS applied FROM s LEFT JOIN n USING (doc_id, segment_id))
+SELECT doc_id, ordinal, CASE WHEN applied THEN text ELSE translation END AS translation, CASE WHEN applied THEN 'machine' ELSE status END AS status, applied FROM a""")
+def machine_merge(spark: SparkSession, folder: str) -> DataFrame:
+    """Answers, here the last translations of the log, merged under the guard."""
+    answers = state.latest_with_key(_read(spark, folder, "edits"), ["doc_id", "segment_id"], "seq").where("translation is not null").withColumnRenamed("translation", "text")
+    return state.answered(_segments(spark, folder), answers, ["doc_id", "segment_id"]).select("doc_id", "ordinal", "translation", "status", "applied")
+
+
+@_query(f"""WITH {_SEGMENTS}, n AS (SELECT doc_id, segment_id, {_strip("arg_max(translation, seq) FILTER (translation IS NOT NULL)")} AS v FROM edits GROUP BY doc_id, segment_id),
+a AS (SELECT s.*, v, v IS NOT NULL AND v <> coalesce(translation, '') AS changed FROM s LEFT JOIN n USING (doc_id, segment_id))
+SELECT doc_id, ordinal, CASE WHEN changed THEN v ELSE translation END AS translation, CASE WHEN NOT changed THEN status WHEN v = '' THEN 'empty' ELSE 'edited' END AS status, changed FROM a""")
+def autosave_merge(spark: SparkSession, folder: str) -> DataFrame:
+    """Maps of translations, here the last ones of the log, saved into the segments."""
+    last = state.latest_with_key(_read(spark, folder, "edits"), ["doc_id", "segment_id"], "seq").where("translation is not null")
+    saves = last.select("doc_id", F.create_map("segment_id", "translation").alias("translations"))  # a map holds what one save sends
+    return engine.apply_autosave(_segments(spark, folder), saves).select("doc_id", "ordinal", "translation", "status", "changed")
+
+
+_SAVED, _DIRTY = "SELECT doc_id, segment_id, arg_max({0}, seq) AS v FROM edits WHERE translation IS NOT NULL{1} GROUP BY doc_id, segment_id", _strip("translation")
+
+
+@_query(f"WITH {_SEGMENTS}, d AS ({_SAVED.format(_DIRTY, '')}) SELECT s.doc_id, s.segment_id, coalesce(d.v, s.translation, '') AS translation, s.status FROM s LEFT JOIN d USING (doc_id, segment_id)")
+def row_merge(spark: SparkSession, folder: str) -> DataFrame:
+    """What an editor shows: its unsaved translations win over the server's."""
+    dirty = state.latest_with_key(_read(spark, folder, "edits"), ["doc_id", "segment_id"], "seq").where("translation is not null")
+    return state.shown(_segments(spark, folder), dirty, ["doc_id", "segment_id"])
+
+
+@_query(f"WITH d AS ({_SAVED.format(_DIRTY, '')}), v AS ({_SAVED.format(_DIRTY, ' AND source IS NULL')}) SELECT d.doc_id, count(*) AS unsaved FROM d LEFT JOIN v ON v.doc_id = d.doc_id AND v.segment_id = d.segment_id AND v.v = d.v WHERE v.v IS NULL GROUP BY d.doc_id")
+def dirty_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with translations that differ from what was saved (here: by edits of the translation alone)."""
+    log = _read(spark, folder, "edits")
+    key = ["doc_id", "segment_id"]
+    dirty, saved = (state.latest_with_key(x, key, "seq").where("translation is not null") for x in (log, log.where("source is null")))
+    return state.unsaved(dirty, saved, key).groupBy("doc_id").agg(F.count("*").alias("unsaved"))
 
-        return json.dumps({"translations": [{"id": x["id"], "text": f"[{x['text']}]"} for x in json.loads(payload)["segments"]]}, ensure_ascii=False)
 
-    base = _segments(spark, folder)
-    answers = requests.parsed(requests.called(request_json(spark, folder), ["doc_id", "request_no"], stand_in), ["doc_id", "request_no"], "content")
-    whole = answers.select("doc_id", F.split("id", requests.PART)[0].alias("segment_id"), F.coalesce(F.regexp_extract("id", f"{requests.PART}(\\d+)$", 1).try_cast("int"), F.lit(1)).alias("part_no"), "text")
-    return merge.guarded(base, requests.reassembled(whole, ["doc_id", "segment_id"], "text", "en"), ["doc_id", "segment_id"]).select("doc_id", "ordinal", "translation", "applied")
+@_query(f"""WITH {_RECORDS}, q AS (SELECT DISTINCT request_id, doc_id, source_language, target_language FROM translation_requests),
+a AS (SELECT q.*, CASE WHEN q.source_language = q.target_language THEN 400 WHEN r.status = 'translating' THEN 202 WHEN r.doc_id IS NOT NULL THEN 202 ELSE 404 END AS answer, coalesce(r.status = 'translating', false) AS busy FROM q LEFT JOIN r USING (doc_id))
+SELECT request_id, answer, answer = 202 AND NOT busy AND request_id = coalesce(min(CASE WHEN answer = 202 AND NOT busy THEN request_id END) OVER (PARTITION BY doc_id), -1) AS begins FROM a""")
+def started_jobs(spark: SparkSession, folder: str) -> DataFrame:
+    """Which requests begin a job."""
+    records = _records(spark, folder)
+    asked = _read(spark, folder, "translation_requests").dropDuplicates(["request_id"])
+    return state.started(asked, records, records.where("status = 'translating'")).select("request_id", "answer", "begins")
+
+
+def _stand_in(payload: str) -> str:
+    import json
+
+    return json.dumps({"translations": [{"id": x["id"], "text": f"[{x['text']}]"} for x in json.loads(payload)["segments"]]}, ensure_ascii=False)
+
+
+_PENDING = f"own AS (SELECT doc_id || '|' || ordinal || '|' || segment_id AS k, doc_id, ordinal, segment_id, coalesce(source, '') AS source FROM s JOIN r USING (doc_id) WHERE {_FREE.replace('status', 's.status')} AND length(coalesce(translation, '')) = 0)"
+_ANSWERS = f"""{_packed("SELECT k AS doc_id, source AS own FROM own", 6000)}, {_PART_ROWS.replace("WHERE length(source) > 0 AND k NOT", "WHERE k NOT")},
+v AS (SELECT z.doc_id, segment_id, {_strip("CASE WHEN any_value(target_language) = 'zh' THEN string_agg('[' || text || ']', '' ORDER BY part_no) ELSE string_agg('[' || text || ']', ' ' ORDER BY part_no) END")} AS answer FROM z JOIN r USING (doc_id) GROUP BY z.doc_id, segment_id)"""
+
+
+@_query(f"""WITH {_SEGMENTS}, {_RECORDS}, {_PENDING}, {_ANSWERS}
+SELECT s.doc_id, s.ordinal, coalesce(v.answer, s.translation) AS translation, CASE WHEN v.answer IS NOT NULL THEN 'machine' WHEN s.status IN ('queued', 'translating') THEN CASE WHEN length({_strip("coalesce(s.translation, '')")}) > 0 THEN 'machine' ELSE 'empty' END ELSE s.status END AS status
+FROM s JOIN r USING (doc_id) LEFT JOIN v USING (doc_id, segment_id)""")
+def translate_job(spark: SparkSession, folder: str) -> DataFrame:
+    """A job over all documents with a stand-in translator that puts texts in brackets."""
+    return engine.translate(_records(spark, folder), _segments(spark, folder), _stand_in)[1].select("doc_id", "ordinal", "translation", "status")
+
+
+def _planned(spark: SparkSession, folder: str) -> DataFrame:
+    """The parts of all segments in requests, whatever their state."""
+    rows = requests.parts(_segments(spark, folder).where("length(source) > 0"), ["doc_id", "ordinal", "segment_id"], "source")
+    way = _records(spark, folder).select("doc_id", F.when(F.col("source_language") == "en", "en").otherwise("zh").alias("source_language"))
+    numbered = requests.numbered(rows, "doc_id", "ordinal")
+    return numbered.join(way, "doc_id").withColumn("target_language", F.when(F.col("source_language") == "en", "zh").otherwise("en"))
+
+
+_TERMS_OF = f"""nt AS (SELECT term_id, file, row_no, {_strip('source')} AS s0, {_strip('target')} AS t0, {_strip("coalesce(domain, '')")} AS domain, {_strip("coalesce(notes, '')")} AS notes, lower({_strip("coalesce(source_lang, '')")}) AS sl, lower({_strip("coalesce(target_lang, '')")}) AS tl FROM terms WHERE length(source) > 0 AND length(target) > 0),
+d AS (SELECT 'zh' AS a, 'en' AS b UNION ALL SELECT 'en', 'zh'),
+o AS (SELECT a, b, term_id, file, row_no, CASE WHEN sl = b AND tl = a THEN t0 ELSE s0 END AS src, CASE WHEN sl = b AND tl = a THEN s0 ELSE t0 END AS tgt, domain, notes FROM nt, d WHERE sl = '' OR tl = '' OR (sl = a AND tl = b) OR (sl = b AND tl = a)),
+zz AS (SELECT z.doc_id, g.batch_no AS request_no, z.text, CASE WHEN r.source_language = 'en' THEN 'en' ELSE 'zh' END AS a FROM z JOIN g ON g.doc_id = z.doc_id AND g.ordinal = z.pos JOIN r ON r.doc_id = z.doc_id),
+hit AS (SELECT DISTINCT doc_id, request_no, o.* FROM zz JOIN o ON zz.a = o.a AND length(src) > 0 AND contains(lower(text), lower(src))),
+top AS (SELECT * FROM hit QUALIFY row_number() OVER (PARTITION BY doc_id, request_no ORDER BY file, row_no, term_id) <= 120)"""
+
+
+@_query(f"""{_REQUEST_SQL[: _REQUEST_SQL.index("SELECT z.doc_id, CAST(batch_no")].rstrip()}, {_RECORDS}, {_TERMS_OF}
+SELECT doc_id, CAST(request_no AS INTEGER) AS request_no, count(*) AS n_terms, string_agg(src || ' => ' || tgt || CASE WHEN domain <> '' AND notes <> '' THEN ' (' || domain || '; ' || notes || ')' WHEN domain || notes <> '' THEN ' (' || domain || notes || ')' ELSE '' END, chr(10) ORDER BY file, row_no, term_id) AS lines FROM top GROUP BY doc_id, request_no""")
+def request_terms(spark: SparkSession, folder: str) -> DataFrame:
+    """The glossary terms of each request, oriented, as lines."""
+    parts = _planned(spark, folder)
+    found = requests.matched_terms(parts, parts, "doc_id", terms.normalized(_read(spark, folder, "terms")), ["file", "row_no"])
+    return found.select("doc_id", "request_no", F.size("terms").cast("bigint").alias("n_terms"), F.array_join(F.transform("terms", requests.term_line), "\n").alias("lines"))
+
+
+@_query()
+def request_prompts(spark: SparkSession, folder: str) -> DataFrame:
+    """The bodies of the requests of all documents, with their instructions."""
+    parts = _planned(spark, folder).withColumn("batch_no", F.lit(0)).withColumn("_group", F.col("doc_id"))
+    plan = engine.prompted(parts, terms.normalized(_read(spark, folder, "terms")), ["file", "row_no"])
+    return requests.bodies(plan, "openai", "any").select("doc_id", "request_no", "body")
 
 
 @_query(f"""WITH {_RECORDS}, n AS (SELECT doc_id, retry.retry_number AS retry_number, coalesce(TRY_CAST(regexp_extract(retry.reason, '(\\d+)', 1) AS INTEGER), 0) AS status FROM r WHERE retry IS NOT NULL)
@@ -239,14 +377,14 @@ _LATEST = f"e AS (SELECT doc_id, segment_id, arg_max({_strip('source')}, seq) FI
 
 @_query(f"WITH {_LATEST} SELECT * FROM e")
 def edit_latest(spark: SparkSession, folder: str) -> DataFrame:
-    """The last value of each field of every segment."""
+    """The last value of each field of every segment, as the log has it (edit_state has what becomes of the segments)."""
     return merge.latest_edits(_read(spark, folder, "edits"), ["doc_id", "segment_id"], "seq", ["source", "translation", "locked", "reviewed"])
 
 
 @_query(f"""WITH {_SEGMENTS}, {_LATEST} SELECT s.doc_id, s.ordinal, coalesce(e.source, s.source) AS source, coalesce(e.translation, s.translation) AS translation,
 (e.source IS NOT NULL AND e.source IS DISTINCT FROM s.source) OR (e.translation IS NOT NULL AND e.translation IS DISTINCT FROM s.translation) AS changed FROM s LEFT JOIN e USING (doc_id, segment_id)""")
 def edit_merge(spark: SparkSession, folder: str) -> DataFrame:
-    """The edits merged into the segments."""
+    """The fields of the edits merged into the segments."""
     return merge.upserted(_segments(spark, folder), edit_latest(spark, folder), ["doc_id", "segment_id"], ["source", "translation"]).select("doc_id", "ordinal", "source", "translation", "changed")
 
 
@@ -298,8 +436,8 @@ def page_map(spark: SparkSession, folder: str) -> DataFrame:
 def position_lookup(spark: SparkSession, folder: str) -> DataFrame:
     """As-of lookup of every tenth of each document."""
     asked = _records(spark, folder).select("doc_id", F.explode(F.array(*(F.lit(i / 10) for i in range(11)))).alias("ratio"))
-    mapped = _map(spark, folder)
-    return align.looked_up(mapped, asked.join(mapped.select("doc_id").distinct(), "doc_id"), "doc_id", "ratio")
+    known = _read(spark, folder, "segments").select("doc_id").distinct()
+    return align.looked_up(_map(spark, folder), asked.join(known, "doc_id"), "doc_id", "ratio")
 
 
 @_query(f"WITH {_RECORDS} SELECT doc_id, name, status, progress, updated_at, CAST(row_number() OVER (ORDER BY updated_at DESC, doc_id) AS INTEGER) AS place FROM r QUALIFY place <= 50")
@@ -337,7 +475,7 @@ def translated_export(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query(f"WITH {_SEGMENTS} SELECT DISTINCT doc_id FROM s WHERE length({_strip("coalesce(translation, '')")}) > 0")
 def exportable_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """K07, X03."""
+    """K07, A05."""
     return sinks.exportable(_segments(spark, folder))
 
 
@@ -371,3 +509,70 @@ def status_transitions(spark: SparkSession, folder: str) -> DataFrame:
 
     versions = _read(spark, folder, "doc_records").select("doc_id", "updated_at", "status").distinct().withColumn("_o", F.struct("updated_at", "status"))
     return stream.transitions(versions, "doc_id", "_o", "status").select("doc_id", "_o.updated_at", "before", "after")
+
+
+@_query(f"""WITH {_RECORDS} SELECT doc_id, regexp_matches(doc_id, '^[a-f0-9]{{12}}$') AS valid_id,
+coalesce(CASE status WHEN 'ready' THEN '待翻译' WHEN 'translating' THEN '翻译中' WHEN 'completed' THEN '已完成' WHEN 'error' THEN '出错' ELSE status END, status) AS status_name,
+CASE WHEN source_language = 'zh' THEN '中文' ELSE 'English' END AS language_name,
+strftime(updated_at, '%Y-%m-%dT%H:%M:%S+00:00') AS stamp,
+coalesce(nullif(substring(regexp_replace({_strip(r"regexp_replace(regexp_extract(name, '([^/\\\\]*)$', 1), '^(.+)\.[^.]*$', '\1')")}, '[<>:"/\\|?*]', '_', 'g'), 1, 180), ''), 'document') || '_' || doc_id || '_译文.docx' AS output FROM r""")
+def record_facts(spark: SparkSession, folder: str) -> DataFrame:
+    """What is derived from a record."""
+    r = _records(spark, folder)
+    moment = F.col("updated_at").cast("timestamp")
+    return r.select(
+        "doc_id", F.col("doc_id").rlike(engine.ID).alias("valid_id"), T.label(F.col("status"), T.DOCUMENT_STATES).alias("status_name"),
+        F.when(F.col("source_language") == "zh", T.LANGUAGES["zh"]).otherwise(T.LANGUAGES["en"]).alias("language_name"), T.utc_stamp(moment).alias("stamp"), sinks.output_name(F.col("name"), F.col("doc_id")).alias("output"),
+    )
+
+
+@_query(r"""WITH f AS (SELECT source, file_name, doc_id, lower(regexp_extract(coalesce(file_name, ''), '\.([^./\\]+)$', 1)) AS suffix FROM documents WHERE source IS NOT NULL),
+k AS (SELECT *, CASE WHEN suffix IN ('doc', 'docx', 'pdf') THEN 'document' WHEN suffix IN ('png', 'jpg', 'jpeg', 'webp', 'gif', 'bmp') THEN 'image' END AS kind, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM f)
+SELECT source, max(file_name) FILTER (n = 1) AS "left", max(file_name) FILTER (n = 2) AS "right", coalesce(max(kind) FILTER (n = 1) = max(kind) FILTER (n = 2), false) AS comparable FROM k WHERE n <= 2 GROUP BY source""")
+def compared_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The first two files of each source, and whether they may be compared."""
+    return segments.compared(_read(spark, folder, "documents").where("source is not null"), "source", "doc_id", "file_name")
+
+
+@_query(f"""WITH {_SEGMENTS}, v AS (SELECT doc_id, ordinal, {_WEIGHT} AS weight FROM s),
+e AS (SELECT *, sum(weight) OVER (PARTITION BY doc_id ORDER BY ordinal ROWS UNBOUNDED PRECEDING) AS over FROM v),
+q AS (SELECT doc_id, i / 10.0::DOUBLE AS ratio, greatest(max(over), 1.0) * (i / 10.0::DOUBLE) AS want, max(ordinal) AS latest FROM e, range(11) t(i) GROUP BY doc_id, i)
+SELECT q.doc_id, q.ratio, coalesce(min(e.ordinal) FILTER (e.over >= q.want - 1e-9), any_value(q.latest)) AS ordinal FROM q JOIN e ON e.doc_id = q.doc_id GROUP BY q.doc_id, q.ratio""")
+def weight_lookup(spark: SparkSession, folder: str) -> DataFrame:
+    """J06 where no positions are known: lookup by weights of every tenth of each document."""
+    rows = _segments(spark, folder).withColumn("weight", T.visual_weight(F.coalesce("source", F.lit(""))))
+    entries = ordered.prefix_sums(rows, "doc_id", "ordinal", "weight").select("doc_id", "ordinal", "start", (F.col("end") + 1e-9).alias("end"))  # sums of blocks differ in the last digits
+    asked = entries.select("doc_id").distinct().select("doc_id", F.explode(F.array(*(F.lit(i / 10) for i in range(11)))).alias("ratio"))
+    return align.by_weight(entries, asked, "doc_id", "ratio").select("doc_id", "ratio", "ordinal")
+
+
+@_query(f"""WITH {_SEGMENTS}, a AS (SELECT doc_id, count(*) FILTER (length({_strip("coalesce(source, '')")}) > 0) AS n_paragraphs, count(*) AS n_segments FROM s GROUP BY doc_id)
+SELECT s.doc_id, ordinal, {_strip("coalesce(translation, '')")} AS text FROM s JOIN a ON a.doc_id = s.doc_id AND n_paragraphs = n_segments""")
+def template_backfill(spark: SparkSession, folder: str) -> DataFrame:
+    """Translations for the paragraphs of templates, here the visible sources; documents of other counts have none."""
+    rows = _segments(spark, folder)
+    return sinks.backfilled(rows.where(F.length(T.strip(F.coalesce("source", F.lit("")))) > 0), rows)[0]
+
+
+@_query(f"""WITH {_SEGMENTS}, {_RECORDS}, o AS (SELECT DISTINCT s.doc_id FROM s JOIN r USING (doc_id) WHERE length({_strip("coalesce(translation, '')")}) > 0)
+SELECT (SELECT count(DISTINCT original_path) + CAST(bool_or(original_path IS NULL) AS INT) FROM doc_records) AS removed, (SELECT count(*) FROM o) AS exported""")
+def finalised_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """How many record files go and how many documents are exported."""
+    paths = _read(spark, folder, "doc_records").select(F.col("original_path").alias("path"))
+    return sinks.finalised(_records(spark, folder), _segments(spark, folder), [paths, paths])[1]
+
+
+@_query("WITH c AS (SELECT seq % 97 AS upload, octet_length(encode(coalesce(source, ''))) AS n FROM edits) SELECT upload, CAST(sum(n) AS BIGINT) AS size, CASE WHEN sum(n) > 5000 THEN 413 END AS reject FROM c GROUP BY upload")
+def upload_sizes(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes of uploads that come in chunks (here: all sources, dealt to 97 uploads), refused above 5,000."""
+    chunks = _read(spark, folder, "edits").select((F.col("seq") % 97).alias("upload"), F.encode(F.coalesce("source", F.lit("")), "UTF-8").alias("content"))
+    return segments.upload_sizes(chunks, "upload", "content", 5000)
+
+
+@_query(r"""WITH p AS (SELECT doc_id, file_name AS path FROM documents UNION ALL SELECT -doc_id, '../' || file_name FROM documents)
+SELECT doc_id, coalesce(path <> '' AND NOT regexp_matches(path, '^([/\\]|[A-Za-z]:)') AND doc_id >= 0, false) AS allowed FROM p""")
+def path_guard(spark: SparkSession, folder: str) -> DataFrame:
+    """Paths that stay below their root."""
+    docs = _read(spark, folder, "documents")
+    both = docs.select("doc_id", F.col("file_name").alias("path")).unionByName(docs.select((-F.col("doc_id")).alias("doc_id"), F.concat(F.lit("../"), "file_name").alias("path")))
+    return both.select("doc_id", readers.inside(F.col("path")).alias("allowed"))

@@ -10,7 +10,8 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
@@ -24,27 +25,71 @@ TERM = "file string, row_no int, source string, target string, source_lang strin
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
-def _paragraph(node: ElementTree.Element) -> str:
-    parts = []
-    for x in node.iter():
-        parts.append({f"{_W}t": x.text or "", f"{_W}tab": "\t", f"{_W}br": "\n", f"{_W}cr": "\n"}.get(x.tag, ""))
-    return "".join(parts).strip()
+_BREAKS = {f"{_W}tab": "\t", f"{_W}br": "\n", f"{_W}cr": "\n", f"{_W}noBreakHyphen": "-"}
 
 
-def docx_paragraphs(content: bytes) -> list[str]:
-    """Visible paragraphs of a document: those of the body, then those of the cells of its top-level tables by rows.
+def _runs(node: ElementTree.Element) -> Iterator[ElementTree.Element]:
+    """The runs of a paragraph and of its links; what is drawn in it, such as text boxes, is no text of its own."""
+    for child in node:
+        if child.tag == f"{_W}r":
+            yield child
+        elif child.tag == f"{_W}hyperlink":
+            yield from child.findall(f"{_W}r")
 
-    Cells merged downwards are read where they begin; nested tables, headers and footers are left out.
-    """
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
-        body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{_W}body")
+
+def _paragraph(node: ElementTree.Element) -> str:
+    return "".join(x.text or "" if x.tag == f"{_W}t" else _BREAKS.get(x.tag, "") for run in _runs(node) for x in run).strip()
+
+
+def _paragraph_nodes(root: ElementTree.Element) -> list[ElementTree.Element]:
+    """Paragraphs with visible text: those of the body, then those of the cells of its top-level tables by rows."""
+    body = root.find(f"{_W}body")
     nodes = list(body.findall(f"{_W}p"))
     for table in body.findall(f"{_W}tbl"):
         for cell in table.findall(f"{_W}tr/{_W}tc"):
             merge = cell.find(f"{_W}tcPr/{_W}vMerge")
             if merge is None or merge.get(f"{_W}val") == "restart":
                 nodes += cell.findall(f"{_W}p")
-    return [t for t in map(_paragraph, nodes) if t]
+    return [n for n in nodes if _paragraph(n)]
+
+
+def docx_paragraphs(content: bytes) -> list[str]:
+    """Visible paragraphs of a document: those of the body, then those of the cells of its top-level tables by rows.
+
+    Cells merged downwards are read where they begin; nested tables, headers and footers are left out.
+    """
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        return [_paragraph(n) for n in _paragraph_nodes(ElementTree.fromstring(z.read("word/document.xml")))]
+
+
+class CountMismatch(ValueError):
+    """A template has another number of paragraphs than there are texts."""
+
+
+def docx_filled(content: bytes, texts: list[str]) -> bytes:
+    """A copy of a document with other texts in its visible paragraphs: the first piece of text takes all of it, the others are emptied, drawings stay."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        parts = {i: z.read(i) for i in z.infolist()}
+    main = next(i for i in parts if i.filename == "word/document.xml")
+    for _, pair in ElementTree.iterparse(io.BytesIO(parts[main]), ["start-ns"]):
+        ElementTree.register_namespace(*pair)  # so that prefixes stay as they are
+    root = ElementTree.fromstring(parts[main])
+    nodes = _paragraph_nodes(root)
+    if len(nodes) != len(texts):
+        raise CountMismatch(f"{len(nodes)} paragraphs and {len(texts)} texts")
+    for node, text in zip(nodes, texts, strict=True):
+        held = [x for run in _runs(node) for x in run if x.tag == f"{_W}t"]
+        if not held:
+            held = [ElementTree.SubElement(ElementTree.SubElement(node, f"{_W}r"), f"{_W}t")]
+        for x in held:
+            x.text = ""
+        held[0].text = text
+        held[0].set("{http://www.w3.org/XML/1998/namespace}space", "preserve")
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for info, data in parts.items():
+            z.writestr(info, ElementTree.tostring(root, encoding="utf-8", xml_declaration=True) if info is main else data)
+    return out.getvalue()
 
 
 def docx(spark: SparkSession, path: str, most: int = 80 * 1024 * 1024) -> DataFrame:
@@ -98,13 +143,36 @@ def glossary(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def style_guide(spark: SparkSession, path: str, most: int = 12_000) -> DataFrame:
-    """(style): the first ``most`` characters of a file, stripped then."""
-    return spark.read.text(path, wholetext=True).select(T.strip(F.substring("value", 1, most)).alias("style"))
+    """(style): the first ``most`` characters of a file, stripped then; the empty text where there is no such file."""
+    try:
+        return spark.read.text(path, wholetext=True).select(T.strip(F.substring("value", 1, most)).alias("style"))
+    except AnalysisException:
+        return spark.sql("SELECT '' AS style")
 
 
 def records(spark: SparkSession, pattern: str) -> DataFrame:
-    """Saved document records; files that are no record are skipped."""
-    return spark.read.schema(RECORD + ", _broken string").option("multiLine", True).option("columnNameOfCorruptRecord", "_broken").json(pattern).where("_broken is null and id is not null").drop("_broken")
+    """Saved document records; files that are no record, or whose id has another form, are skipped."""
+    return spark.read.schema(RECORD + ", _broken string").option("multiLine", True).option("columnNameOfCorruptRecord", "_broken").json(pattern).where("_broken is null and id is not null and name is not null").where(F.col("id").rlike("^[a-f0-9]{12}$")).drop("_broken")
+
+
+def page_texts(pages: DataFrame) -> DataFrame:
+    """(doc_id, page_no, text): texts of pages; a page that could not be read is empty, a repeated one counts once."""
+    return pages.groupBy("doc_id", "page_no").agg(F.coalesce(F.max("text"), F.lit("")).alias("text"))
+
+
+def inside(path: Column) -> Column:
+    """Whether a relative path stays below its root: neither absolute nor climbing above it by ``..``."""
+    steps = F.filter(F.split(path, r"[/\\\\]"), lambda x: ~x.isin("", "."))
+    depth = F.aggregate(steps, F.struct(F.lit(0).alias("at"), F.lit(0).alias("low")), lambda acc, x: F.struct((acc["at"] + F.when(x == "..", -1).otherwise(1)).alias("at"), F.least(acc["low"], acc["at"] + F.when(x == "..", -1).otherwise(1)).alias("low")))
+    return F.coalesce(~path.rlike(r"^([/\\\\]|[A-Za-z]:)") & (F.length(path) > 0) & (depth["low"] >= 0), F.lit(False))
+
+
+def originals(spark: SparkSession, records: DataFrame, root: str) -> DataFrame:
+    """(doc_id, path, content): the files of records, of which only those below the root are read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "content")
+    wanted = records.where(inside(F.col("original_path"))).select("doc_id", F.regexp_replace("original_path", r"\\\\", "/").alias("_tail"))
+    tail = F.substring(F.col("path"), F.length(F.lit(root.rstrip("/"))) + 2 + F.locate(root.rstrip("/"), F.col("path")) - 1, 4096)
+    return files.withColumn("_tail", tail).join(wanted, "_tail").select("doc_id", "path", "content")
 
 
 def record_segments(saved: DataFrame) -> DataFrame:

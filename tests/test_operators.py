@@ -4,7 +4,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from foliant.operators import align, merge, ordered, segments, terms
+from foliant import engine
+from foliant.operators import align, merge, ordered, segments, state, terms
 
 
 def greedy(lengths, items, chars, lone):
@@ -98,14 +99,6 @@ def test_latest_edits_and_merge(spark):
     assert got == {"s": ("n", "b", True), "t": (None, "y", False), "u": ("q", "z", False)}
 
 
-def test_guarded(spark):
-    base = spark.createDataFrame([("a", "", False), ("b", "t", None), ("c", None, True), ("d", None, None)], "k string, translation string, locked boolean")
-    new = spark.createDataFrame([(k, "n") for k in "abc"], "k string, text string")
-    got = {r.k: r.translation for r in merge.guarded(base, new, ["k"]).collect()}
-    assert got == {"a": "n", "b": "t", "c": None, "d": None}
-    assert {r.k: r.translation for r in merge.guarded(base, new, ["k"], overwrite=True).collect()} == {"a": "n", "b": "n", "c": None, "d": None}
-
-
 def test_sessions(spark):
     t = dt.datetime(2025, 1, 1)
     rows = [(i, t + dt.timedelta(minutes=m), "d") for i, m in enumerate([0, 10, 41, 71, 72])] + [(0, t, "d")]
@@ -137,3 +130,126 @@ def test_zip_and_ids(spark):
     assert sorted((r.o, r.both) for r in merge.zipped(a, b, ["d", "o"], ["t", "u"]).collect()) == [(1, True), (2, False)]
     ids = spark.createDataFrame([(1,), (12345,)], "o int").select(segments.segment_id(F.col("o")).alias("s"))
     assert [r.s for r in ids.collect()] == ["s0001", "s12345"]
+
+
+def brute_map(keys, pages):
+    """Position, page and hit of each key, from the list of all places of all pages."""
+    sizes = [max(1, len(p)) for p in pages]
+    places = [(p, o) for p, size in enumerate(sizes) for o in range(size)]
+    total, used, cursor, high, out = sum(max(1, len(k)) for k in keys), 0, (0, 0), 0.0, []
+    for key in keys:
+        probes = sorted({key[:n] for n in (len(key) if len(key) <= 300 else 200, 128, 64, 32, 16, 8)} - {""}, key=len, reverse=True)
+        hits = [(*place, len(probe)) for probe in probes for place in places if place >= cursor and pages[place[0]].startswith(probe, place[1])]
+        if hits:
+            p, o, n = next(h for h in hits if h[2] == hits[0][2])
+            raw = (p + o / sizes[p]) / len(pages)
+            cursor = (p, o + n) if o + n < sizes[p] else (min(p + 1, len(pages) - 1), 0)
+        else:
+            gone = used / max(1, total) * sum(sizes)
+            p = next(i for i in range(len(pages)) if sum(sizes[: i + 1]) >= gone)
+            raw = (p + (gone - sum(sizes[:p])) / sizes[p]) / len(pages)
+        high = max(high, raw)
+        out.append((round(high, 9), min(len(pages), int(high * len(pages)) + 1), bool(hits)))
+        used += max(1, len(key))
+    return out
+
+
+def test_page_map_against_brute_force(spark):
+    rng = random.Random(6)
+    seg, pages, want = [], [], {}
+    for d in range(25):
+        words = ["".join(rng.choice("ab1中") for _ in range(rng.choice([0, 3, 9, 20, 350]))) for _ in range(rng.randrange(1, 15))]
+        keys = [w if rng.random() < 0.8 else w[:9] + "zz" for w in words]
+        own = ["".join(words[i : i + 3]) for i in range(0, len(words), 3)]
+        seg += [(d, i, k) for i, k in enumerate(keys)]
+        pages += [(d, i, x) for i, x in enumerate(own)]
+        want[d] = brute_map(keys, own)
+    got = {}
+    for r in align.page_map(spark.createDataFrame(seg, "d int, ordinal int, source string"), spark.createDataFrame(pages, "d int, page_no int, text string"), "d").orderBy("d", "ordinal").collect():
+        got.setdefault(r.d, []).append((round(r.position, 9), r.page, r.matched))
+    assert got == want
+
+
+def fold(row, log):
+    """The state of one segment after its edits, one by one."""
+    row = dict(row)
+    for e in sorted({x["seq"]: x for x in log}.values(), key=lambda x: x["seq"]):
+        if e["source"] is not None:
+            row["source"] = e["source"].strip()
+        if e["translation"] is not None:
+            t = e["translation"].strip()
+            if t != (row["translation"] or ""):
+                row["status"] = "edited" if t else "empty"
+            row["translation"] = t
+        if e["locked"] is not None:
+            row["locked"] = e["locked"]
+        if e["reviewed"] is not None:
+            row["status"] = "reviewed" if e["reviewed"] else "edited" if row["translation"] else "empty"
+            row["locked"] = e["reviewed"]
+    return row
+
+
+PATCHES = [
+    ({"translation": " x "}, ("x", "machine", False)), ({"translation": "y"}, ("y", "edited", False)), ({"translation": ""}, ("", "empty", False)), ({"locked": True}, ("x", "machine", True)),
+    ({"reviewed": True}, ("x", "reviewed", True)), ({"reviewed": False}, ("x", "edited", False)), ({"locked": True, "reviewed": False}, ("x", "edited", False)), ({"source": " n "}, ("x", "machine", False)),
+]
+LOG = "seq bigint, k string, source string, translation string, locked boolean, reviewed boolean"
+SEGMENT = "k string, source string, translation string, status string, locked boolean"
+
+
+def test_edits_literal_and_against_a_fold(spark):
+    rng = random.Random(9)
+    base = [(f"p{i}", "s", "x", "machine", False) for i in range(len(PATCHES))] + [(f"r{i}", "s", rng.choice(["x", "", None]), rng.choice(["machine", "empty", "edited"]), rng.choice([True, False, None])) for i in range(150)]
+    log = [(i, f"p{i}", p.get("source"), p.get("translation"), p.get("locked"), p.get("reviewed")) for i, (p, _) in enumerate(PATCHES)]
+    for n in range(900):
+        pick = lambda *v: rng.choice([None, None, *v])
+        row = (100 + n, f"r{rng.randrange(160)}", pick(" s2"), pick("x", "y ", "", " "), pick(True, False), pick(None, True, False))
+        log += [row] * rng.choice([1, 1, 2])
+    rng.shuffle(log)
+    names = [x.split(" ")[0] for x in LOG.split(", ")]
+    got = {r.k: r.asDict() for r in state.edited(spark.createDataFrame(base, SEGMENT), spark.createDataFrame(log, LOG), ["k"], "seq").collect()}
+    for row in base:
+        own = dict(zip([x.split(" ")[0] for x in SEGMENT.split(", ")], row, strict=True))
+        assert got[row[0]] == fold(own, [dict(zip(names, x, strict=True)) for x in log if x[1] == row[0]]), row[0]
+    assert [(got[f"p{i}"]["translation"], got[f"p{i}"]["status"], got[f"p{i}"]["locked"]) for i in range(len(PATCHES))] == [w for _, w in PATCHES]
+    assert got["p7"]["source"] == "n" and state.edited(spark.createDataFrame([], SEGMENT), spark.createDataFrame(log, LOG), ["k"], "seq").count() == 0
+
+
+GUARDS = [("a", "", "empty", False), ("b", "t", "machine", False), ("c", "", "edited", False), ("d", "t", "reviewed", True), ("e", "", "empty", True), ("f", " ", "machine", False), ("g", "t", "edited", None), ("h", None, None, None)]
+
+
+def test_guards(spark):
+    df = spark.createDataFrame(GUARDS, "k string, translation string, status string, locked boolean")
+    assert sorted(r.k for r in state.pending(df).collect()) == ["a", "h"] and sorted(r.k for r in state.pending(df, True).collect()) == ["a", "b", "f", "h"]
+    assert {r.k for r in state.queued(df, df, ["k"]).where("status = 'queued'").collect()} == {"a", "b", "f", "h"}
+    assert {r.k for r in state.eligible(df.select("k"), df, ["k"]).collect()} == {"a", "b", "f", "h"}
+    new = df.select("k", F.lit("n").alias("text"))
+    for overwrite, one, want in ((False, False, "ah"), (True, False, "abfh"), (False, True, "abcfgh")):
+        rows = state.answered(df, new, ["k"], overwrite, one).collect()
+        assert "".join(sorted(r.k for r in rows if r.applied)) == want and all((r.translation, r.status) == ("n", "machine") for r in rows if r.applied)
+    under = spark.createDataFrame([("a", " ", "queued"), ("b", "t", "translating"), ("c", "t", "edited")], "k string, translation string, status string")
+    assert {r.k: r.status for r in state.settled(under).collect()} == {"a": "empty", "b": "machine", "c": "edited"}
+
+
+def test_saves_and_rows_shown(spark):
+    df = spark.createDataFrame([("d", "a", "x", "machine"), ("d", "b", "y", "machine"), ("d", "c", None, "empty")], "doc_id string, segment_id string, translation string, status string")
+    saves = spark.createDataFrame([("d", {"a": " x ", "b": "", "c": "", "z": "q"})], "doc_id string, translations map<string,string>")
+    got = {r.segment_id: (r.translation, r.status, r.changed) for r in engine.apply_autosave(df, saves).collect()}
+    assert got == {"a": ("x", "machine", False), "b": ("", "empty", True), "c": (None, "empty", False)}
+    dirty = spark.createDataFrame([("d", "a", "mine"), ("d", "b", None)], "doc_id string, segment_id string, translation string")
+    key = ["doc_id", "segment_id"]
+    assert {r.segment_id: r.translation for r in state.shown(df, dirty, key).collect()} == {"a": "mine", "b": "", "c": ""}
+    sent = spark.createDataFrame([("d", "a", "older"), ("d", "b", "")], "doc_id string, segment_id string, translation string")
+    assert [r.segment_id for r in state.unsaved(dirty, sent, key).collect()] == ["a"]
+
+
+def test_archive_and_start(spark):
+    records = spark.createDataFrame([("0" * 12, "n"), ("1" * 12, "m")], "doc_id string, name string")
+    ids = spark.createDataFrame([("0" * 12,), ("bad",)], "doc_id string")
+    assert [r.doc_id for r in engine.archive(records, ids, "20250101-000000").collect()] == ["1" * 12]
+    taken = spark.createDataFrame([("0" * 12 + "-20250101-000000",), ("0" * 12 + "-20250101-000000-2",)], "archived_as string")
+    assert {r.archived_as for r in state.archived(records, ids, "20250101-000000", taken).collect()} == {None, "0" * 12 + "-20250101-000000-3"}
+    assert engine.document(records, "1" * 12).count() == 1 and engine.document(records, "1").count() == 0
+    asked = spark.createDataFrame([(1, "0" * 12, "zh", "en"), (2, "0" * 12, "zh", "en"), (3, "1" * 12, "zh", "en"), (4, "1" * 12, "zh", "zh"), (5, "x", "zh", "en")], "request_id int, doc_id string, source_language string, target_language string")
+    running = records.where(f"doc_id = '{'1' * 12}'")
+    assert {r.request_id: (r.answer, r.begins) for r in state.started(asked, records, running).collect()} == {1: (202, True), 2: (202, False), 3: (202, False), 4: (400, False), 5: (404, False)}
