@@ -19,6 +19,13 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return edits.select(F.lit("edits").alias("tab_name"), "key_a", "key_b").unionByName(terms.select(F.lit("terms").alias("tab_name"), "key_a", "key_b"))
 
 
+def p3_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """The class of every source that has more than one spelling, and how many rows it is linked to."""
+    edits = unify.look_classes(_read(spark, folder, "edits"), "seq", "source", ["doc_id", "segment_id"]).select(F.lit("edits").alias("tab_name"), "key", "class_id", "n_rows", "n_spellings", "links")
+    terms = unify.look_classes(_read(spark, folder, "terms"), "term_id", "source", []).select(F.lit("terms").alias("tab_name"), "key", "class_id", "n_rows", "n_spellings", "links")
+    return edits.unionByName(terms)
+
+
 def p3_unified(spark: SparkSession, folder: str) -> DataFrame:
     """The one consistent form of every source."""
     edits = unify.unify(_read(spark, folder, "edits").select(F.lit("edits").alias("tab_name"), F.col("seq").alias("key"), "source"), "source")
@@ -60,9 +67,12 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return p8_stats(spark, folder).where(F.col("kind").isin("list", "table", "junk")).select("doc_id", "kind")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_unified, p5_found, p6_ids, p7_containers, p8_found, p8_stats)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_classes, p3_unified, p5_found, p6_ids, p7_containers, p8_found, p8_stats)}
 #: SQL for DuckDB, where it can express the operator over whole tables.
-SQL: dict[str, str] = {}
+_STOPS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}.,;:!?。，；：！？、…]"
+SQL: dict[str, str] = {
+    "p1_found": f"SELECT DISTINCT seq, CASE WHEN list_max(list_transform(regexp_split_to_array(source, '{_STOPS}'), lambda x: length(x))) > 1200 THEN 'hard' ELSE 'soft' END AS kind FROM edits WHERE length(source) > 1200",
+}
 
 
 def _model(spark: SparkSession, folder: str) -> langid.Model:

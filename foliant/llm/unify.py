@@ -195,14 +195,12 @@ def unify(df: DataFrame, column: str, out: str = "unified") -> DataFrame:
     return df.select(*{*names, column} if column == out else names).mapInArrow(run, schema)
 
 
-def same_look(df: DataFrame, key: str, text: str, within: list[str]) -> DataFrame:
-    """Pairs (key_a < key_b) of rows of one group ``within`` whose texts are different strings of one look.
+#: Parts into which the rows of one spelling are dealt, so that none is as large as its spelling.
+PARTS = 64
 
-    Rows repeated with the same key count once. Only looks with several spellings go on; the spellings of a look
-    are joined with each other, and the rows of both are attached then, so rows with exactly the same string
-    never meet and no group is collected. Strings are compared by two independent 64-bit hashes. A null text, a
-    null key or a null group column takes part in no pair; an empty group list means the whole table.
-    """
+
+def _looks(df: DataFrame, key: str, text: str, within: list[str]) -> DataFrame:
+    """(_key, *within, _l1, _l2, _s1, _s2), distinct: hashes of the look and the spelling of every row that has all of them."""
     schema = ", ".join(["_key bigint", *(f"`{c}` {dict(df.dtypes)[c]}" for c in within), "_text string", "_look string"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,14 +210,41 @@ def same_look(df: DataFrame, key: str, text: str, within: list[str]) -> DataFram
     found = df.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("_key"), *within, F.col(text).alias("_text")).mapInArrow(run, schema)
     one, two = F.lit(0), F.lit(1)
     hashes = [F.xxhash64(n, c).alias(name) for c, of in (("_look", "_l"), ("_text", "_s")) for n, name in ((one, f"{of}1"), (two, f"{of}2"))]
-    hashed = session.written(found.select("_key", *within, *hashes).distinct())  # used several times
+    return found.select("_key", *within, *hashes).distinct()
+
+
+def look_classes(df: DataFrame, key: str, text: str, within: list[str]) -> DataFrame:
+    """(key, *within, class_id bigint, spelling_id bigint, n_rows, n_spellings, links): one row a key and group of the looks with several spellings.
+
+    links is the number of rows of the class that are spelled otherwise. Counts are made of partial aggregates, and
+    no pair is made; a class and a spelling are named by a hash, unique within their group.
+    """
+    hashed = session.written(_looks(df, key, text, within))
     look = [*within, "_l1", "_l2"]
+    spelled = hashed.groupBy(*look, "_s1", "_s2").agg(F.count("*").alias("_n"))
+    sizes = spelled.groupBy(*look).agg(F.sum("_n").alias("n_rows"), F.count("*").alias("n_spellings")).where("n_spellings > 1")
+    several = spelled.join(sizes, look)
+    return hashed.join(several, [*look, "_s1", "_s2"]).select(F.col("_key").alias("key"), *within, F.col("_l1").alias("class_id"), F.col("_s1").alias("spelling_id"), "n_rows", "n_spellings", (F.col("n_rows") - F.col("_n")).alias("links"))
+
+
+def same_look(df: DataFrame, key: str, text: str, within: list[str]) -> DataFrame:
+    """Pairs (key_a < key_b) of rows of one group ``within`` whose texts are different strings of one look.
+
+    Rows repeated with the same key count once. Only looks with several spellings go on. The rows of a spelling are
+    dealt to PARTS parts; the parts of a look that differ in spelling are paired first, from counts, and their rows
+    are attached then, so rows with exactly the same string never meet, no group is collected, and a spelling that
+    holds a third of all rows is spread. Strings are compared by two independent 64-bit hashes, which are written
+    once in the shared folder when this is called. A null text, a null key or a null group column takes part in no pair; an empty group list means the
+    whole table. look_classes has the same links without expanding them.
+    """
+    hashed = session.written(_looks(df, key, text, within).withColumn("_part", F.pmod(F.xxhash64("_key"), F.lit(PARTS)).cast("int")))
+    look, cell = [*within, "_l1", "_l2"], ["_s1", "_s2", "_part"]
     spelling = F.struct("_s1", "_s2")
     several = hashed.groupBy(*look).agg(F.min(spelling).alias("_lo"), F.max(spelling).alias("_hi")).where("_lo <> _hi").select(*look)
     rows = hashed.join(several, look, "left_semi")
-    each = rows.select(*look, "_s1", "_s2").distinct()
-    other = each.withColumnsRenamed({"_s1": "_o1", "_s2": "_o2"})
-    kinds = each.join(other, look).where((F.col("_s1") < F.col("_o1")) | ((F.col("_s1") == F.col("_o1")) & (F.col("_s2") < F.col("_o2"))))
-    first = kinds.join(rows.withColumnRenamed("_key", "_a"), [*look, "_s1", "_s2"])
-    both = first.join(rows.withColumnsRenamed({"_key": "_b", "_s1": "_o1", "_s2": "_o2"}), [*look, "_o1", "_o2"]).where("_a <> _b")
+    cells = rows.select(*look, *cell).distinct()
+    other = cells.withColumnsRenamed({"_s1": "_o1", "_s2": "_o2", "_part": "_opart"})
+    kinds = cells.join(other, look).where((F.col("_s1") < F.col("_o1")) | ((F.col("_s1") == F.col("_o1")) & (F.col("_s2") < F.col("_o2"))))
+    first = kinds.join(rows.withColumnRenamed("_key", "_a"), [*look, *cell])
+    both = first.join(rows.withColumnsRenamed({"_key": "_b", "_s1": "_o1", "_s2": "_o2", "_part": "_opart"}), [*look, "_o1", "_o2", "_opart"]).where("_a <> _b")
     return both.select(F.least("_a", "_b").alias("key_a"), F.greatest("_a", "_b").alias("key_b")).distinct()

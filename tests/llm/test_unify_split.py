@@ -61,10 +61,25 @@ def test_same_look_pairs(spark):
     got = sorted(map(tuple, unify.same_look(df, "seq", "source", ["doc_id", "segment_id"]).collect()))
     assert got == [(1, 2), (1, 7), (2, 3), (2, 7), (3, 7)]
     assert unify.same_look(df.where("seq < 0"), "seq", "source", []).count() == 0
+    classes = unify.look_classes(df, "seq", "source", ["doc_id", "segment_id"]).collect()
+    assert {r.key: (r.n_rows, r.n_spellings, r.links) for r in classes} == {1: (4, 3, 2), 2: (4, 3, 3), 3: (4, 3, 2), 7: (4, 3, 3)} and len({r.class_id for r in classes}) == 1
+    assert unify.look_classes(df.where("seq < 0"), "seq", "source", []).count() == 0
     clash = df.withColumn("unified", df.source)
     assert unify.unify(clash, "source").columns == ["seq", "doc_id", "segment_id", "source", "unified"]
 
 
+def test_pairs_of_a_hot_look_against_brute_force(spark):
+    """One look holds most rows, in three spellings and all parts; the links of the classes are those of the pairs."""
+    rng = random.Random(5)
+    rows = [(i, rng.choice(["abc", "ａbc", "ab​c", f"x{i % 9}", f"ｘ{i % 9}"] if i % 3 else ["abc"])) for i in range(400)]
+    df = spark.createDataFrame(rows, "seq bigint, source string")
+    look = dict(zip([i for i, _ in rows], fold(*[t for _, t in rows]), strict=True))
+    want = {(a, b) for a, s in rows for b, t in rows if a < b and s != t and look[a] == look[b]}
+    assert {tuple(r) for r in unify.same_look(df, "seq", "source", []).collect()} == want
+    links = {r.key: r.links for r in unify.look_classes(df, "seq", "source", []).collect()}
+    assert links == {i: n for i, _ in rows if (n := sum(i in p for p in want))}
+
+
 def _cuts(text, **k):
     low = np.minimum(np.array([ord(c) for c in text], np.uint32), 0xFFFF)
     (ends, kinds) = splitting.cuts(low, **k)
