@@ -34,8 +34,8 @@ STAND_INS = set(
     "tbd todo n/a na n.a null none nil empty blank missing untranslated notranslation no\xa0translation fixme xxx placeholder pending nan undefined "
     "未翻译 待译 空 空白 无 缺 缺失 待翻译 暂无 暂缺 无译文 未译 翻译中 未訳 なし 翻訳なし".split(" ")
 ) | {"no translation", "not translated", "to be translated", "not available", "translation missing", "to do", "to be done"}
-#: Letters of an opening clause used, trigram hashes and bands of its signature, and the similarity that verifies.
-OPENING, HASHES, BANDS, SIMILAR = 64, 8, 4, 0.8
+#: Trigram hashes and bands of a clause's signature, and the similarity that verifies.
+HASHES, BANDS, SIMILAR = 8, 4, 0.8
 #: A template has at least this many repeats with a new prompt opening, and this share of those that random pairs have.
 REPEATS, UNRELATED = 2, 0.6
 #: Similarity of two prompt openings from which they are variants of one.
@@ -50,6 +50,8 @@ LETTERS_FOR_ONE = {"zh": 3.5, "en": 0.29, "de": 0.27, "fr": 0.27, "es": 0.27, "r
 SENTENCE, LAST_OPEN = {"th": 20, "zh": 12, "ja": 20}, 0.65
 _EDGE = " \t\n\r\"'“”‘’()（）[]【】<>《》「」『』*_.。…-—–~!！?？:：;；,，、/\\|#=+"
 _CLAUSE = re.compile(r"(?<=\w{5})[.]\s|[，,。;；：:!！?？…\n“”\"()（）]+|[.]$")
+_MARK = re.compile(r"[，,。;；：:!！?？…]|[.](?:\s|$)")
+_UNIT = re.compile(r"[。！？!?；;…\n]+|[.](?=\s)")
 _CODE = re.compile(r"\S*\d\S*")
 _NAME = re.compile(r"[A-ZÀ-Þ][\w'’-]{3,}")
 _KANA = re.compile("[\u3041-\u30fa]")
@@ -62,13 +64,23 @@ def _plain(text: str) -> str:
 
 
 def opening(text: str, number: int = 0) -> str:
-    """Letters of the clause ``number`` of a folded text, headings (first lines without punctuation) left out."""
-    head = text[:400]
-    lines = head.split("\n")
-    while len(lines) > 1 and not re.search(r"[，,。;；：:!！?？…]|[.](?:\s|$)", lines[0].strip()):
-        lines = lines[1:]
-    clauses = [c for c in map(_plain, _CLAUSE.split("\n".join(lines))) if c]
-    return clauses[number][:OPENING] if len(clauses) > number else ""
+    """Letters of the clause ``number`` of a folded text, headings (first lines without punctuation) left out; the text is read as far as needed."""
+    at = 0
+    while (end := text.find("\n", at)) >= 0 and not _MARK.search(text, at, end):
+        at = end + 1
+    for end in _ends(text, at):
+        clause, at = _plain(text[at:end]), end
+        if clause:
+            if number == 0:
+                return clause
+            number -= 1
+    return ""
+
+
+def _ends(text: str, at: int) -> Iterator[int]:
+    for m in _CLAUSE.finditer(text, at):
+        yield m.end()
+    yield len(text)
 
 
 def _trigrams(text: str) -> set[str]:
@@ -94,17 +106,22 @@ def _related(s: str, t: str) -> bool:
     return bool(numbers and numbers & set(re.findall(r"\d+", s))) or bool(set(_NAME.findall(s)) & set(_NAME.findall(t)))
 
 
+def _last_units(text: str, n: int) -> str:
+    """The last n sentences or lines of a text that have letters or digits."""
+    return " ".join([u for u in _UNIT.split(text) if any(map(str.isalnum, u))][-n:])
+
+
 def _broken_off(s: str, t: str, fewer: bool) -> bool:
-    """Whether the end of a folded response, which lacks its full stop, is none: a number of the prompt's end is missing, or a comma or the beginning of a clause ends it."""
+    """Whether the end of a folded response, which lacks its full stop, is none: the last number of the prompt's last unit is missing from its last two, or a comma or the beginning of a clause ends it."""
     if t.rstrip(_SHUT + "\n.…")[-1:] in ",，、(（:：;；":
         return True
-    numbers = re.findall(r"\d+", s[-60:])
-    return fewer or bool(numbers and numbers[-1] not in re.findall(r"\d+", t[-120:]))
+    numbers = re.findall(r"\d+", _last_units(s, 1))
+    return fewer or bool(numbers and numbers[-1] not in re.findall(r"\d+", _last_units(t, 2)))
 
 
 def _same_end(s: str, t: str) -> bool:
     """Whether the last line of a folded prompt, such as a code, ends the response too."""
-    a, b = ("".join(filter(str.isalnum, x.rstrip()[-200:].split("\n")[-1].lower())) for x in (s, t))
+    a, b = ("".join(filter(str.isalnum, x.rstrip().rsplit("\n", 1)[-1].lower())) for x in (s, t))
     return bool(a) and b.endswith(a)
 
 
@@ -286,7 +303,9 @@ def broken_pairs(df: DataFrame, key: str, prompt: str, response: str, group: lis
     begun = found.join(templates, "clause", "left_semi").where("not related and not empty")
     bodies = begun.where("second <> ''").groupBy("second").count().where("count > 1").select(F.col("second").alias("clause"))
     known = templates.unionByName(bodies).distinct().withColumn("_template", F.lit(True))
-    all_ = found.join(known, "clause", "left").join(F.broadcast(usual), "lang", "left")  # usual: one row a language
+    # pairs without a clause are many and have no template: they are spread
+    spread = F.when(F.col("clause") == "", F.concat(F.lit("\0"), F.pmod(F.xxhash64(key), F.lit(256)).cast("string"))).otherwise(F.col("clause"))
+    all_ = found.withColumn("clause", spread).join(known, "clause", "left").join(F.broadcast(usual), "lang", "left")  # usual: one row a language
     relative = F.col("size") / F.col("usual")
     cut = ((relative < SHORT) & (F.col("units") <= HALF)) | (relative < LEAST) | F.col("open_end")
     defect = F.when(F.col("empty"), "empty").when(F.col("_template") & ~F.col("related"), "refusal").when(F.col("copy"), "copy").when(F.col("wrong"), "wrong_language").when(cut, "truncated")
