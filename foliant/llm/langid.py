@@ -1,8 +1,7 @@
 """Missing or wrong document language labels (problem 2).
 
 A multinomial naive Bayes classifier over hashed character n-grams (script block, one, two and three
-characters) is trained on labelled sample sentences; its log-probability matrix goes to the executors with the
-task, and texts are scored in numpy: n-gram hashes of a whole batch index the matrix, and the rows are summed
+characters) is trained on labelled sample sentences; its log-probability matrix is broadcast, and texts are scored in numpy: n-gram hashes of a whole batch index the matrix, and the rows are summed
 over each sentence-like unit. Units give the language of stretches, of texts and of groups of texts.
 
 Texts are folded first (see unify), so look-alike letters, width forms and invisible characters do not matter;
@@ -236,13 +235,14 @@ def detect(df: DataFrame, key: list[str], text: str, model: Model, out: str = "l
     sentence. One row in, one row out.
     """
     kinds = dict(df.dtypes)
-    langs = np.array(model.langs)
+    shared = df.sparkSession.sparkContext.broadcast(model)  # of a fixed size, some 2 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
         for b in batches:
             texts = cs.flat(b.column(len(key)))
             for i, j in cs.slices(texts):
-                yield pa.RecordBatch.from_arrays([*(b.column(k).slice(i, j - i) for k in range(len(key))), *_summary(texts.slice(i, j - i), model, langs)], [*key, out, "confidence", "share", "whole"])
+                yield pa.RecordBatch.from_arrays([*(b.column(k).slice(i, j - i) for k in range(len(key))), *_summary(texts.slice(i, j - i), own, np.array(own.langs))], [*key, out, "confidence", "share", "whole"])
 
     return df.select(*key, text).mapInArrow(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in key), f"`{out}` {SCHEMA}"]))
 
@@ -287,14 +287,16 @@ WHOLE_LETTERS, MARGIN, WHOLE_WIDE, SURE = 13, 25.0, 4, 0.8
 def stretches(df: DataFrame, key: list[str], text: str, model: Model) -> DataFrame:
     """(*key, stretch int, lang, confidence, letters bigint): one row for each run of units in one language, in order."""
     kinds = dict(df.dtypes)
-    langs = np.array(model.langs)
+    shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        langs = np.array(own.langs)
         for b in batches:
             texts = cs.flat(b.column(len(key)))
             for i, j in cs.slices(texts):
                 u = units(*cs.codepoints(texts.slice(i, j - i)))
-                best, sure, _ = classify(u, model)
+                best, sure, _ = classify(u, own)
                 ok = np.flatnonzero((best >= 0) & (langs[best] != NONE))
                 row, lang, weight = u.row[ok], best[ok], u.letters[ok] + u.wide[ok]
                 new = np.r_[True, (row[1:] != row[:-1]) | (lang[1:] != lang[:-1])][: len(ok)]

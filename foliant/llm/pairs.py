@@ -186,13 +186,14 @@ def facts(df: DataFrame, key: str, prompt: str, response: str, group: list[str],
     """(key, *group, what the checks need) of every pair with both sides, each key once."""
     kinds = dict(df.dtypes)
     names = [key, *group, *(x.split(" ")[0] for x in _ROW.split(", "))]
+    shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             s, t = cs.flat(b.column(len(group) + 1)), cs.flat(b.column(len(group) + 2))
             for i, j in cs.slices(t, 1 << 19):
                 for x, y in ((i + p, i + q) for p, q in cs.slices(s.slice(i, j - i), 1 << 19)):
-                    yield pa.RecordBatch.from_arrays([*(b.column(c).slice(x, y - x) for c in range(len(group) + 1)), *_facts(s.slice(x, y - x), t.slice(x, y - x), model)], names)
+                    yield pa.RecordBatch.from_arrays([*(b.column(c).slice(x, y - x) for c in range(len(group) + 1)), *_facts(s.slice(x, y - x), t.slice(x, y - x), shared.value)], names)
 
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in [key, *group]), _ROW])
     source = df.where(F.col(key).isNotNull() & F.col(prompt).isNotNull() & F.col(response).isNotNull())

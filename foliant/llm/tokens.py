@@ -12,13 +12,15 @@ whole; repeated rows give repeated rows.
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The public splitting pattern of this vocabulary.
@@ -28,11 +30,23 @@ PIECE = 1 << 14
 _SAFE = regex.compile(r"(?<=\S)(?=\s\S)|(?<=[^\s\p{L}\p{N}'])(?=[\p{L}\p{N}])")
 
 
+def ship(spark: SparkSession, ranks: str) -> str:
+    """Sends a rank file that the driver has to all executors; returns where it was."""
+    if os.path.exists(ranks):
+        spark.sparkContext.addFile(ranks)
+    return ranks
+
+
+def _here(ranks: str) -> str:
+    """The rank file on this machine: at its path, or as it was sent."""
+    return ranks if os.path.exists(ranks) else SparkFiles.get(os.path.basename(ranks))
+
+
 @lru_cache(maxsize=4)
 def encoding(ranks: str = RANKS, pattern: str = PATTERN):
     import tiktoken
 
-    with open(ranks, "rb") as f:
+    with open(_here(ranks), "rb") as f:
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     return tiktoken.Encoding(ranks, pat_str=pattern, mergeable_ranks=table, special_tokens={})
 
@@ -76,6 +90,7 @@ def encode_array(texts: pa.Array, ranks: str = RANKS, pattern: str = PATTERN, co
 def token_ids(df: DataFrame, key: str, text: str, out: str = "ids", ranks: str = RANKS, pattern: str = PATTERN, counts_only: bool = False) -> DataFrame:
     """(key, out): the ids of each text as array<int>, or with counts_only their number as int."""
     kind = dict(df.dtypes)[key]
+    ship(df.sparkSession, ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -105,6 +120,7 @@ def decode(ids: np.ndarray, ranks: str = RANKS, pattern: str = PATTERN) -> bytes
 def texts_of(df: DataFrame, key: str, ids: str, out: str = "text", ranks: str = RANKS, pattern: str = PATTERN) -> DataFrame:
     """(key, out): the text of each list of ids; bytes that are no UTF-8 become U+FFFD. A null list has a null text."""
     kind = dict(df.dtypes)[key]
+    ship(df.sparkSession, ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

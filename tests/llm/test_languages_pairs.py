@@ -29,7 +29,10 @@ def test_held_out_accuracy(samples):
     held = langid.train([s for i, s in enumerate(samples) if i % 4])
     test = [s for i, s in enumerate(samples) if i % 4 == 0]
     got = main_of(held, [t for _, t in test])
-    assert np.mean([g == lang for g, (lang, _) in zip(got, test, strict=True)]) >= 0.97
+    right = np.mean([g == lang for g, (lang, _) in zip(got, test, strict=True)])
+    assert right >= 0.97
+    sure = np.array(langid._summary(cs.flat(pa.array([t for _, t in test])), held, np.array(held.langs))[1].to_pylist(), float)
+    assert abs(np.nanmean(sure) - right) <= 0.05  # confidence is about the share of right answers
 
 
 def test_unreadable_and_look_alikes(model):
@@ -125,3 +128,25 @@ def test_wrong_language_of_ideographs_alone(model):
     sides = [cs.flat(pa.array(list(x), pa.string())) for x in list(zip(*cases, strict=True))[:2]]
     assert set(main_of(model, sides[0].to_pylist())) == {"ja"}
     assert pairs._facts(*sides, model)[3].to_pylist() == [c[2] for c in cases]
+
+
+def test_links_of_the_bands(samples):
+    """Links of MinHash bands against all pairs of similar clauses."""
+    rows = duckdb.connect().sql(f"select distinct translation from '{DATA}/edits.parquet' where length(translation) > 0 order by 1").fetchall()
+    clauses = sorted({pairs.opening(t, k) for (t,) in rows for k in (0, 1)} - {""})
+    clauses += [c[:-1] for c in clauses if len(c) > 24]
+    h = pairs._signatures(cs.flat(pa.array(clauses)))
+    true = banded = 0
+    for q in range(0, len(clauses), 20):
+        for i, c in enumerate(clauses):
+            if i != q and 0.7 < len(c) / len(clauses[q]) < 1.5 and pairs.jaccard(c, clauses[q]) >= pairs.SIMILAR:
+                true, banded = true + 1, banded + bool((h[q] == h[i]).any())
+    assert true > 50 and banded >= 0.9 * true
+
+
+def test_whole_texts_are_read():
+    """Neither a heading nor a clause is looked for in a prefix only."""
+    heading = "\n".join(["Heading of some length without any mark"] * 40) + "\n"
+    assert pairs.opening(heading + "I am sorry, not possible. More") == "iamsorry" and pairs.opening(heading + "I am sorry, not possible. More", 1) == "notpossible"
+    assert pairs.opening("x" * 300 + ". Y") == "x" * 300 and pairs.opening("") == "" and pairs.opening("one line") == "oneline"
+    assert pairs._broken_off("Ab 12. " + "x" * 200 + " 34 y.", "12 and 34 " + "z" * 300, False) is False and pairs._broken_off("At 34 bar " + "x" * 200 + ".", "z" * 300, False)
