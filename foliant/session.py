@@ -30,18 +30,30 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, as the cluster names it; where it names none, one beside the warehouse, and in local mode one of this machine."""
+    """The folder all executors share, as the cluster names it in spark.checkpoint.dir.
+
+    Where it names none, one beside the warehouse, if that is no folder of one machine, and under a local master a
+    temporary one.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    if spark.sparkContext.master.startswith("local"):
+    if spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
         return tempfile.mkdtemp()
-    return spark.conf.get("spark.sql.warehouse.dir") + "/_work"
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    if warehouse.startswith(("file:", "/")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return warehouse + "/_work"
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df written once as a table in the shared folder and read back, so that several uses do not compute it again."""
+    """df written once as a table in the shared folder and read back, so that several uses do not compute it again.
+
+    The job runs when this is called; the table is deleted when the application ends.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
