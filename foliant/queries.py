@@ -414,7 +414,24 @@ def prefix_weights(spark: SparkSession, folder: str) -> DataFrame:
     return ordered.prefix_sums(rows, "doc_id", "ordinal", "weight").select("doc_id", "ordinal", F.round("weight", 6).alias("weight"), F.round("end", 4).alias("end_at"))
 
 
-@_query()
+def _compatible() -> str:
+    """A DuckDB map from characters to their compatibility decompositions, made from the interpreter's Unicode data."""
+    import unicodedata
+
+    pairs = {c: d for c in map(chr, [*range(0xA0, 0xAC00), *range(0xF900, 0x10000), *range(0x1D400, 0x1F300), *range(0x2F800, 0x2FA20)]) if (d := unicodedata.normalize("NFKD", c)) != c}
+    text = lambda xs: ", ".join("'" + x.replace("'", "''") + "'" for x in xs)
+    return f"MAP([{text(pairs)}], [{text(pairs.values())}])"
+
+
+_KEYS = f"mp AS MATERIALIZED (SELECT {_compatible()} AS m)"
+
+
+def _key(x: str) -> str:
+    plain = f"array_to_string(list_transform(regexp_extract_all({x}, '(?s).'), lambda c: coalesce(m[c], c)), '')"
+    return f"regexp_replace(lower(nfc_normalize({plain})), '[^{_CJK}a-z0-9]', '', 'g')"
+
+
+@_query(f"WITH {_SEGMENTS}, {_KEYS} SELECT doc_id, ordinal, {_key("coalesce(source, '')")} AS key FROM s, mp")
 def match_key(spark: SparkSession, folder: str) -> DataFrame:
     """P24."""
     return _segments(spark, folder).select("doc_id", "ordinal", T.match_key(F.coalesce("source", F.lit(""))).alias("key"))
@@ -426,18 +443,41 @@ def _map(spark: SparkSession, folder: str) -> DataFrame:
     return align.page_map(rows, pages.select("doc_id", "page_no", F.array_join(F.transform("x", lambda v: v["t"]), " ").alias("text")), "doc_id")
 
 
-@_query()
+_MAP_SQL = f"""{_SEGMENTS}, {_KEYS},
+k AS MATERIALIZED (SELECT doc_id, ordinal, {_key("coalesce(source, '')")} AS key, row_number() OVER (PARTITION BY doc_id ORDER BY ordinal) AS n FROM s, mp),
+pg AS (SELECT doc_id, (ordinal - 1) // 5 AS page_no, string_agg(coalesce(source, ''), ' ' ORDER BY ordinal) AS t FROM s GROUP BY ALL),
+pk AS (SELECT doc_id, page_no, {_key('t')} AS key FROM pg, mp),
+d AS MATERIALIZED (SELECT doc_id, string_agg(CASE WHEN key = '' THEN ' ' ELSE key END, chr(10) ORDER BY page_no) AS txt, list(greatest(1, length(key)) ORDER BY page_no) AS sizes FROM pk GROUP BY doc_id),
+h AS MATERIALIZED (SELECT *, list_transform(range(1, len(sizes) + 1), lambda i: coalesce(list_sum(sizes[1:i-1]), 0)::BIGINT + i - 1) AS heads FROM d),
+f AS (SELECT doc_id, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS cursor, CAST(NULL AS BIGINT) AS place FROM h
+UNION ALL SELECT doc_id, n, CASE WHEN place IS NULL THEN cursor WHEN after >= heads[p] + sizes[p] THEN heads[least(p + 1, len(sizes))] ELSE after END, place FROM (
+ SELECT *, place + hit.n AS after, len(list_filter(heads, lambda x: x <= place)) AS p FROM (
+ SELECT *, CASE WHEN hit IS NULL THEN NULL ELSE cursor + hit.at - 1 END AS place FROM (
+ SELECT f.doc_id, k.n, f.cursor, h.heads, h.sizes, list_filter(list_transform(list_reverse_sort(list_distinct(list_transform([CASE WHEN length(k.key) <= 300 THEN length(k.key) ELSE 200 END, 128, 64, 32, 16, 8], lambda x: least(x, length(k.key))))), lambda x: {{'n': x, 'at': CASE WHEN x > 0 THEN strpos(substring(h.txt, f.cursor + 1), left(k.key, x)) ELSE 0 END}}), lambda y: y.at > 0)[1] AS hit
+ FROM f JOIN k ON k.doc_id = f.doc_id AND k.n = f.n + 1 JOIN h ON h.doc_id = f.doc_id)))),
+g AS (SELECT f.doc_id, k.ordinal, place, heads, sizes, len(sizes) AS pages, list_sum(sizes) AS whole, sum(greatest(1, length(k.key))) OVER (PARTITION BY f.doc_id) AS total, sum(greatest(1, length(k.key))) OVER (PARTITION BY f.doc_id ORDER BY f.n) - greatest(1, length(k.key)) AS gone
+ FROM f JOIN k ON k.doc_id = f.doc_id AND k.n = f.n JOIN h ON h.doc_id = f.doc_id),
+q AS (SELECT *, least(gone / total::DOUBLE * whole, whole) AS want, len(list_filter(heads, lambda x: x <= place)) AS p FROM g),
+w AS (SELECT *, 1 + len(list_filter(range(1, pages), lambda i: list_sum(sizes[1:i]) < want)) AS e FROM q),
+o AS (SELECT doc_id, ordinal, place IS NOT NULL AS matched, pages, CASE WHEN place IS NOT NULL THEN (p - 1 + (place - heads[p]) / sizes[p]::DOUBLE) / pages ELSE (e - 1 + greatest(0, least(1, (want - (list_sum(sizes[1:e]) - sizes[e])) / sizes[e]::DOUBLE))) / pages END AS raw FROM w),
+mapped AS (SELECT doc_id, ordinal, pages, matched, max(raw) OVER (PARTITION BY doc_id ORDER BY ordinal) AS position FROM o)"""
+
+
+@_query(f"WITH RECURSIVE {_MAP_SQL} SELECT doc_id, CAST(ordinal AS BIGINT) AS ordinal, round(position, 9) AS position, CAST(least(pages, floor(position * pages) + 1) AS INTEGER) AS page, matched FROM mapped")
 def page_map(spark: SparkSession, folder: str) -> DataFrame:
     """Segments placed on pages of five segments each."""
-    return _map(spark, folder)
+    return _map(spark, folder).withColumn("position", F.round("position", 9))
 
 
-@_query()
+@_query(f"""WITH RECURSIVE {_MAP_SQL}, {_RECORDS}, a AS (SELECT doc_id, i / 10.0::DOUBLE AS ratio FROM r, range(11) t(i) WHERE doc_id IN (SELECT doc_id FROM s)),
+j AS (SELECT a.doc_id, ratio, coalesce(max({{'p': position, 'o': ordinal}}) FILTER (position <= ratio), min({{'p': position, 'o': ordinal}})) AS hit FROM a JOIN mapped USING (doc_id) GROUP BY a.doc_id, ratio),
+z AS (SELECT j.doc_id, ratio, hit, coalesce(min(position) FILTER (position > hit.p + 1e-6), 1.0) AS nxt FROM j JOIN mapped USING (doc_id) GROUP BY j.doc_id, ratio, hit)
+SELECT doc_id, ratio, CAST(hit.o AS BIGINT) AS ordinal, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, (ratio - hit.p) / greatest(1e-6, nxt - hit.p))), 6) AS fraction FROM z""")
 def position_lookup(spark: SparkSession, folder: str) -> DataFrame:
     """As-of lookup of every tenth of each document."""
     asked = _records(spark, folder).select("doc_id", F.explode(F.array(*(F.lit(i / 10) for i in range(11)))).alias("ratio"))
     known = _read(spark, folder, "segments").select("doc_id").distinct()
-    return align.looked_up(_map(spark, folder), asked.join(known, "doc_id"), "doc_id", "ratio")
+    return align.looked_up(_map(spark, folder), asked.join(known, "doc_id"), "doc_id", "ratio").withColumn("fraction", F.round("fraction", 6))
 
 
 @_query(f"WITH {_RECORDS} SELECT doc_id, name, status, progress, updated_at, CAST(row_number() OVER (ORDER BY updated_at DESC, doc_id) AS INTEGER) AS place FROM r QUALIFY place <= 50")
