@@ -35,11 +35,11 @@ SPACE, BREAK, LETTER, CJK, THAI, DIGIT, SIGN, HIDDEN, BROKEN = range(9)
 #: Marks that end a sentence or a line of prose, closing marks behind them, and marks of list items.
 TERMINATORS, CLOSING, BULLETS = ".!?。！？…", "\"'”’»」』)）]】", "•▪◦‣·●○■□◆◇►▶→*-–—+☐☑☒✓✔⁃∙"
 #: Additive counts. CHARS are per character, LINES per line.
-CHARS = ["chars", "visible", "letters", "digits", "signs", "broken", "cjk", "thai", "ends", "tags", "words", "word_chars", "common", "long_words", "hex_words", "mixed_words"]
+CHARS = ["chars", "visible", "letters", "digits", "signs", "broken", "cjk", "thai", "ends", "tags", "words", "word_chars", "common", "long_words", "hex_words", "mixed_words", "latin_words", "mute_words"]
 LINES = ["lines", "marked", "short", "pipe", "comma", "semicolon", "tab", "gap", "ended", "spoken"]
 #: Of an open line: its counts and the hash of its content. Of an open word: its length, hash and kinds of characters.
 LINE = ["visible", "words", "thai", "pipes", "commas", "semicolons", "tabs", "gaps", "ends", "marked", "ended", "solid", "lead", "trail", "first_run", "last_run", "hash", "length"]
-WORD = ["length", "hash", "upper", "lower", "digits", "hex"]
+WORD = ["length", "hash", "upper", "lower", "digits", "hex", "latin", "vowels"]
 BITS = 1024
 #: Sums over windows of CHUNK characters, so that the length of a document does not matter: different words, and the number up to which they are repetition.
 VARIETY = ["varied", "least"]
@@ -80,7 +80,7 @@ def _chars() -> dict[str, np.ndarray]:
         low = chr(cp).lower()
         if len(low) == 1:
             lower[cp] = ord(low)
-    return {"random": rng.integers(1, 2**63, 0x10000, dtype=np.uint64), "lower": lower, "end": small(TERMINATORS), "close": small(CLOSING), "bullet": small(BULLETS)}
+    return {"random": rng.integers(1, 2**63, 0x10000, dtype=np.uint64), "lower": lower, "end": small(TERMINATORS), "close": small(CLOSING), "bullet": small(BULLETS), "latin": small("abcdefghijklmnopqrstuvwxyz"), "vowel": small("aeiouy")}
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -156,11 +156,13 @@ def partials(cps: np.ndarray, off: np.ndarray, open_left: np.ndarray, open_right
     wrow = row[begin] if len(begin) else begin
     isupper, islower = (cps != t["lower"][cps]), (kind == LETTER) & (cps == t["lower"][cps])
     W = {"length": length, "hash": value(begin, stop), "upper": cs.sums(isupper, begin, stop), "lower": cs.sums(islower, begin, stop), "digits": cs.sums(kind == DIGIT, begin, stop), "hex": cs.sums((kind == DIGIT) | ((low >= 97) & (low <= 102)), begin, stop)}
+    W |= {"latin": cs.sums(t["latin"][low], begin, stop), "vowels": cs.sums(t["vowel"][low], begin, stop)}
+    latin = (length >= 3) & (W["latin"] == length)
     left, right = open_left[wrow] & (begin == heads[wrow]), open_right[wrow] & (stop == tails[wrow])
     closed = ~left & ~right
     listed = np.fromiter((hash_of(w) for w in sorted(common)), np.uint64, len(common))
     add = lambda name, rows, weights=None: out.__setitem__(name, out[name] + np.bincount(rows, weights, n).astype(np.int64))
-    for name, hit in (("words", closed), ("common", closed & np.isin(W["hash"], listed)), ("long_words", closed & (length >= 20)), ("hex_words", closed & (length == 2) & (W["hex"] == 2)), ("mixed_words", closed & (length >= 12) & (W["upper"] > 1) & (W["lower"] > 1))):
+    for name, hit in (("words", closed), ("common", closed & np.isin(W["hash"], listed)), ("long_words", closed & (length >= 20)), ("hex_words", closed & (length == 2) & (W["hex"] == 2)), ("mixed_words", closed & (length >= 12) & (W["upper"] > 1) & (W["lower"] > 1)), ("latin_words", closed & latin), ("mute_words", closed & latin & (W["vowels"] == 0))):
         add(name, wrow[hit])
     add("word_chars", wrow[closed], length[closed])
     single = np.flatnonzero(kind == CJK)
@@ -331,7 +333,7 @@ def _close_line(s: dict, v: list[int]) -> None:
 
 
 def _close_word(s: dict, v: list[int], common: set[int]) -> None:
-    length, value, upper, lower, _, hexa = v
+    length, value, upper, lower, _, hexa, latin, vowels = v
     if length:
         s["words"] += 1
         s["word_chars"] += length
@@ -339,6 +341,8 @@ def _close_word(s: dict, v: list[int], common: set[int]) -> None:
         s["long_words"] += length >= 20
         s["hex_words"] += length == 2 and hexa == 2
         s["mixed_words"] += length >= 12 and upper > 1 and lower > 1
+        s["latin_words"] += length >= 3 and latin == length
+        s["mute_words"] += length >= 3 and latin == length and not vowels
         s["bits"] |= _bit(value)
 
 
@@ -402,6 +406,7 @@ def verdict(s: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
         | ((f["letters"] + f["digits"] < 0.45 * vis) & ~table & ~listing)
         | (f["mixed_words"] >= 0.2 * w)
         | ((f["hex_words"] >= 0.7 * w) & (words >= 8))
+        | ((f["mute_words"] >= 0.6 * f["latin_words"]) & (f["latin_words"] >= np.maximum(5, 0.2 * w)))  # words nobody can say
         | ((words >= 40) & (f["varied"] <= f["least"]) & ~table)
         | ((f["lines"] >= 6) & (f["distinct_lines"] <= 0.2 * lines))
     )

@@ -10,10 +10,10 @@ from foliant.llm import quality
 COMMON = frozenset("the of and in 的 在 から ที่ และ".split())
 PROSE = "The pump in the hall is checked by the fitter every day. It runs without noise.\n"
 CASES = {
-    "prose": [PROSE * 3, "操作员在户外检查水泵。供应商订购图纸。", "A heading\n" + PROSE * 4 + "- one item\n", "THE PUMP RUNS. THE FITTER CHECKS IT AND THE CREW MOVES ON.", "The pump in the hall is\nchecked by the fitter every\nday. It runs without noise\nand the crew moves on."],
+    "prose": [PROSE * 3, "操作员在户外检查水泵。供应商订购图纸。", "A heading\n" + PROSE * 4 + "- one item\n", "Type PVC or XPS with DN, see the RFC of the BMWK, and the hall is dry.", "THE PUMP RUNS. THE FITTER CHECKS IT AND THE CREW MOVES ON.", "The pump in the hall is\nchecked by the fitter every\nday. It runs without noise\nand the crew moves on."],
     "list": ["- pump\n- valve x 3\n- crate\n- fan", "Heading\n1. pump\n2. valve\n3. crate (5)\n4. fan;", "水泵\n阀门 x 4\n图纸\n电缆", "☐ pump\n  ☐ valve\n☐ crate"],
     "table": ["a | b | c\n1 | 2 | 3\n4 | 5 | 6", "a,b,c,d\npump,,3,2025-01-01\nvalve,2,4,2025-01-02", "pump\t3\t4.5%\nvalve\t6\t7%", "pump     crate     12\nvalve    fan       13\nfilter   lamp      14", "| a | b | c |\n|---|---|---|\n| 1 | 2 | 3 |"],
-    "junk": ["\n".join(["4pj38yAtQVEUNd8SSrcc/4eS7L0QAovDDFCT3N8JsPqW"] * 1 + ["GhNhAlmB55F8OIykfu3T56kMeopcUhxvKdtvjGomDRd0"]), "00000000  7a 82 4b a5 41 b7 52 a9 31 cc\n00000010  8d 0f ed ad 9e fe 4e 74 b8 aa", '<td class="c4"></td><br/><p style="w">\n<div></tr><tr>&nbsp;</td>', "�■?░5·…□◇▒6 ◆?■·░□ ▒�◇■", PROSE * 40, "pump valve " * 60, "å®�è£�å·¥å¤©ä¿�ç®¡é�"],
+    "junk": ["\n".join(["4pj38yAtQVEUNd8SSrcc/4eS7L0QAovDDFCT3N8JsPqW"] * 1 + ["GhNhAlmB55F8OIykfu3T56kMeopcUhxvKdtvjGomDRd0"]), "00000000  7a 82 4b a5 41 b7 52 a9 31 cc\n00000010  8d 0f ed ad 9e fe 4e 74 b8 aa", '<td class="c4"></td><br/><p style="w">\n<div></tr><tr>&nbsp;</td>', "�■?░5·…□◇▒6 ◆?■·░□ ▒�◇■", PROSE * 40, "pump valve " * 60, "lm|qpzp bm' r.cl q!mtp| cgv` 'j hqc; xlzs1ln .sldg!s l tl| qkrdml gw.rx.g gm 'n !l|w qwn sgftkwz", "å®�è£�å·¥å¤©ä¿�ç®¡é�"],
     "blank": ["", " \n\t", None, "​"],
 }
 
