@@ -63,15 +63,24 @@ def paragraphs(text: Column) -> Column:
     return F.filter(F.transform(blocks, one), lambda x: F.length(x) > 0)
 
 
+#: Sentences folded one after the other; their pieces are put together as lists of lists, so no list grows one by one.
+BLOCK = 64
+
+
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), the value computed once however often f uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def pack(text: Column, most: int) -> Column:
     """array<string>: a clean text cut at sentence ends and packed greedily into pieces of at most ``most`` characters.
 
     A sentence longer than that is cut hard; the separator counts as one character even where none is written.
-    Texts up to the limit stay whole and empty texts give no piece. The fold is over the sentences of one text.
+    Texts up to the limit stay whole and empty texts give no piece. The fold is over the sentences of one text, in
+    blocks, so that its time grows in proportion to the text.
     """
     sentences = F.filter(F.transform(F.split(text, SENTENCE, -1), strip), lambda s: F.length(s) > 0)
     none = F.array().cast("array<string>")
-    first = F.struct(F.lit("").alias("cur"), none.alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
         cur, out = acc["cur"], acc["out"]
@@ -85,9 +94,22 @@ def pack(text: Column, most: int) -> Column:
             .otherwise(F.struct(s.alias("cur"), flushed.alias("out")))
         )
 
-    packed = F.aggregate(sentences, first, step, lambda acc: F.when(F.length(acc["cur"]) > 0, F.concat(acc["out"], F.array(acc["cur"]))).otherwise(acc["out"]))
-    whole = F.when(F.length(text) == 0, none).when(F.length(text) <= most, F.array(text))
-    return whole.otherwise(F.when(F.size(packed) > 0, packed).otherwise(F.array(text)))
+    def folded(ss: Column) -> Column:
+        start = F.struct(F.lit("").alias("cur"), F.array().cast("array<array<string>>").alias("outs"))
+
+        def block(acc: Column, k: Column) -> Column:
+            own = F.slice(ss, (k * BLOCK + 1).cast("int"), F.lit(BLOCK))
+            done = F.aggregate(own, F.struct(acc["cur"].alias("cur"), none.alias("out")), step)
+            return _let(done, lambda d: F.struct(d["cur"].alias("cur"), F.concat(acc["outs"], F.array(d["out"])).alias("outs")))
+
+        blocks = F.sequence(F.lit(0), F.floor((F.size(ss) - 1) / BLOCK))
+        last = lambda acc: F.flatten(F.when(F.length(acc["cur"]) > 0, F.concat(acc["outs"], F.array(F.array(acc["cur"])))).otherwise(acc["outs"]))
+        return F.when(F.size(ss) > 0, F.aggregate(blocks, start, block, last)).otherwise(none)
+
+    def packed(ss: Column) -> Column:
+        return _let(folded(ss), lambda p: F.when(F.size(p) > 0, p).otherwise(F.array(text)))
+
+    return F.when(F.length(text) == 0, none).when(F.length(text) <= most, F.array(text)).otherwise(_let(sentences, packed))
 
 
 def count_of(text: Column, chars: str) -> Column:
