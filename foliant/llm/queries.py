@@ -27,10 +27,10 @@ def p3_classes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_unified(spark: SparkSession, folder: str) -> DataFrame:
-    """The one consistent form of every source."""
+    """The one consistent form of every source; rows repeated with a key count once."""
     edits = unify.unify(_read(spark, folder, "edits").select(F.lit("edits").alias("tab_name"), F.col("seq").alias("key"), "source"), "source")
     terms = unify.unify(_read(spark, folder, "terms").select(F.lit("terms").alias("tab_name"), F.col("term_id").alias("key"), "source"), "source")
-    return edits.unionByName(terms).drop("source")
+    return edits.unionByName(terms).groupBy("tab_name", "key").agg(F.first("unified").alias("unified"))
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
