@@ -65,7 +65,8 @@ def _ways(lengths: np.ndarray, known: int, items: int, chars: int) -> tuple[list
 def batches(df: DataFrame, group: str, order: str, length: str, items: int, chars: int, lone_first: bool = False, block: int = BLOCK) -> DataFrame:
     """(group, order, batch_no int): greedy batches of at most ``items`` items and ``chars`` characters, numbered from 0.
 
-    An item longer than ``chars`` has a batch of its own; with ``lone_first`` so has the first item of a group.
+    An item longer than ``chars`` has a batch of its own; with ``lone_first`` so has the first item of a group. Rows
+    without a group have no batch. block: the span of the order column that holds some 65,536 items at most.
     A batch never spans more than ``items`` items, so a block hands on only how many items the next one starts
     with: each block is numbered for every such number, which is written once in the shared folder when this is
     called, and the few numbers that blocks hand on are chained per group.

@@ -356,7 +356,15 @@ def request_terms(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "request_no", F.size("terms").cast("bigint").alias("n_terms"), F.array_join(F.transform("terms", requests.term_line), "\n").alias("lines"))
 
 
-@_query()
+_TERM_LINES = "string_agg(src || ' => ' || tgt || CASE WHEN domain <> '' AND notes <> '' THEN ' (' || domain || '; ' || notes || ')' WHEN domain || notes <> '' THEN ' (' || domain || notes || ')' ELSE '' END, chr(10) || '- ' ORDER BY file, row_no, term_id)"
+
+
+@_query(f"""{_REQUEST_SQL[: _REQUEST_SQL.index("SELECT z.doc_id, CAST(batch_no")].rstrip()}, {_RECORDS}, {_TERMS_OF},
+ln AS (SELECT doc_id, request_no, '- ' || {_TERM_LINES} AS lines FROM top GROUP BY doc_id, request_no),
+pay AS (SELECT z.doc_id, batch_no AS request_no, CAST(to_json({{'segments': list({{'id': part_id, 'text': text}} ORDER BY pos)}}) AS VARCHAR) AS payload FROM z JOIN g ON g.doc_id = z.doc_id AND g.ordinal = z.pos GROUP BY z.doc_id, batch_no),
+told AS (SELECT pay.*, 'Translate every segment from ' || CASE WHEN source_language = 'en' THEN 'English to Simplified Chinese' ELSE 'Simplified Chinese to English' END || '{requests.MANNER}' || chr(10) || chr(10) || 'Answer with this JSON object alone: {requests.ANSWER}' || chr(10) || chr(10) || 'Terms to use:' || chr(10) || coalesce(lines, 'none apply') || chr(10) || chr(10) || 'Style:' || chr(10) || 'formal and plain' AS prompt
+ FROM pay JOIN r USING (doc_id) LEFT JOIN ln ON ln.doc_id = pay.doc_id AND ln.request_no = pay.request_no)
+SELECT doc_id, CAST(request_no AS INTEGER) AS request_no, CAST(to_json({{'model': 'any', 'temperature': 0.2::DOUBLE, 'messages': [{{'role': 'system', 'content': prompt}}, {{'role': 'user', 'content': payload}}]}}) AS VARCHAR) AS body FROM told""")
 def request_prompts(spark: SparkSession, folder: str) -> DataFrame:
     """The bodies of the requests of all documents, with their instructions."""
     parts = _planned(spark, folder).withColumn("batch_no", F.lit(0)).withColumn("_group", F.col("doc_id"))
